@@ -1,10 +1,13 @@
 """Queries of the operators in this folder, and SQL for those that SQL can express."""
 
-from . import token_files, url_filter, warc
+from . import bpe, quality, token_counts, token_files, url_filter, warc
 
 QUERIES = {
     "op2_token_files": token_files.query,
     "op3_warc": warc.query,
+    "op4_quality_rules": quality.query,
+    "op6_bpe": bpe.query,
+    "op7_token_counts": token_counts.query,
     "op9_url_filters": url_filter.query,
 }
 ORACLES = {
