@@ -34,8 +34,6 @@ from .files import AtomicFile, RangeReader
 
 LEAST = 1000
 BLOCK_LINES = 512
-#: Bytes of payload for each archive.
-ARCHIVE_BYTES = 16 << 20
 DATE = "2024-01-01T00:00:00Z"
 UNSAFE = re.compile("[\x00-\x20\x7f]")
 
@@ -108,10 +106,16 @@ def mark_revisits(pages: DataFrame, least: int = LEAST) -> DataFrame:
         .filter("n > 1")
         .select("digest", "target")
     )
-    return rows.join(groups, "digest", "left").select(
-        "page_id", "url", "html", "digest",
-        F.when((F.octet_length("html") >= least) & (F.col("page_id") < F.col("target")), F.col("target")).alias("refers_to"),
+    # the join by digest carries no payload; the one by page_id, which has no hot key, carries each once
+    revisits = (
+        pages.select(F.col("page_id").cast("long").alias("page_id"), F.sha1(html).alias("digest"), F.octet_length(html).alias("size"))
+        .filter(F.col("size") >= least)
+        .join(groups, "digest")
+        .filter(F.col("page_id") < F.col("target"))
+        .select("page_id", "digest", F.col("target").alias("refers_to"))
+        .distinct()
     )
+    return rows.join(revisits, ["page_id", "digest"], "left").select("page_id", "url", "html", "digest", "refers_to")
 
 
 CAPTURES = "key string, page_id long, file string, offset long, length long"
@@ -119,9 +123,6 @@ CAPTURES = "key string, page_id long, file string, offset long, length long"
 
 def write_archives(pages: DataFrame, path: str, least: int = LEAST) -> DataFrame:
     """Writes the archives; the captures: key, page_id, file, offset and length of each record."""
-    size = pages.agg(F.sum(F.octet_length("html"))).first()[0] or 0
-    count = max(1, -(-size // ARCHIVE_BYTES))
-
     def write(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
@@ -144,8 +145,7 @@ def write_archives(pages: DataFrame, path: str, least: int = LEAST) -> DataFrame
             file.close()
 
     # dealt and sorted by content, not by arrival: a task that runs again writes the same archive
-    dealt = mark_revisits(pages, least).repartition(count, F.xxhash64("page_id", "url", "digest")).sortWithinPartitions("page_id", "url", "digest")
-    return dealt.mapInArrow(write, CAPTURES)
+    return mark_revisits(pages, least).sortWithinPartitions("page_id", "digest", "url").mapInArrow(write, CAPTURES)
 
 
 DIRECTORY = "first_key string, index_file string, block int, offset long, length long, lines int"
