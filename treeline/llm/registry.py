@@ -1,6 +1,6 @@
 """Queries of the operators in this folder, and SQL for those that SQL can express."""
 
-from . import bpe, quality, token_counts, token_files, url_filter, warc
+from . import bpe, ngram_join, quality, token_counts, token_files, url_filter, warc
 
 QUERIES = {
     "op2_token_files": token_files.query,
@@ -9,8 +9,10 @@ QUERIES = {
     "op6_bpe": bpe.query,
     "op7_token_counts": token_counts.query,
     "op9_url_filters": url_filter.query,
+    "op10_ngram_join": ngram_join.query,
 }
 ORACLES = {
     "op3_warc": warc.ORACLE,
     "op9_url_filters": url_filter.ORACLE,
+    "op10_ngram_join": ngram_join.ORACLE,
 }
