@@ -33,6 +33,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..plans.shared import Stored, store
+
 SPACE = b" \t\n\v\f\r"
 SYMBOLS = b"#*$%&|<>"
 WINDOW, LEAST_WORDS, REPEAT_PERCENT = 8, 20, 30
@@ -161,7 +163,7 @@ def fit(featured: DataFrame, labels: DataFrame, stratum: str, alpha: float = ALP
     # a score is above grid points 0 .. n - 1 for one n, so counts by n give the counts above each point
     levels = [reduce(lambda a, b: a + b, [(F.col(n) > g).cast("int") for g in GRID]).alias(n) for n in named]
     long = holdout.select("stratum", "good", F.explode(F.array(*(F.struct(F.lit(n).alias("score"), c.alias("level")) for n, c in zip(named, levels)))).alias("s"))
-    rows = long.groupBy("stratum", "s.score", "level").agg(F.count_if(F.col("good") == 1).alias("good"), F.count_if(F.col("good") != 1).alias("bad"))
+    rows = long.select("stratum", "good", "s.*").groupBy("stratum", "score", "level").agg(F.count_if(F.col("good") == 1).alias("good"), F.count_if(F.col("good") != 1).alias("bad"))
     sizes = holdout.groupBy("stratum").count().orderBy(F.desc("count"), "stratum").limit(most_strata)
     top = [r.stratum for r in sizes.select("stratum").collect()]
     rows = rows.withColumn("stratum", F.when(F.col("stratum").isin(top), F.col("stratum")).otherwise(POOLED)) if len(top) == most_strata else rows
@@ -187,14 +189,16 @@ def verdict(cutoffs: dict[tuple[str, str], float], stratum: str) -> Column:
 
 def judge(docs: DataFrame, labels: DataFrame, stratum: str = "lang", alpha: float = ALPHA, delta: float = DELTA) -> DataFrame:
     """doc_id, features, base_failed and kept of every document."""
-    featured = add_features(docs, "doc_id", stratum)
-    cutoffs = fit(add_features(docs.join(labels.select("doc_id").distinct(), "doc_id", "left_semi"), "doc_id", stratum), labels, stratum, alpha, delta)
+    featured = store(add_features(docs, "doc_id", stratum), "features")
+    cutoffs = fit(featured, labels, stratum, alpha, delta)
     return featured.select("doc_id", *FEATURES, base_failed().alias("base_failed"), verdict(cutoffs, stratum).alias("kept"))
 
 
 def keep(docs: DataFrame, labels: DataFrame, stratum: str = "lang", alpha: float = ALPHA, delta: float = DELTA) -> DataFrame:
     """The documents kept, with all their columns."""
-    cutoffs = fit(add_features(docs.join(labels.select("doc_id").distinct(), "doc_id", "left_semi"), "doc_id", stratum), labels, stratum, alpha, delta)
+    measured = Stored(add_features(docs, "doc_id", stratum), "features")
+    cutoffs = fit(measured.df, labels, stratum, alpha, delta)
+    measured.drop()
     featured = add_features(docs.select(F.struct("*").alias("row")), "row")
     return featured.filter(verdict(cutoffs, f"row.{stratum}")).select("row.*")
 
