@@ -57,15 +57,16 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return moved.union(least.select("u", F.col("m").alias("v"))).distinct()
 
 
-def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", rounds: int = ROUNDS) -> DataFrame:
+def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", rounds: int = ROUNDS, reduced: bool = False) -> DataFrame:
     """(vertex, component), the component being its smallest vertex, for every vertex of an edge that is not a loop.
 
-    Every task first reduces its edges to stars; then large-star and small-star rounds alternate until
+    Every task first reduces its edges to stars, unless the edges are reduced already; then large-star and small-star rounds alternate until
     nothing changes. Each round is a partial aggregation and a join on the vertex, and is written to the
     shared folder, so that a lost executor costs one round. Edges with a null end are dropped.
     """
     pairs = edges.select(F.col(src).cast("long").alias("u"), F.col(dst).cast("long").alias("v")).filter("u <> v")
-    now = Stored(pairs.mapInPandas(_local_stars, "u long, v long").distinct(), "stars")
+    pairs = pairs if reduced else pairs.mapInPandas(_local_stars, "u long, v long")
+    now = Stored(pairs.distinct(), "stars")
     mark = None
     for _ in range(rounds):
         following = Stored(_small_star(_large_star(now.df)), "stars")
