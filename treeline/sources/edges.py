@@ -17,7 +17,7 @@ NUMBER = r"[-+]?(?:\d+\.?\d*|\.\d+)(?:[eE][-+]?\d+)?"
 EDGE_LINE = rf"^\s*(?:a\s+)?(\d+)\s+(\d+)(?:\s+({NUMBER}))?\s*$"
 HEADER_LINE = r"^\s*(?:p\s+)?#?sp\s+(\d+)\s+(\d+)\s*$"
 #: Bytes of the header of a binary dump: vertices, edges, an address, a flag, padding.
-DUMP_HEADER = struct.Struct("<IIQii")
+DUMP_HEADER = "<IIQii"
 DUMP_EDGE = np.dtype([("src", "<u4"), ("dst", "<u4"), ("weight", "<f4")])
 
 
@@ -81,8 +81,8 @@ def read_dump(spark: SparkSession, path: str) -> DataFrame:
     def parse(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for content in batch["content"]:
-                _, count, *_ = DUMP_HEADER.unpack_from(content)
-                edges = np.frombuffer(content, dtype=DUMP_EDGE, count=count, offset=DUMP_HEADER.size)
+                _, count, *_ = struct.unpack_from(DUMP_HEADER, content)
+                edges = np.frombuffer(content, dtype=DUMP_EDGE, count=count, offset=struct.calcsize(DUMP_HEADER))
                 for start in range(0, count, 100_000):
                     part = edges[start : start + 100_000]
                     yield pd.DataFrame({"src": part["src"].astype(np.int64), "dst": part["dst"].astype(np.int64), "weight": part["weight"]})
@@ -95,7 +95,7 @@ def dump_bytes(edges: pd.DataFrame, vertices: int, undirected: bool = False) ->
     rows = np.empty(len(edges), dtype=DUMP_EDGE)
     for name in ("src", "dst", "weight"):
         rows[name] = edges[name]
-    return DUMP_HEADER.pack(vertices, len(edges), 0, int(undirected), 0) + rows.tobytes()
+    return struct.pack(DUMP_HEADER, vertices, len(edges), 0, int(undirected), 0) + rows.tobytes()
 
 
 def read_edges(spark: SparkSession, path: str, **options: bool) -> DataFrame:
