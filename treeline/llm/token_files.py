@@ -122,7 +122,7 @@ class TokenFileReader:
         self.file.close()
 
 
-def write_token_files(docs: DataFrame, path: str, encode: Callable[[str | None], bytes], end_id: int | None = None, width: int = 2, files: int | None = None) -> DataFrame:
+def write_token_files(docs: DataFrame, path: str, encode: Callable[[str | None], bytes], end_id: int | None = None, width: int = 2, files: int | None = None, frame_bytes: int = FRAME_BYTES) -> DataFrame:
     """Writes the files and returns their manifest: file, documents, ids and start (ids in the files before it)."""
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
@@ -137,7 +137,7 @@ def write_token_files(docs: DataFrame, path: str, encode: Callable[[str | None],
         name = f"part-{TaskContext.get().partitionId():06d}.ids.zst"
         writer, documents = None, 0
         for batch in batches:
-            writer = writer or TokenFileWriter(f"{path}/{name}", width)
+            writer = writer or TokenFileWriter(f"{path}/{name}", width, frame_bytes)
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
                 writer.add(doc_id, np.frombuffer(encode(text.as_py()) + end, dtype="<u4"))
             documents += batch.num_rows

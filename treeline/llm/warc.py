@@ -34,6 +34,8 @@ from .files import AtomicFile, RangeReader
 
 LEAST = 1000
 BLOCK_LINES = 512
+#: Blocks of an index file, about.
+FILE_BLOCKS = 64
 DATE = "2024-01-01T00:00:00Z"
 UNSAFE = re.compile("[\x00-\x20\x7f]")
 
@@ -183,23 +185,28 @@ def write_index(captures: DataFrame, path: str, block_lines: int = BLOCK_LINES,
 
 
 class CaptureIndex:
-    """Look-ups of urls: a binary search over the directory, then one block, then ranges of archives."""
+    """Look-ups of urls by binary search: over the first keys of the index files, over the blocks of one, then within a block.
+
+    The driver holds one key for each index file (of ``FILE_BLOCKS`` blocks) and the blocks of the file it looks into.
+    """
 
     def __init__(self, directory: DataFrame, path: str):
-        self.path, self.blocks = path, directory.orderBy("first_key", "index_file", "block")
-        self.rows = self.blocks.select("first_key", "index_file", "offset", "length").collect()
-        self.keys = [r.first_key for r in self.rows]
+        self.directory, self.path = directory, path
+        self.files = sorted((r.key, r.index_file) for r in directory.groupBy("index_file").agg(F.min("first_key").alias("key")).collect())
 
     def captures(self, url: str) -> list[list]:
-        key = surt(url)
-        found, n = [], max(0, bisect.bisect_left(self.keys, key) - 1)
-        while n < len(self.rows) and self.keys[n] <= key:
-            lines = block_lines(RangeReader(f"{self.path}/{self.rows[n].index_file}"), self.rows[n].offset, self.rows[n].length)
-            at = bisect.bisect_left(lines, key, key=lambda line: line[0])
-            while at < len(lines) and lines[at][0] == key:
-                found.append(lines[at])
-                at += 1
-            n += 1
+        key, found = surt(url), []
+        for _, name in self.files[max(0, bisect.bisect_left(self.files, (key,)) - 1) :]:
+            blocks = sorted(map(tuple, self.directory.filter(F.col("index_file") == name).select("first_key", "offset", "length").collect()), key=lambda b: b[1])
+            if not blocks or blocks[0][0] > key:
+                break
+            reader = RangeReader(f"{self.path}/{name}")
+            for first, offset, length in blocks[max(0, bisect.bisect_left(blocks, key, key=lambda b: b[0]) - 1) :]:
+                if first > key:
+                    break
+                lines = block_lines(reader, offset, length)
+                found.extend(lines[bisect.bisect_left(lines, key, key=lambda c: c[0]) : bisect.bisect_right(lines, key, key=lambda c: c[0])])
+            reader.close()
         return found
 
     def records(self, url: str) -> list[dict]:
@@ -256,11 +263,11 @@ def read_records(captures: DataFrame, path: str, files: int, payloads: bool = Tr
     return captures.repartition(files, "file").sortWithinPartitions("file", "offset").mapInArrow(read, RECORDS)
 
 
-def build(pages: DataFrame, path: str, least: int = LEAST) -> tuple[DataFrame, DataFrame]:
+def build(pages: DataFrame, path: str, least: int = LEAST, lines_of_block: int = BLOCK_LINES) -> tuple[DataFrame, DataFrame]:
     """Writes archives and index; the captures and the directory."""
     captures = Stored(write_archives(pages, path, least), "captures").df
     lines = captures.count()
-    directory = Stored(write_index(captures, path, files=max(1, -(-lines // (64 * BLOCK_LINES)))), "directory").df
+    directory = Stored(write_index(captures, path, block_lines=lines_of_block, files=max(1, -(-lines // (FILE_BLOCKS * lines_of_block)))), "directory").df
     return captures, directory
 
 
