@@ -206,3 +206,25 @@ def keep(docs: DataFrame, labels: DataFrame, stratum: str = "lang", alpha: float
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     read = lambda t: spark.read.parquet(f"{sf_dir}/{t}.parquet")
     return judge(read("documents"), read("labels")).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+#: The same for tables of at most MOST_STRATA strata.
+ORACLE = rf"""
+WITH t AS (SELECT doc_id, coalesce(lang, '') AS stratum, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+l AS (SELECT *, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls FROM t),
+win AS (SELECT doc_id, unnest(range(1, len(ws) - {WINDOW - 2})) AS i, ws FROM t),
+twice AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, array_to_string(ws[i:i + {WINDOW - 1}], ' ')) AS n FROM win) WHERE n > 1),
+rep AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest(range(i, i + {WINDOW})) AS p FROM twice) GROUP BY doc_id),
+f AS (SELECT l.doc_id, stratum, len(ws)::BIGINT AS n_words, length(regexp_replace(t, '[\x20\x09-\x0D]', '', 'g'))::BIGINT AS word_chars, (length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols,
+  (len(ls) - len(list_distinct(ls)))::BIGINT AS n_dup_lines, coalesce(rep.n, 0)::BIGINT AS n_repeat_words, len(ls) AS n_lines, len(regexp_extract_all(t, '[A-Z]{{2,}}')) AS n_shouted FROM l LEFT JOIN rep USING (doc_id)),
+b AS (SELECT *, n_words < {LEAST_WORDS} OR 100 * n_repeat_words > {REPEAT_PERCENT} * n_words AS base_failed, greatest(n_words, 1)::DOUBLE AS w FROM f),
+s AS (SELECT doc_id, stratum, base_failed, unnest(['symbols', 'duplicate_lines', 'repeated_words', 'shouted']) AS score,
+  unnest([least(n_symbols / w, 1.0::DOUBLE), n_dup_lines / greatest(n_lines, 1)::DOUBLE, n_repeat_words / w, least(n_shouted / w, 1.0::DOUBLE)]) AS x FROM b),
+h AS (SELECT s.*, g.good FROM s JOIN (SELECT doc_id, min(quality) AS good FROM labels WHERE quality IS NOT NULL GROUP BY doc_id) g USING (doc_id) WHERE NOT base_failed),
+c AS (SELECT stratum, score, cutoff, count(*) FILTER (good = 1) AS n, count(*) FILTER (good = 1 AND x > cutoff) AS above, count(*) FILTER (good <> 1 AND x > cutoff) AS bad FROM h, (SELECT unnest([{", ".join(f"{g!r}::DOUBLE" for g in map(float, GRID))}]) AS cutoff) GROUP BY ALL),
+certain AS (SELECT *, CASE WHEN above >= n THEN 1.0 ELSE list_sum(list_transform(range(0, above + 1), lambda i: exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln({ALPHA}) + (n - i) * ln(1 - {ALPHA})))) END
+  <= {DELTA} / (SELECT count(DISTINCT (stratum, score)) FROM h) AS ok FROM c),
+best AS (SELECT stratum, score, arg_max(cutoff, (bad, -above, cutoff)) AS cutoff FROM certain WHERE ok AND bad > above GROUP BY ALL),
+rejected AS (SELECT DISTINCT s.doc_id FROM s JOIN best ON s.stratum = best.stratum AND s.score = best.score AND s.x > best.cutoff)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND doc_id NOT IN (SELECT doc_id FROM rejected) AS kept FROM b
+"""

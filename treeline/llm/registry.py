@@ -16,6 +16,7 @@ QUERIES = {
 }
 ORACLES = {
     "op3_warc": warc.ORACLE,
+    "op4_quality_rules": quality.ORACLE,
     "op5_embedding_dups": embedding_dups.ORACLE,
     "op9_url_filters": url_filter.ORACLE,
     "op10_ngram_join": ngram_join.ORACLE,
