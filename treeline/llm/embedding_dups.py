@@ -204,7 +204,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, recall: fl
     placed = coded.join(tiles, "vec_id").select("vec_id", "copies", "vector", "code", "factor", "keys", F.inline("tiles"))
     found = Stored(search_tiles(placed, dimension, threshold, seed, 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))), "links").df
     links = found.filter("other IS NULL").groupBy("vec_id").agg(F.sum("n").alias("links"))
-    classes = connected_components(found.filter("other IS NOT NULL"), "vec_id", "other")
+    classes = connected_components(found.filter("other IS NOT NULL"), "vec_id", "other", reduced=True)
 
     joined = (
         reps.select("same", F.col("vec_id").alias("rep"), "copies")

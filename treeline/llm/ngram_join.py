@@ -40,13 +40,13 @@ from pyspark.sql import functions as F
 
 from ..operators.components import connected_components
 from ..plans.shared import Stored, store
-from .shingles import least_overlap, prefix_size, set_id, shingle_sets
+from .shingles import forget_words, least_overlap, prefix_size, set_id, shingle_sets
 
 WIDTH, PERCENT = 5, 80
 #: Keys that are ordered by their number of documents, at most; others count as rare.
 FREQUENT = 1_000_000
 #: Keys that a task collects before it sorts and sends them.
-FLUSH = 1_500_000
+FLUSH = 800_000
 #: Keys in the sets of one task of step 4, about.
 BLOCK_KEYS = 2_000_000
 #: Keys of all documents for each key range.
@@ -59,6 +59,7 @@ def texts_of(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch
         for start in range(0, batch.num_rows, AT_ONCE):
             part = batch.slice(start, AT_ONCE)
             yield part, part.column("text").to_pylist()
+    forget_words()
 
 
 def split_by_range(slots: np.ndarray, ranges: int) -> np.ndarray:
@@ -68,15 +69,17 @@ def split_by_range(slots: np.ndarray, ranges: int) -> np.ndarray:
 
 
 def packed_gaps(values: np.ndarray) -> bytes:
-    """Ascending integers as gaps, in the narrowest of 2, 4 and 8 bytes that holds them all."""
-    gaps = np.diff(values, prepend=np.uint64(0))
+    """Ascending integers as the first one and gaps, in the narrowest of 2, 4 and 8 bytes that holds these all."""
+    gaps = np.diff(values)
     for width in (2, 4, 8):
         if width == 8 or not len(gaps) or int(gaps.max()) < 1 << 8 * width:
-            return bytes([width]) + gaps.astype(f"<u{width}").tobytes()
+            return bytes([width]) + values[:1].astype("<u8").tobytes() + gaps.astype(f"<u{width}").tobytes()
 
 
 def unpacked_gaps(data: bytes) -> np.ndarray:
-    return np.cumsum(np.frombuffer(data, dtype=f"<u{data[0]}", offset=1).astype(np.uint64), dtype=np.uint64)
+    first = np.frombuffer(data, dtype="<u8", offset=1, count=1)
+    gaps = np.frombuffer(data, dtype=f"<u{data[0]}", offset=9).astype(np.uint64)
+    return np.cumsum(np.concatenate([first, gaps]), dtype=np.uint64)
 
 
 COUNTS = "range int, slots binary, many binary, counts binary"
@@ -200,8 +203,12 @@ def merge_lists(key: np.ndarray, doc: np.ndarray, low: np.ndarray, high: np.ndar
     run, at = np.cumsum(starts) - 1, np.flatnonzero(starts)
     least = np.minimum.reduceat(doc, at)
     other = doc != least[run]
-    links = np.unique(np.stack([doc[other], least[run][other]], axis=1), axis=0)
-    return (key[at], least, low[at], np.maximum.reduceat(high, at)), links[:, 0], links[:, 1]
+    src, dst = doc[other], least[run[other]]
+    order = np.lexsort((dst, src))
+    src, dst = src[order], dst[order]
+    new = np.ones(len(src), dtype=bool)
+    new[1:] = (src[1:] != src[:-1]) | (dst[1:] != dst[:-1])
+    return (key[at], least, low[at], np.maximum.reduceat(high, at)), src[new], dst[new]
 
 
 ENTRIES = "range int, keys binary, docs binary, low binary, high binary"
@@ -406,7 +413,7 @@ def jaccard_classes(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT)
     ranges = max(1, -(-total // RANGE_KEYS))
     frequent = spark.sparkContext.broadcast(frequent_keys(docs, ranges, width))
     entries = prefix_entries(docs, frequent, ranges, width, percent)
-    blocks = Stored(connected_components(block_links(entries, ranges, percent)), "blocks").df
+    blocks = Stored(connected_components(block_links(entries, ranges, percent), reduced=True), "blocks").df
 
     # one document stands for each set; partial minima are taken before the shuffle
     stands = sets.filter("set IS NOT NULL AND doc_id IS NOT NULL").groupBy("set").agg(F.min("doc_id").alias("doc_id"), F.max("n_shingles").alias("n"))
@@ -424,7 +431,7 @@ def jaccard_classes(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT)
     text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(wanted, "doc_id").drop("doc_id")
     keyed = whole_sets(text, width).filter("set = doc").select("block", "slice", "doc", "keys", F.inline("tiles"))
     links = search_blocks(keyed, percent, max(1, int(spark.conf.get("spark.sql.shuffle.partitions"))))
-    classes = connected_components(links)
+    classes = connected_components(links, reduced=True)
 
     named = stands.join(classes, F.col("set") == F.col("vertex"), "left").select("set", F.coalesce("component", "set").alias("class"), "doc_id")
     least = named.groupBy("class").agg(F.min("doc_id").alias("component_id"))

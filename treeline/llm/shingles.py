@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import ctypes
 from functools import lru_cache
 
 import numpy as np
 import xxhash
 
 #: Words of one Python process whose hashes are kept.
-WORDS = 400_000
+WORDS = 150_000
 #: Odd constants, one for each place of a word; the last is for texts of fewer words than a shingle.
 PLACES = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63, 0xD6E8FEB86659FD93], dtype=np.uint64)
 TOO_FEW = np.uint64(0xA0761D6478BD642F)
@@ -19,6 +20,15 @@ def word_hashes() -> dict[bytes, int]:
     return {}
 
 
+def forget_words() -> None:
+    """At the end of a task: Python processes wait for others, and should hold little meanwhile."""
+    word_hashes().clear()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # other C libraries free by themselves
+        pass
+
+
 def hashed_words(words: list[bytes]) -> np.ndarray:
     known = word_hashes()
     if len(known) > WORDS:
