@@ -12,8 +12,10 @@ from .operators import analytics, forest, graph, order, traversal
 from .operators.components import connected_components
 from .plans import graphs
 from .plans.graphs import table
+from .plans.shared import scratch
 from .sources import edges as edge_files
 from .sources import run_logs
+from .streaming.incremental import latest_forest, maintain_forest
 
 Query = Callable[[SparkSession, str], DataFrame]
 Graph = Callable[[SparkSession, str], DataFrame]
@@ -166,6 +168,15 @@ def progress_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return per.select("point", F.sum("a").over(up_to).alias("cycles_first"), F.sum("b").over(up_to).alias("cycles_second"))
 
 
+def streaming_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The forest kept over a stream that brings the edges in several batches."""
+    path = scratch(spark, "stream")
+    graphs.nation_trade(spark, sf_dir).repartition(3).write.parquet(f"{path}/in")
+    stream = spark.readStream.schema(forest.EDGE).option("maxFilesPerTrigger", 1).parquet(f"{path}/in")
+    maintain_forest(stream, f"{path}/out", f"{path}/state").awaitTermination()
+    return latest_forest(spark, f"{path}/out")
+
+
 def set_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Light edges against those of even vertices."""
     edges = graphs.nation_trade(spark, sf_dir)
@@ -205,6 +216,7 @@ QUERIES: dict[str, Query] = {
     "msf_part_supplier": msf_of(graphs.part_supplier),
     "msf_filtered": lambda s, d: forest.forest_totals(forest.minimum_spanning_forest(graphs.part_supplier(s, d), "filter")),
     "msf_prefix": lambda s, d: forest.minimum_spanning_forest(order.ranked(graphs.nation_trade(s, d), *graph.ORDER).filter("pos < 100")),
+    "msf_streaming": streaming_forest,
     "edge_membership": lambda s, d: trade(s, d).select("pos", "membership"),
     "edge_classes": over_trade(analytics.class_counts),
     "heavy_filter": heavy_filter,
@@ -302,6 +314,7 @@ SELECT *, 'left' AS side FROM (SELECT * FROM a EXCEPT ALL SELECT * FROM b) UNION
     "msf_totals": over(HOPS, f"SELECT {TOTALS} FROM m WHERE membership = 1"),
     "msf_order_forest": STARS,
     "msf_prefix": over(TRADE, "SELECT src, dst, weight FROM m WHERE membership = 1 AND pos < 100"),
+    "msf_streaming": over(TRADE, "SELECT src, dst, weight FROM m WHERE membership = 1"),
     "edge_membership": over(TRADE, "SELECT pos, membership FROM m"),
     "edge_classes": over(TRADE, "SELECT membership, count(*)::BIGINT AS n_edges FROM m GROUP BY membership"),
     "heavy_filter": over(TRADE, "SELECT src, dst, weight FROM m, (SELECT lab AS l FROM w, n WHERE w.pos = e // 30) WHERE m.pos >= (SELECT e // 30 FROM n) AND l[ps] <> l[pd]"),

@@ -18,6 +18,13 @@ def forest_at(spark: SparkSession, path: str, batch: int) -> DataFrame:
     return spark.read.schema(EDGE).parquet(f"{path}/batch={batch}") if batch >= 0 else spark.createDataFrame([], EDGE)
 
 
+def latest_forest(spark: SparkSession, path: str) -> DataFrame:
+    """The forest after the last batch."""
+    kept = spark.read.parquet(path)
+    last = kept.select("batch").agg({"batch": "max"}).first()[0]
+    return kept.filter(kept["batch"] == last).select("src", "dst", "weight")
+
+
 def maintain_forest(edges: DataFrame, path: str, checkpoint: str, strategy: str = "two_level", **trigger: object) -> StreamingQuery:
     """Keeps the forest of all edges seen in ``path``; ``forest_at`` reads it after a batch."""
 
