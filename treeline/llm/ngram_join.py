@@ -43,8 +43,8 @@ from ..plans.shared import Stored, store
 from .shingles import forget_words, least_overlap, prefix_size, set_id, shingle_sets
 
 WIDTH, PERCENT = 5, 80
-#: Keys that are ordered by their number of documents, at most; others count as rare.
-FREQUENT = 1_000_000
+#: Keys that are ordered by their number of documents, at most (8 bytes each in every task); others count as rare.
+FREQUENT = 4_000_000
 #: Keys that a task collects before it sorts and sends them.
 FLUSH = 800_000
 #: Keys in the sets of one task of step 4, about.
@@ -173,7 +173,7 @@ def frequent_keys(docs: DataFrame, ranges: int, width: int, most: int = FREQUENT
         kept, least = kept + n, level
     if least is None:
         counted.drop()
-        return np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64)
+        return np.zeros(0, dtype=np.uint32), np.zeros(0, dtype=np.uint32)
 
     def above(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -184,7 +184,7 @@ def frequent_keys(docs: DataFrame, ranges: int, width: int, most: int = FREQUENT
 
     rows = counted.df.mapInPandas(above, "slots binary, counts binary").collect()
     counted.drop()
-    slots = np.frombuffer(b"".join(r.slots for r in rows), dtype="<u4").astype(np.uint64)
+    slots = np.frombuffer(b"".join(r.slots for r in rows), dtype="<u4")
     counts = np.frombuffer(b"".join(r.counts for r in rows), dtype="<u4")
     order = np.argsort(slots)
     return slots[order], counts[order]
@@ -242,8 +242,9 @@ def prefix_entries(docs: DataFrame, frequent, ranges: int, width: int, percent:
             ends = np.cumsum(sizes)
             number = np.zeros(len(keys), dtype=np.int64)
             if len(slots):
-                at = np.minimum(np.searchsorted(slots, keys >> np.uint64(32)), len(slots) - 1)
-                number = np.where(slots[at] == keys >> np.uint64(32), counts[at], 0)
+                own_slots = (keys >> np.uint64(32)).astype(np.uint32)
+                at = np.minimum(np.searchsorted(slots, own_slots), len(slots) - 1)
+                number = np.where(slots[at] == own_slots, counts[at], 0)
             for a, n in zip((ends - sizes).tolist(), sizes.tolist()):
                 if n:
                     own = keys[a : a + n]
@@ -428,7 +429,8 @@ def jaccard_classes(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT)
         "placed",
     )
     wanted = placed.groupBy("doc_id", "doc").agg(F.first("block").alias("block"), F.first("slice").alias("slice"), F.collect_list(F.struct("a", "b")).alias("tiles"))
-    text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(wanted, "doc_id").drop("doc_id")
+    # the places are the hashed side at any size, so the texts are not sorted
+    text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(wanted.hint("shuffle_hash"), "doc_id").drop("doc_id")
     keyed = whole_sets(text, width).filter("set = doc").select("block", "slice", "doc", "keys", F.inline("tiles"))
     links = search_blocks(keyed, percent, max(1, int(spark.conf.get("spark.sql.shuffle.partitions"))))
     classes = connected_components(links, reduced=True)
@@ -443,7 +445,7 @@ def keep_one(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> Dat
     """One document of each class, the one with the smallest doc_id, with all columns of docs; of rows that repeat its doc_id, one. Rows without a doc_id stay."""
     kept = jaccard_classes(docs, width, percent).filter("doc_id = component_id").select("doc_id").distinct()
     first = Window.partitionBy("doc_id").orderBy("text")
-    rows = docs.join(kept, "doc_id", "left_semi").select(F.struct(*(docs[c] for c in docs.columns)).alias("row"), "doc_id", "text")
+    rows = docs.join(kept.hint("shuffle_hash"), "doc_id", "left_semi").select(F.struct(*(docs[c] for c in docs.columns)).alias("row"), "doc_id", "text")
     named = rows.withColumn("n", F.row_number().over(first)).filter("n = 1").select("row.*")
     return named.union(docs.filter("doc_id IS NULL"))
 
