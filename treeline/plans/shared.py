@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -47,6 +48,12 @@ def store(df: DataFrame, name: str = "table") -> DataFrame:
     return Stored(df, name).df
 
 
+def release(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files of tables that nothing refers to any more; it does so when the driver collects garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def hash_partitions(df: DataFrame, *columns: str) -> DataFrame:
     """Repartitions by columns into the session's number of shuffle partitions."""
     return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *columns)
