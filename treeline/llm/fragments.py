@@ -23,7 +23,7 @@ from tokenizers import Tokenizer
 from tokenizers.models import BPE
 
 #: Entries of one generation of a memo of fragments, and of the memo of pieces: about 250 MB of a Python process at most.
-MEMO, PIECES = 500_000, 250_000
+MEMO, PIECES = 500_000, 200_000
 #: Longer fragments are encoded anew each time.
 LONGEST = 200
 #: Letters and signs below U+0250 without blanks: here lower-casing, NFC and the classes of letters and digits need no context.
@@ -45,6 +45,32 @@ def packed(ids: list[int] | tuple[int, ...]) -> bytes:
     return out.tobytes()
 
 
+def unpacked(data: bytes) -> array:
+    out = array("I")
+    out.frombytes(data)
+    if sys.byteorder == "big":
+        out.byteswap()
+    return out
+
+
+class Kept(dict):
+    """A memo of texts in two generations, for single look-ups."""
+
+    def __init__(self, most: int):
+        super().__init__()
+        self.most, self.old = most, {}
+
+    def __missing__(self, text: str) -> bytes | None:
+        return self.old.get(text)
+
+    def keep(self, text: str, value: bytes) -> None:
+        if len(self) >= self.most:
+            self.old = dict(self)
+            self.clear()
+        if len(text) < LONGEST:
+            self[text] = value
+
+
 class Memo:
     """Values by text in two generations: when the young one is full it becomes the old one, whose entries return on use."""
 
@@ -102,7 +128,7 @@ class PieceModel:
         after = {a: "".join(chr(b) for b in low if not joined[a << 8 | b]) for a in low}
         #: A certain cut in a text of ASCII lower-case letters.
         self.cut_letters = re.compile("|".join(f"{chr(a)}[{x}]" for a, x in after.items() if x) or "(?!)")
-        self.memo: dict[str, bytes] = {}
+        self.memo = Kept(PIECES)
 
     def certain_cuts(self, raw: bytes) -> list[bytes]:
         joined, cuts = self.joined, [0]
@@ -120,16 +146,13 @@ class PieceModel:
 
     def piece_ids(self, piece: str) -> bytes:
         """Ids of one piece, given as plain text."""
-        found = self.memo.get(piece)
+        found = self.memo[piece]
         if found is None:
-            if len(self.memo) >= PIECES:
-                self.memo.clear()
             if piece.isascii() and piece.isalpha() and piece.islower() and not self.cut_letters.search(piece):
                 found = packed([t.id for t in self.closed.tokenize(piece)])
             else:
                 found = packed(self.raw_ids(piece.encode()))
-            if len(piece) < LONGEST:
-                self.memo[piece] = found
+            self.memo.keep(piece, found)
         return found
 
     def library_ids(self, text: str) -> list[int]:
@@ -208,13 +231,10 @@ class ByteLevelEncoder(PieceModel):
         return b"".join(map(self.piece_ids, self.PATTERN.findall(chunk)))
 
     def piece_ids(self, piece: str) -> bytes:
-        found = self.memo.get(piece)
+        found = self.memo[piece]
         if found is None:
-            if len(self.memo) >= PIECES:
-                self.memo.clear()
             found = packed([t.id for t in self.closed.tokenize(piece.encode().decode("latin1").translate(self.alphabet))])
-            if len(piece) < LONGEST:
-                self.memo[piece] = found
+            self.memo.keep(piece, found)
         return found
 
     def ids(self, text: str | None) -> bytes:

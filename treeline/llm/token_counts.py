@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from .bpe import TOKENIZER, map_rows
-from .fragments import LONGEST, PIECES, PLAIN, FragmentEncoder, Memo, packed
+from .fragments import PIECES, PLAIN, FragmentEncoder, Kept, Memo, packed, unpacked
 
 LIMIT = 2048
 #: Pairs of tokens whose compatibility one Python process keeps.
@@ -57,7 +57,7 @@ class PrefixCounter(FragmentEncoder):
                 inside, at_end = self.nodes.get(plain, (-1, -1))
                 self.nodes[plain] = (inside, i) if ends else (i, at_end)
         self.pairs: dict[int, bool] = {}
-        self.tables: dict[str, bytes] = {}
+        self.tables = Kept(PIECES)
         self.rows = Memo(self.fragment_row)
 
     def edges(self, token: int, side: int) -> list[tuple[int, float]]:
@@ -89,7 +89,7 @@ class PrefixCounter(FragmentEncoder):
 
     def piece_table(self, piece: str) -> bytes:
         """Counts of the piece cut off behind each of its characters."""
-        found = self.tables.get(piece)
+        found = self.tables[piece]
         if found is not None:
             return found
         if piece.isascii():
@@ -97,24 +97,23 @@ class PrefixCounter(FragmentEncoder):
         else:
             text = piece.encode().decode("latin1").translate(self.alphabet)
             ends = np.cumsum([len(c.encode()) for c in piece]).tolist()
-        size, nodes, compatible = len(text), self.nodes, self.compatible
+        size, nodes, known, compatible = len(text), self.nodes, self.pairs.get, self.compatible
         last, count, out = [-1] * (size + 1), [0] * (size + 1), [0] * (size + 1)
         for j in range(size):
-            before, here = last[j], count[j] + 1
+            before, here = last[j] << 32, count[j] + 1
             for k in range(j + 1, size + 1):
                 node = nodes.get(text[j:k])
                 if node is None:
                     break
                 inside, at_end = node
-                if inside >= 0 and last[k] < 0 and (not j or compatible(before, inside)):
-                    last[k], count[k] = inside, here
-                if at_end >= 0 and not out[k] and (not j or compatible(before, at_end)):
-                    out[k] = here
+                if inside >= 0 and last[k] < 0:
+                    if not j or (ok := known(before | inside)) or ok is None and compatible(last[j], inside):
+                        last[k], count[k] = inside, here
+                if at_end >= 0 and not out[k]:
+                    if not j or (ok := known(before | at_end)) or ok is None and compatible(last[j], at_end):
+                        out[k] = here
         found = packed([out[e] for e in ends] if ends else out[1:])
-        if len(self.tables) >= PIECES:
-            self.tables.clear()
-        if len(piece) < LONGEST:
-            self.tables[piece] = found
+        self.tables.keep(piece, found)
         return found
 
     def fragment_row(self, fragment: str) -> bytes:
@@ -123,13 +122,16 @@ class PrefixCounter(FragmentEncoder):
             return packed([0])
         if self.has_special(fragment) or not (fragment.isascii() and fragment.isprintable() or PLAIN.fullmatch(fragment)) or "'" in fragment or "İ" in fragment:
             return self.direct_row(fragment)
-        parts, before = [], 0
-        for piece in self.pattern.findall(fragment.lower()):
-            table = np.frombuffer(self.piece_table(piece), dtype="<u4") + before
-            parts.append(table)
-            before = int(table[-1])
-        parts.append([before])
-        return np.concatenate(parts).astype("<u4").tobytes()
+        pieces = self.pattern.findall(fragment.lower())
+        if len(pieces) == 1:
+            table = self.piece_table(pieces[0])
+            return table + table[-4:]
+        row, before = [], 0
+        for piece in pieces:
+            row.extend(before + n for n in unpacked(self.piece_table(piece)))
+            before = row[-1]
+        row.append(before)
+        return packed(row)
 
     def direct_row(self, fragment: str) -> bytes:
         """For fragments in which a cut can change what stands before it: apostrophes, special tokens, composed characters."""
