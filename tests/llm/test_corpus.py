@@ -66,7 +66,7 @@ def test_shingle_sets():
 @pytest.mark.parametrize("small", [False, True])
 def test_ngram_join_against_brute_force(spark, monkeypatch, small):
     if small:  # many ranges, flushes and slices
-        for name, value in {"RANGE_KEYS": 700, "FLUSH": 300, "BLOCK_KEYS": 400, "FREQUENT": 50, "AT_ONCE": 7}.items():
+        for name, value in {"RANGE_KEYS": 700, "FLUSH": 300, "ENTRIES_FLUSH": 300, "BLOCK_KEYS": 400, "FREQUENT": 50, "AT_ONCE": 7}.items():
             monkeypatch.setattr(ngram_join, name, value)
     texts = corpus(seed=3 + small)
     sets, linked = linked_by_hand(texts)

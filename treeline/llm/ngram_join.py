@@ -11,7 +11,8 @@ shares at least ceil(bound * n) keys, it shares one of the prefix.
    already merged its own entries: of a list only chains of documents with compatible sizes remain, each
    as one entry with its range of sizes. So a list that holds a third of all documents comes down to a
    few entries for each task, and gives links only, not pairs.
-3. The components of these links are blocks: no similar pair lies in two of them. Whole sets of the
+3. The components of these links are blocks: no similar pair lies in two of them. Large blocks go through
+   steps 1 and 2 again by themselves, as counts within them tell more keys apart. Whole sets of the
    documents in blocks of two or more go to their block; a large block is cut into slices, and each
    pair of slices is one task.
 4. Within a block, T-occurrence search finds for every document those of the block that share the
@@ -39,7 +40,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators.components import connected_components
-from ..plans.shared import Stored, store
+from ..plans.shared import Stored, release, store
 from .shingles import forget_words, least_overlap, prefix_size, set_id, shingle_sets
 
 WIDTH, PERCENT = 5, 80
@@ -47,8 +48,12 @@ WIDTH, PERCENT = 5, 80
 FREQUENT = 4_000_000
 #: Keys that a task collects before it sorts and sends them.
 FLUSH = 800_000
+#: The same for entries of lists, which take more.
+ENTRIES_FLUSH = 400_000
 #: Keys in the sets of one task of step 4, about.
 BLOCK_KEYS = 2_000_000
+#: Times that large blocks are blocked again.
+DEPTH = 3
 #: Keys of all documents for each key range.
 RANGE_KEYS = 4_000_000
 AT_ONCE = 500
@@ -253,7 +258,7 @@ def prefix_entries(docs: DataFrame, frequent, ranges: int, width: int, percent:
                         short = own[np.argsort(number[a : a + n], kind="stable")[:p]]
                     held.append((short >> np.uint64(16), set_id(own), n))
                     size += p
-            if size >= FLUSH:
+            if size >= ENTRIES_FLUSH:
                 yield from flush(held)
                 held, size = [], 0
         if held:
@@ -406,19 +411,39 @@ def whole_sets(docs: DataFrame, width: int) -> DataFrame:
     return docs.mapInArrow(run, schema)
 
 
+def block_members(docs: DataFrame, keys: int, stands: DataFrame, width: int, percent: int, depth: int = DEPTH) -> DataFrame:
+    """Steps 1 to 3: doc_id, doc (its set), block and n of the documents in blocks of two or more; keys: of all docs.
+
+    Where more keys are shared than the table of frequent ones holds, chance links make blocks large. These are
+    blocked again by themselves, in an order by the counts within them, until that no longer helps.
+    """
+    spark = docs.sparkSession
+    ranges = max(1, -(-keys // RANGE_KEYS))
+    frequent = spark.sparkContext.broadcast(frequent_keys(docs, ranges, width))
+    release(spark)
+    links = block_links(prefix_entries(docs, frequent, ranges, width, percent), ranges, percent)
+    blocks = Stored(connected_components(links, reduced=True), "blocks").df
+    members = store(blocks.join(stands, F.col("vertex") == F.col("set")).select("doc_id", F.col("vertex").alias("doc"), F.col("component").alias("block"), "n"), "members")
+    large = members.groupBy("block").agg(F.sum("n").alias("keys")).filter(F.col("keys") > BLOCK_KEYS)
+    held = large.agg(F.sum("keys")).first()[0] or 0
+    if not depth or not held or held > 0.7 * keys:
+        return members
+    again = members.join(large.select("block"), "block", "left_semi").select("doc_id").distinct()
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(again.hint("shuffle_hash"), "doc_id", "left_semi")
+    finer = block_members(store(texts, "large-blocks"), held, stands, width, percent, depth - 1)
+    # a copy that stands elsewhere may come along with a repeated doc_id; it keeps its own block
+    kept = members.join(large.select("block"), "block", "left_anti").select("doc_id", "doc", "block", "n")
+    return kept.union(finer.join(kept.select("doc"), "doc", "left_anti").select("doc_id", "doc", "block", "n"))
+
+
 def jaccard_classes(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles and component_id (smallest doc_id of the class) of every row of docs (doc_id, text)."""
     spark = docs.sparkSession
     sets = store(describe(docs, width), "sets")
-    total = sets.agg(F.sum("n_shingles")).first()[0] or 0
-    ranges = max(1, -(-total // RANGE_KEYS))
-    frequent = spark.sparkContext.broadcast(frequent_keys(docs, ranges, width))
-    entries = prefix_entries(docs, frequent, ranges, width, percent)
-    blocks = Stored(connected_components(block_links(entries, ranges, percent), reduced=True), "blocks").df
-
     # one document stands for each set; partial minima are taken before the shuffle
     stands = sets.filter("set IS NOT NULL AND doc_id IS NOT NULL").groupBy("set").agg(F.min("doc_id").alias("doc_id"), F.max("n_shingles").alias("n"))
-    members = blocks.join(stands, F.col("vertex") == F.col("set")).select("doc_id", F.col("vertex").alias("doc"), F.col("component").alias("block"), "n")
+    members = block_members(docs, sets.agg(F.sum("n_shingles")).first()[0] or 0, stands, width, percent)
+    release(spark)
     slices = members.groupBy("block").agg(F.sum("n").alias("keys")).select("block", F.ceil(2 * F.col("keys") / BLOCK_KEYS).alias("s"))
     placed = members.join(slices.select("block", F.when(F.col("s") <= 2, 1).otherwise(F.col("s")).cast("long").alias("s")), "block")
     own = F.pmod(F.xxhash64("doc"), F.col("s"))
@@ -434,6 +459,8 @@ def jaccard_classes(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT)
     keyed = whole_sets(text, width).filter("set = doc").select("block", "slice", "doc", "keys", F.inline("tiles"))
     links = search_blocks(keyed, percent, max(1, int(spark.conf.get("spark.sql.shuffle.partitions"))))
     classes = connected_components(links, reduced=True)
+    del text, keyed, links
+    release(spark)
 
     named = stands.join(classes, F.col("set") == F.col("vertex"), "left").select("set", F.coalesce("component", "set").alias("class"), "doc_id")
     least = named.groupBy("class").agg(F.min("doc_id").alias("component_id"))
