@@ -55,7 +55,7 @@ BLOCK_KEYS = 2_000_000
 #: Times that large blocks are blocked again.
 DEPTH = 3
 #: Keys of all documents for each key range.
-RANGE_KEYS = 4_000_000
+RANGE_KEYS = 1_000_000
 AT_ONCE = 500
 
 
