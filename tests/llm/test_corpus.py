@@ -250,6 +250,26 @@ def test_mixture(spark, monkeypatch):
     assert {r.doc_id for r in mixing.mix(docs).collect()} == {r[0] for r in rows}
 
 
+@pytest.mark.parametrize("limit", [{}, {"target_entropy": 3.2}])
+def test_mixture_of_many_sources(spark, monkeypatch, limit):
+    rng = random.Random(8)
+    rows = [(n, rng.choice(["big"] * 60 + [None] * 3 + [f"s{k}" for k in range(40)]), "w " * rng.randint(0, 20)) for n in range(3000)]
+    docs = spark.createDataFrame(rows + [(4001, "empty", ""), (4002, "empty", None)], "doc_id long, source string, text string")
+    tokens = {}
+    for _, s, t in rows:
+        tokens[s] = tokens.get(s, 0) + len(t.split())
+    times = mixing.passes(tokens, mixing.fit_exponent(tokens, **limit), None)
+    found = []
+    for most in (mixing.MOST_SOURCES, 2):
+        monkeypatch.setattr(mixing, "MOST_SOURCES", most)
+        out = mixing.mix(docs, **limit).collect()
+        read = {s: sum(r.n_tokens for r in out if r.source == s) for s in tokens}
+        assert all(0 <= times[s] * tokens[s] - read[s] + 1e-3 <= 21 for s in tokens)
+        assert sum(r.source == "empty" for r in out) == 2
+        found.append(sorted(map(tuple, out), key=str))
+    assert found[0] == found[1]
+
+
 @pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="test data")
 def test_pipeline(spark):
     import corpus_pipeline

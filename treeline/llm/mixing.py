@@ -10,8 +10,10 @@ source are put in a seeded random order, and documents within blocks too; the pa
 that order, cut where its tokens reach the rest of the budget. ``place``, between 0 and 1, spreads each
 source evenly over the run, in the order of its passes.
 
-Tokens are words here, runs of characters other than blank and 09-0D. The ``MOST_SOURCES`` sources with
-most tokens are mixed by name, so tables of sources have a bound; all others count as one source.
+Tokens are words here, runs of characters other than blank and 09-0D. The mixture depends only on how many
+sources have each number of tokens, and that table comes to the driver: T tokens make fewer than
+sqrt(2 T) + 1 different numbers. The ``MOST_SOURCES`` sources with most rows go to every task and are cut by histograms;
+all others are joined and cut by source in a shuffle, with the same result.
 
 Defined cases: null sources are one source; null or empty texts have no token and are kept in whole passes; rows that
 repeat are read like any other; a source without tokens is read once; an empty table gives no row.
@@ -22,7 +24,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..plans.shared import Stored
@@ -38,28 +40,30 @@ def words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(r"[^ \t\n\x0B\f\r]+")), F.lit(0)).cast("long")
 
 
-def weights(tokens: dict[int, int], exponent: float) -> dict[int, float]:
-    total = sum(tokens.values())
+def weights(tokens: dict[int, int], exponent: float, alike: dict[int, int] | None = None) -> dict[int, float]:
+    """The weight of each source; alike: how many sources an entry of tokens stands for (default: one)."""
+    number = alike or dict.fromkeys(tokens, 1)
+    total = sum(n * number[s] for s, n in tokens.items())
     raised = {s: (n / total) ** exponent for s, n in tokens.items()}
-    whole = sum(raised.values())
+    whole = sum(w * number[s] for s, w in raised.items())
     return {s: w / whole for s, w in raised.items()}
 
 
-def entropy(mixture: dict[int, float]) -> float:
-    return -sum(w * math.log(w) for w in mixture.values() if w > 0)
+def entropy(mixture: dict[int, float], alike: dict[int, int] | None = None) -> float:
+    return -sum(w * math.log(w) * (alike[s] if alike else 1) for s, w in mixture.items() if w > 0)
 
 
-def passes(tokens: dict[int, int], exponent: float, budget: float | None) -> dict[int, float]:
+def passes(tokens: dict[int, int], exponent: float, budget: float | None, alike: dict[int, int] | None = None) -> dict[int, float]:
     """Times that each source is read."""
-    mixture = weights(tokens, exponent)
+    mixture = weights(tokens, exponent, alike)
     budget = budget or max(n / mixture[s] for s, n in tokens.items())
     return {s: budget * mixture[s] / n for s, n in tokens.items()}
 
 
-def fit_exponent(tokens: dict[int, int], repeats: float | None = REPEATS, target_entropy: float | None = None, budget: float | None = None) -> float:
+def fit_exponent(tokens: dict[int, int], repeats: float | None = REPEATS, target_entropy: float | None = None, budget: float | None = None, alike: dict[int, int] | None = None) -> float:
     """The exponent, by 60 halvings; 1 if even the sources' own shares exceed the limit."""
     if target_entropy is not None:
-        ok = lambda t: entropy(weights(tokens, 1 - t)) >= target_entropy
+        ok = lambda t: entropy(weights(tokens, 1 - t, alike), alike) >= target_entropy
         if ok(0.0):
             return 1.0
         low, high = 0.0, 1.0  # high reaches the target, as far as any mixture does
@@ -67,7 +71,7 @@ def fit_exponent(tokens: dict[int, int], repeats: float | None = REPEATS, target
             middle = (low + high) / 2
             low, high = (low, middle) if ok(middle) else (middle, high)
         return 1 - high
-    fits = lambda t: max(passes(tokens, t, budget).values()) <= repeats * (1 + 1e-12)
+    fits = lambda t: max(passes(tokens, t, budget, alike).values()) <= repeats * (1 + 1e-12)
     if fits(0.0):
         return 0.0
     low, high = 0.0, 1.0
@@ -83,36 +87,48 @@ def mix(docs: DataFrame, source: str = "source", repeats: float | None = REPEATS
     rows = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("row"))
     name = F.col(f"row.{source}").cast("string")
     counted = Stored(rows.select(name.alias("source"), F.xxhash64("row.doc_id", F.lit(seed)).alias("hash"), words(F.col("row.text")).alias("tokens")), "tokens")
-    totals = counted.df.groupBy("source").agg(F.sum("tokens").alias("tokens")).orderBy(F.desc("tokens"), "source")
-    named = [(n, r.source, r.tokens) for n, r in enumerate(totals.limit(MOST_SOURCES).collect())]
-    every = counted.df.agg(F.coalesce(F.sum("tokens"), F.lit(0))).first()[0]
-    tokens = {n: t for n, _, t in named if t}
-    if pooled := every - sum(tokens.values()):
-        tokens[len(named)] = pooled
-    times = passes(tokens, fit_exponent(tokens, repeats, target_entropy, budget), budget) if tokens else {}
-    spec = [(n, max(1, -(-tokens.get(n, 1) // BLOCK_TOKENS)), *_realised(times.get(n, 1.0), tokens.get(n, 0))) for n in range(len(named) + 1)]
-
-    # both tables have at most MOST_SOURCES + 1 rows
-    names = F.broadcast(spark.createDataFrame([(s, n) for n, s, _ in named], "name string, node long"))
-    blocks = F.broadcast(spark.createDataFrame([(n, b) for n, b, *_ in spec], "node long, blocks long"))
+    totals = Stored(counted.df.groupBy("source").agg(F.sum("tokens").alias("tokens"), F.count("*").alias("rows")), "totals")
+    alike = {r.tokens: r.n for r in totals.df.groupBy("tokens").agg(F.count("*").alias("n")).collect()}
+    tokens = {t: t for t in alike if t}
+    times = passes(tokens, fit_exponent(tokens, repeats, target_entropy, budget, alike), budget, alike) if tokens else {}
+    spec = [(t, max(1, -(-t // BLOCK_TOKENS)), *_realised(times.get(t, 1.0), t), times.get(t, 1.0)) for t in alike]
+    # one row for each number of tokens
+    by_tokens = F.broadcast(spark.createDataFrame(spec, "tokens long, blocks long, whole int, rest long, times double"))
+    named = totals.df.orderBy(F.desc("rows"), "source").limit(MOST_SOURCES).join(by_tokens, "tokens").collect()
+    names = F.broadcast(spark.createDataFrame([(n, r.source, r.blocks) for n, r in enumerate(named)], "node long, name string, blocks long"))
 
     def keyed(df: DataFrame, at: Column, hashed: Column) -> DataFrame:
-        """With node, block and key: the block's place in the order of the last pass, then the document's within it."""
-        found = df.join(names, at.eqNullSafe(F.col("name")), "left").drop("name").withColumn("node", F.coalesce("node", F.lit(len(named)))).join(blocks, "node")
+        """With block and key: the block's place in the order of the last pass, then the document's within it."""
         block = F.pmod(hashed, F.col("blocks"))
-        key = F.shiftleft(F.pmod(F.xxhash64("node", block, F.lit(seed + 1)), F.lit(1 << 30)), KEY_BITS - 30).bitwiseOR(F.pmod(F.xxhash64(hashed, F.lit(seed + 2)), F.lit(1 << (KEY_BITS - 30))))
-        return found.withColumn("block", block).withColumn("key", key)
-
-    targets = {n: rest for n, _, _, rest in spec if rest > 0}
-    cuts = weighted_cuts(keyed(counted.df, F.col("source"), F.col("hash")).select("node", "key", F.col("tokens").alias("weight")), targets) if targets else {}
+        key = F.shiftleft(F.pmod(F.xxhash64(at, block, F.lit(seed + 1)), F.lit(1 << 30)), KEY_BITS - 30).bitwiseOR(F.pmod(F.xxhash64(hashed, F.lit(seed + 2)), F.lit(1 << (KEY_BITS - 30))))
+        return df.withColumn("block", block).withColumn("key", key)
+
+    def at_source(df: DataFrame, at: Column, plan: DataFrame, how: str = "inner") -> DataFrame:
+        return df.join(plan, at.eqNullSafe(F.col("name")), how).drop("name")
+
+    targets = {n: r.rest for n, r in enumerate(named) if r.rest > 0}
+    own, hashed = F.col("source"), F.xxhash64("row.doc_id", F.lit(seed))
+    items = keyed(at_source(counted.df, own, names), own, F.col("hash")).select("node", "key", F.col("tokens").alias("weight"))
+    cuts = weighted_cuts(items, targets) if targets else {}
+    plan = F.broadcast(spark.createDataFrame([(r.source, r.blocks, r.whole, cuts.get(n, 0), r.times) for n, r in enumerate(named)], "name string, blocks long, whole int, cut long, times double"))
+    out = at_source(rows, name, plan)
+    if sum(alike.values()) > len(named):
+        # each of these has at most one row in MOST_SOURCES
+        others = at_source(totals.df, own, names.select("name"), "left_anti").join(by_tokens, "tokens").select(own.alias("name"), "blocks", "whole", "rest", "times")
+        partly = keyed(at_source(counted.df, own, others.filter("rest > 0").hint("shuffle_hash")), own, F.col("hash"))
+        read = F.sum("tokens").over(Window.partitionBy("source").orderBy("key").rangeBetween(Window.unboundedPreceding, Window.currentRow))
+        beyond = partly.withColumn("read", read).filter("read > rest").groupBy(own.alias("cut_name")).agg(F.min("key").alias("cut"))
+        cut = F.when(F.col("rest") > 0, F.coalesce("cut", F.lit(1 << KEY_BITS))).otherwise(0)
+        others = Stored(others.join(beyond, F.col("name").eqNullSafe(F.col("cut_name")), "left").select("name", "blocks", "whole", cut.alias("cut"), "times"), "others")
+        out = out.union(at_source(at_source(rows, name, names.select("name"), "left_anti"), name, others.df.hint("shuffle_hash")))
     counted.drop()
-    plan = F.broadcast(spark.createDataFrame([(n, whole, cuts.get(n, 0), times.get(n, 1.0)) for n, _, whole, _ in spec], "node long, whole int, cut long, times double"))
-    out = keyed(rows, name, F.xxhash64("row.doc_id", F.lit(seed))).join(plan, "node")
+    totals.drop()
+    out = keyed(out, name, hashed)
     reads = F.col("whole") + (F.col("key") < F.col("cut")).cast("int")
     out = out.filter(reads > 0).withColumn("epoch", F.explode(F.sequence(F.lit(0), reads - 1)))
     if not added:
         return out.select("row.*")
-    at = F.xxhash64("node", "block", "epoch", F.lit(seed + 3))
+    at = F.xxhash64(name, "block", "epoch", F.lit(seed + 3))
     place = (F.col("epoch") + F.pmod(at, F.lit(1 << 30)) / float(1 << 30)) / F.greatest(F.ceil("times"), F.lit(1))
     clash = {"n_tokens", "epoch", "block", "place"}
     kept = [F.col("row")[c].alias(c) for c in docs.columns if c not in clash]
