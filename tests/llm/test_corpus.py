@@ -181,6 +181,22 @@ def test_quality_verdicts(spark):
     assert quality.judge(docs.limit(0), marks).count() == 0
 
 
+def test_quality_of_many_strata(spark):
+    rng = random.Random(5)
+    rows, labels = [], []
+    # 63 strata with 21 labels, 90 with 20 that have too few good texts to certify anything, and one with many
+    for lang, good, bad in [(f"a{n}", 21, 0) for n in range(63)] + [(f"b{n}", 10, 10) for n in range(90)] + [("en", 1200, 300)]:
+        for k in range(good + bad):
+            words = [f"w{rng.randrange(10**6)}" for _ in range(30)]
+            rows.append((len(rows), " ".join(words if k < good else [w + "###" for w in words]), lang))
+            labels.append((len(labels), int(k < good)))
+    rows.append((10**6, " ".join(f"v{n}###" for n in range(30)), "unlabelled"))
+    docs, marks = spark.createDataFrame(rows, "doc_id long, text string, lang string"), spark.createDataFrame(labels, "doc_id long, quality int")
+    lang, good = {r[0]: r[2] for r in rows}, dict(labels)
+    want = {n for n in lang if lang[n] != "en" or good[n]}
+    assert {r.doc_id for r in quality.judge(docs, marks).filter("kept").collect()} == want == {r.doc_id for r in quality.keep(docs, marks).collect()}
+
+
 def test_no_cutoff_beyond_the_risk():
     # 2000 good documents of which 30 lie above: more than one in a hundred, so the cutoff is not certified
     counts = [("en", "s", 0.5, 2000, 30, 900), ("en", "s", 0.7, 2000, 4, 500), ("en", "s", 0.9, 2000, 0, 5)]

@@ -9,10 +9,11 @@ fails, which needs no further correction. So with probability 1 - delta no certi
 more than the share alpha of the good documents of its stratum. Of the certified cutoffs that reject
 more bad than good documents of the holdout, the one that rejects most bad ones is taken; among equals,
 the one that rejects fewest good ones, then the loosest. A stratum and score without such a cutoff
-rejects nothing. Strata beyond the ``most_strata`` with most labels are pooled into one.
+rejects nothing, nor does one without labels; every stratum is fitted by itself, whatever their number.
 
-The holdout is every labelled document that passes the base rule; the tables that come to the driver
-have one row for each stratum, score and grid point.
+The holdout is every labelled document that passes the base rule. Cutoffs are picked in a group for each
+stratum and go to every task: a certified one takes ln(delta) / ln(1 - alpha) good documents of its stratum
+at least (299), so their strata are at most that part of the labelled documents.
 
 Defined cases: a null text has no words, which the base rule rejects; a null language is a stratum of
 its own; labels that are null, or for unknown documents, are ignored, and a document with several
@@ -29,6 +30,7 @@ from collections.abc import Iterable, Iterator
 from functools import reduce
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -41,8 +43,6 @@ WINDOW, LEAST_WORDS, REPEAT_PERCENT = 8, 20, 30
 ALPHA, DELTA = 0.01, 0.05
 #: Grid of cutoffs of every score.
 GRID = tuple(round(x, 4) for x in (*np.arange(0.0, 0.2, 0.005), *np.arange(0.2, 1.0, 0.02)))
-MOST_STRATA = 64
-POOLED = "\x00pooled"
 FEATURES = {"n_words": "long", "word_chars": "long", "n_symbols": "long", "n_dup_lines": "long", "n_repeat_words": "long", "n_lines": "long", "n_shouted": "long"}
 _SHOUT = re.compile(rb"[A-Z]{2,}")
 
@@ -151,8 +151,8 @@ def pick_cutoffs(counts: Iterable[tuple[str, str, float, int, int, int]], tests:
     return {k: v[2] for k, v in best.items()}
 
 
-def fit(featured: DataFrame, labels: DataFrame, stratum: str, alpha: float = ALPHA, delta: float = DELTA, most_strata: int = MOST_STRATA) -> dict[tuple[str | None, str], float]:
-    """Cutoffs from the labelled rows of ``featured``; the stratum POOLED stands for those not named."""
+def fit(featured: DataFrame, labels: DataFrame, stratum: str, alpha: float = ALPHA, delta: float = DELTA) -> DataFrame:
+    """Cutoffs from the labelled rows of ``featured``: at_stratum, and the cutoff of each score or null; only strata with a cutoff."""
     good = labels.filter(F.col("doc_id").isNotNull() & F.col("quality").isNotNull()).groupBy("doc_id").agg(F.min("quality").alias("good"))
     named = scores()
     holdout = (
@@ -163,35 +163,42 @@ def fit(featured: DataFrame, labels: DataFrame, stratum: str, alpha: float = ALP
     # a score is above grid points 0 .. n - 1 for one n, so counts by n give the counts above each point
     levels = [reduce(lambda a, b: a + b, [(F.col(n) > g).cast("int") for g in GRID]).alias(n) for n in named]
     long = holdout.select("stratum", "good", F.explode(F.array(*(F.struct(F.lit(n).alias("score"), c.alias("level")) for n, c in zip(named, levels)))).alias("s"))
-    rows = long.select("stratum", "good", "s.*").groupBy("stratum", "score", "level").agg(F.count_if(F.col("good") == 1).alias("good"), F.count_if(F.col("good") != 1).alias("bad"))
-    sizes = holdout.groupBy("stratum").count().orderBy(F.desc("count"), "stratum").limit(most_strata)
-    top = [r.stratum for r in sizes.select("stratum").collect()]
-    rows = rows.withColumn("stratum", F.when(F.col("stratum").isin(top), F.col("stratum")).otherwise(POOLED)) if len(top) == most_strata else rows
-    table: dict[tuple[str, str], np.ndarray] = {}
-    for r in rows.groupBy("stratum", "score", "level").agg(F.sum("good").alias("good"), F.sum("bad").alias("bad")).collect():
-        table.setdefault((r.stratum, r.score), np.zeros((2, len(GRID) + 1), dtype=np.int64))[:, r.level] += (r.good, r.bad)
-    counts = []
-    for (at, score), levels_of in table.items():
-        above = levels_of[:, ::-1].cumsum(axis=1)[:, ::-1]
-        counts.extend((at, score, GRID[g], int(above[0, 0]), int(above[0, g + 1]), int(above[1, g + 1])) for g in range(len(GRID)))
-    return pick_cutoffs(counts, max(1, len(table)), alpha, delta)
-
-
-def verdict(cutoffs: dict[tuple[str, str], float], stratum: str) -> Column:
-    """True for rows that neither the base rule nor a cutoff of their stratum rejects."""
+    rows = store(long.select("stratum", "good", "s.*").groupBy("stratum", "score", "level").agg(F.count_if(F.col("good") == 1).alias("good"), F.count_if(F.col("good") != 1).alias("bad")), "levels")
+    tests = max(1, rows.select("stratum", "score").distinct().count())
+
+    names = list(named)
+
+    def pick(group: pd.DataFrame) -> pd.DataFrame:
+        counts = []
+        for (at, score), levels_of in group.groupby(["stratum", "score"]):
+            table = np.zeros((2, len(GRID) + 1), dtype=np.int64)
+            table[:, levels_of["level"].to_numpy()] = levels_of[["good", "bad"]].to_numpy().T
+            above = table[:, ::-1].cumsum(axis=1)[:, ::-1]
+            counts.extend((at, score, GRID[g], int(above[0, 0]), int(above[0, g + 1]), int(above[1, g + 1])) for g in range(len(GRID)))
+        best = pick_cutoffs(counts, tests, alpha, delta)
+        found = [(at, *(best.get((at, n)) for n in names)) for at in sorted({at for at, _ in best})]
+        return pd.DataFrame(found, columns=["at_stratum", *map(cutoff_of, names)])
+
+    # a group has one row for each score and grid point at most
+    return store(rows.groupBy("stratum").applyInPandas(pick, ", ".join(["at_stratum string", *(f"{cutoff_of(n)} double" for n in names)])), "cutoffs")
+
+
+def cutoff_of(score: str) -> str:
+    return f"cutoff_{score}"
+
+
+def with_verdict(featured: DataFrame, cutoffs: DataFrame, stratum: str, name: str) -> DataFrame:
+    """With ``name``: true for rows that neither the base rule nor a cutoff of their stratum rejects."""
     at = F.coalesce(F.col(stratum).cast("string"), F.lit(""))
-    strata = sorted({k for k, _ in cutoffs})
-    above = {s: reduce(lambda a, b: a | b, [scores()[n] > c for (k, n), c in sorted(cutoffs.items()) if k == s]) for s in strata}
-    bad = above.get(POOLED, F.lit(False))
-    rejected = reduce(lambda rest, s: F.when(at == s, above[s]).otherwise(rest), [s for s in strata if s != POOLED], bad)
-    return ~base_failed() & ~rejected
+    above = reduce(lambda a, b: a | b, [F.coalesce(c > F.col(cutoff_of(n)), F.lit(False)) for n, c in scores().items()])
+    return featured.join(F.broadcast(cutoffs), at == F.col("at_stratum"), "left").withColumn(name, ~base_failed() & ~above).drop(*cutoffs.columns)
 
 
 def judge(docs: DataFrame, labels: DataFrame, stratum: str = "lang", alpha: float = ALPHA, delta: float = DELTA) -> DataFrame:
     """doc_id, features, base_failed and kept of every document."""
     featured = store(add_features(docs, "doc_id", stratum), "features")
     cutoffs = fit(featured, labels, stratum, alpha, delta)
-    return featured.select("doc_id", *FEATURES, base_failed().alias("base_failed"), verdict(cutoffs, stratum).alias("kept"))
+    return with_verdict(featured, cutoffs, stratum, "kept").select("doc_id", *FEATURES, base_failed().alias("base_failed"), "kept")
 
 
 def keep(docs: DataFrame, labels: DataFrame, stratum: str = "lang", alpha: float = ALPHA, delta: float = DELTA) -> DataFrame:
@@ -200,7 +207,7 @@ def keep(docs: DataFrame, labels: DataFrame, stratum: str = "lang", alpha: float
     cutoffs = fit(measured.df, labels, stratum, alpha, delta)
     measured.drop()
     featured = add_features(docs.select(F.struct("*").alias("row")), "row")
-    return featured.filter(verdict(cutoffs, f"row.{stratum}")).select("row.*")
+    return with_verdict(featured, cutoffs, f"row.{stratum}", "kept").filter("kept").select("row.*")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -208,7 +215,7 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(read("documents"), read("labels")).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
-#: The same for tables of at most MOST_STRATA strata.
+#: The same in SQL.
 ORACLE = rf"""
 WITH t AS (SELECT doc_id, coalesce(lang, '') AS stratum, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
 l AS (SELECT *, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls FROM t),
