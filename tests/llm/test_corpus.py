@@ -234,6 +234,16 @@ def test_shards(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "s")).count() == len(rows) - 3
 
 
+@pytest.mark.parametrize("ids", [[1], [1, 2], [1, 2, 3, 4, 5], [7] * 20, [None] * 20])
+def test_shards_of_few_items(spark, ids):
+    repeated = len(set(ids)) < len(ids)
+    rows = [(n, "same text" if repeated else f"text {n}", "en", "a") for n in ids]
+    found = sharding.assign_shards(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string"), 8).collect()
+    assert [r.doc_id for r in sorted(found, key=lambda r: r.doc_id or 0)] == ids and all(0 <= r.shard < 8 for r in found)
+    for s in {r.shard for r in found}:
+        assert sorted(r.slot for r in found if r.shard == s) == list(range(sum(r.shard == s for r in found)))
+
+
 def test_exponents():
     tokens = {0: 8000, 1: 1000, 2: 500}
     t = mixing.fit_exponent(tokens, repeats=2.0)

@@ -10,7 +10,8 @@ node's order, so that medians fall between light ones. Equal coordinates are ord
 The driver gets extents and histograms of nodes, whose number is at most that of the shards.
 
 Defined cases: a null text has size 1 and the checksum of no bytes; null metadata come before all others; rows
-that repeat are placed each, with slots of their own; an empty table gives no row. Other columns are not read.
+that repeat are placed each, with slots of their own; an empty table gives no row; with fewer items than shards, some
+shards are empty. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -75,9 +76,13 @@ def assign_shards(docs: DataFrame, shards: int | None = None, target_bytes: int
     leaves = {0: (0, shards)}
     while any(b - a > 1 for a, b in leaves.values()) and count:
         extents = {n: e for n, *e in _extents(items.df)}
+        # a node without items has nothing to split: its shards stay empty
+        leaves = {n: r for n, r in leaves.items() if n in extents}
+        if all(b - a == 1 for a, b in leaves.values()):
+            break
         plan, targets = [], {}
         for n, (a, b) in leaves.items():
-            if b - a == 1 or n not in extents:
+            if b - a == 1:
                 continue
             weight, *spans = extents[n]
             dimension = max(range(len(DIMENSIONS)), key=lambda d: ((spans[d][1] - spans[d][0]) / max(1, whole[DIMENSIONS[d]][1] - whole[DIMENSIONS[d]][0]), -d))
