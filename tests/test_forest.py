@@ -100,6 +100,14 @@ def test_breadth_first(spark):
     assert sorted(map(tuple, breadth_first(edges, 0).collect())) == [(0, 0, None, None), (1, 1, 0, 5.0), (2, 1, 0, 1.0), (3, 2, 1, 5.0)]
 
 
+def test_breadth_first_to_the_end(spark):
+    edges = spark.createDataFrame([(n, n + 1, float(n)) for n in range(6)], "src long, dst long, weight double")
+    want = [(0, 0, None, None)] + [(n, n, n - 1, float(n - 1)) for n in range(1, 7)]
+    assert sorted(map(tuple, breadth_first(edges, 0).collect())) == want == sorted(map(tuple, breadth_first(edges, 0, rounds=7).collect()))
+    with pytest.raises(RuntimeError):
+        breadth_first(edges, 0, rounds=3)
+
+
 def test_order(spark):
     df = spark.createDataFrame([(float(n % 7), n) for n in range(50)], "w double, n long")
     got = sorted((r.pos, r.w, r.n) for r in order.ranked(df, "w", "n").collect())

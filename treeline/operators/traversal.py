@@ -2,28 +2,29 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.shared import Stored
 from .graph import both_directions
 
-ROUNDS = 10_000
-
 
-def breadth_first(edges: DataFrame, start: int, rounds: int = ROUNDS) -> DataFrame:
+def breadth_first(edges: DataFrame, start: int, rounds: int | None = None) -> DataFrame:
     """vertex, level, parent and path_max (weight of the heaviest edge on the path) of all vertices within reach.
 
     Each level joins the frontier with the edges and drops vertices that were met; of several parents the
-    smallest is taken. Levels are written to the shared folder.
+    smallest is taken. Levels are written to the shared folder and read again as one table. The search goes on until
+    a level is empty; with ``rounds`` given, it raises if vertices are left after so many levels.
     """
     spark = edges.sparkSession
     around = Stored(both_directions(edges), "arcs").df
-    levels = [spark.createDataFrame([(start, 0, None, None)], "vertex long, level long, parent long, path_max double")]
-    frontier = levels[0]
-    for level in range(1, rounds):
+    levels = [Stored(spark.createDataFrame([(start, 0, None, None)], "vertex long, level long, parent long, path_max double"), "level")]
+    for level in count(1):
+        frontier = levels[-1].df
         # only the last two levels can meet the next one again
-        met = levels[-1].select("vertex") if len(levels) == 1 else levels[-1].select("vertex").union(levels[-2].select("vertex"))
+        met = frontier.select("vertex") if len(levels) == 1 else frontier.select("vertex").union(levels[-2].df.select("vertex"))
         reached = (
             frontier.select(F.col("vertex").alias("src"), "path_max")
             .join(around, "src")
@@ -32,11 +33,10 @@ def breadth_first(edges: DataFrame, start: int, rounds: int = ROUNDS) -> DataFra
             .join(met, "vertex", "left_anti")
             .select("vertex", F.lit(level).cast("long").alias("level"), "by.parent", "by.path_max")
         )
-        frontier = Stored(reached, "level").df
-        if frontier.isEmpty():
+        following = Stored(reached, "level")
+        if following.df.isEmpty():
             break
-        levels.append(frontier)
-    out = levels[0]
-    for part in levels[1:]:
-        out = out.union(part)
-    return out
+        if level == rounds:
+            raise RuntimeError(f"vertices are left after {rounds} levels")
+        levels.append(following)
+    return spark.read.schema(levels[0].df.schema).parquet(*(part.path for part in levels))
