@@ -88,6 +88,23 @@ def test_ngram_join_odd_tables(spark):
     assert found == sorted([("None", 4), ("4", 4), ("4", 4), ("9", 4), ("None", None), ("5", 5)], key=str)
 
 
+def test_ngram_join_by_text(spark):
+    schema = "doc_id long, text string, mark string"
+    words = [f"w{n}" for n in range(60)]
+    near = lambda *at: " ".join("x" if n in at else w for n, w in enumerate(words))
+    a, b = "a b c d e f", "something else entirely here now"
+    # only the middle text, which has no doc_id, links the outer ones: 51 of 61 shingles are shared with it, 46 of 66 between them
+    bridge = [(20, near(10), "l"), (None, near(), "m"), (21, near(40), "r")]
+    rows = [(4, a, "4a"), (4, b, "4b"), (9, b, "9b"), (None, a, "na"), (None, "alone", "n1"), (None, "alone", "n2"), (4, " ", "4e"), (None, None, "ne"), *bridge]
+    docs = spark.createDataFrame(rows, schema)
+    found = {(r.doc_id, r.n_shingles, r.component_id) for r in ngram_join.jaccard_classes(docs).collect()}
+    assert {(20, 56, 20), (21, 56, 20), (None, 56, 20)} <= found
+    kept = ngram_join.keep_one(docs)
+    assert kept.columns == docs.columns
+    texts = sorted(((r.doc_id, r.text) for r in kept.collect()), key=str)
+    assert texts == sorted([(4, a), (4, b), (None, "alone"), (4, " "), (None, None), (20, near(10))], key=str)
+
+
 def vectors(rng, dimension=24):
     rows = []
     for _ in range(12):

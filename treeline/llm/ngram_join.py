@@ -25,8 +25,8 @@ Documents with equal sets are one throughout (by a 63-bit hash of the set), so c
 Keys are 64-bit hashes of shingles, in step 2 their upper 48 bits.
 
 Defined cases: null or empty texts have no shingle and are classes of their own; rows that repeat a
-doc_id give a row each; a null doc_id belongs to its class without naming it, and has a null class if it
-is alone; an empty table gives no row. Other columns are not read.
+doc_id give a row each, whose texts are joined each by itself; a null doc_id belongs to its class without naming
+it, and classes of such rows only are null; an empty table gives no row. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -36,7 +36,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators.components import connected_components
@@ -382,17 +382,22 @@ def search_blocks(sets: DataFrame, percent: int, partitions: int) -> DataFrame:
     return sets.repartition(partitions, "block", "a", "b").sortWithinPartitions("block", "a", "b").mapInPandas(run, "src long, dst long")
 
 
+def address() -> Column:
+    """A hash of doc_id and text, by which texts are found again; rows that share one by chance are told apart by their sets."""
+    return F.xxhash64(F.col("doc_id").cast("long"), "text").alias("at")
+
+
 def describe(docs: DataFrame, width: int) -> DataFrame:
-    """doc_id, n_shingles and set (null without shingles) of every row."""
+    """doc_id, n_shingles, set (null without shingles) and address of every row."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, texts in texts_of(batches):
             keys, sizes = shingle_sets(texts, width)
             ends = np.cumsum(sizes).tolist()
             ids = [set_id(keys[b - n : b]) if n else None for b, n in zip(ends, sizes.tolist())]
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(ids, pa.int64())], names=["doc_id", "n_shingles", "set"])
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(ids, pa.int64()), part.column("at")], names=["doc_id", "n_shingles", "set", "at"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_shingles long, set long")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", address()).mapInArrow(run, "doc_id long, n_shingles long, set long, at long")
 
 
 def whole_sets(docs: DataFrame, width: int) -> DataFrame:
@@ -412,7 +417,7 @@ def whole_sets(docs: DataFrame, width: int) -> DataFrame:
 
 
 def block_members(docs: DataFrame, keys: int, stands: DataFrame, width: int, percent: int, depth: int = DEPTH) -> DataFrame:
-    """Steps 1 to 3: doc_id, doc (its set), block and n of the documents in blocks of two or more; keys: of all docs.
+    """Steps 1 to 3: at, doc (its set), block and n of the documents in blocks of two or more; docs: at, text; keys: of all docs.
 
     Where more keys are shared than the table of frequent ones holds, chance links make blocks large. These are
     blocked again by themselves, in an order by the counts within them, until that no longer helps.
@@ -423,58 +428,75 @@ def block_members(docs: DataFrame, keys: int, stands: DataFrame, width: int, per
     release(spark)
     links = block_links(prefix_entries(docs, frequent, ranges, width, percent), ranges, percent)
     blocks = Stored(connected_components(links, reduced=True), "blocks").df
-    members = store(blocks.join(stands, F.col("vertex") == F.col("set")).select("doc_id", F.col("vertex").alias("doc"), F.col("component").alias("block"), "n"), "members")
+    members = store(blocks.join(stands, F.col("vertex") == F.col("set")).select("at", F.col("vertex").alias("doc"), F.col("component").alias("block"), "n"), "members")
     large = members.groupBy("block").agg(F.sum("n").alias("keys")).filter(F.col("keys") > BLOCK_KEYS)
     held = large.agg(F.sum("keys")).first()[0] or 0
     if not depth or not held or held > 0.7 * keys:
         return members
-    again = members.join(large.select("block"), "block", "left_semi").select("doc_id").distinct()
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(again.hint("shuffle_hash"), "doc_id", "left_semi")
+    again = members.join(large.select("block"), "block", "left_semi").select("at").distinct()
+    texts = docs.join(again.hint("shuffle_hash"), "at", "left_semi")
     finer = block_members(store(texts, "large-blocks"), held, stands, width, percent, depth - 1)
-    # a copy that stands elsewhere may come along with a repeated doc_id; it keeps its own block
-    kept = members.join(large.select("block"), "block", "left_anti").select("doc_id", "doc", "block", "n")
-    return kept.union(finer.join(kept.select("doc"), "doc", "left_anti").select("doc_id", "doc", "block", "n"))
+    # a text that stands elsewhere may come along with the same address; it keeps its own block
+    kept = members.join(large.select("block"), "block", "left_anti").select("at", "doc", "block", "n")
+    return kept.union(finer.join(kept.select("doc"), "doc", "left_anti").select("at", "doc", "block", "n"))
 
 
 def jaccard_classes(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles and component_id (smallest doc_id of the class) of every row of docs (doc_id, text)."""
+    sets, named = set_classes(docs, width, percent)
+    least = named.groupBy("class").agg(F.min("doc_id").alias("component_id"))
+    by_set = named.join(least, "class").select("set", "component_id")
+    return sets.join(by_set, "set", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+
+
+def set_classes(docs: DataFrame, width: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """What ``describe`` gives, and set, class (a set of it), doc_id and at of the row that stands for each set."""
     spark = docs.sparkSession
+    texts = docs.select(address(), "text")
     sets = store(describe(docs, width), "sets")
-    # one document stands for each set; partial minima are taken before the shuffle
-    stands = sets.filter("set IS NOT NULL AND doc_id IS NOT NULL").groupBy("set").agg(F.min("doc_id").alias("doc_id"), F.max("n_shingles").alias("n"))
-    members = block_members(docs, sets.agg(F.sum("n_shingles")).first()[0] or 0, stands, width, percent)
+    # one document stands for each set, one with a doc_id if there is any; partial minima are taken before the shuffle
+    stands = sets.filter("set IS NOT NULL").groupBy("set").agg(F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "at")).alias("one"), F.max("n_shingles").alias("n"))
+    stands = stands.select("set", "one.doc_id", "one.at", "n")
+    members = block_members(texts, sets.agg(F.sum("n_shingles")).first()[0] or 0, stands, width, percent)
     release(spark)
     slices = members.groupBy("block").agg(F.sum("n").alias("keys")).select("block", F.ceil(2 * F.col("keys") / BLOCK_KEYS).alias("s"))
     placed = members.join(slices.select("block", F.when(F.col("s") <= 2, 1).otherwise(F.col("s")).cast("long").alias("s")), "block")
     own = F.pmod(F.xxhash64("doc"), F.col("s"))
     # with several slices, each pair of them meets once: a set goes to its own slice and to every pair with another
     placed = store(
-        placed.select("doc_id", "doc", "block", own.alias("slice"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("s") - 1)).alias("other"))
-        .select("doc_id", "doc", "block", "slice", F.least("slice", "other").alias("a"), F.greatest("slice", "other").alias("b")),
+        placed.select("at", "doc", "block", own.alias("slice"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("s") - 1)).alias("other"))
+        .select("at", "doc", "block", "slice", F.least("slice", "other").alias("a"), F.greatest("slice", "other").alias("b")),
         "placed",
     )
-    wanted = placed.groupBy("doc_id", "doc").agg(F.first("block").alias("block"), F.first("slice").alias("slice"), F.collect_list(F.struct("a", "b")).alias("tiles"))
+    wanted = placed.groupBy("at", "doc").agg(F.first("block").alias("block"), F.first("slice").alias("slice"), F.collect_list(F.struct("a", "b")).alias("tiles"))
     # the places are the hashed side at any size, so the texts are not sorted
-    text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(wanted.hint("shuffle_hash"), "doc_id").drop("doc_id")
+    text = texts.join(wanted.hint("shuffle_hash"), "at").drop("at")
     keyed = whole_sets(text, width).filter("set = doc").select("block", "slice", "doc", "keys", F.inline("tiles"))
     links = search_blocks(keyed, percent, max(1, int(spark.conf.get("spark.sql.shuffle.partitions"))))
     classes = connected_components(links, reduced=True)
     del text, keyed, links
     release(spark)
 
-    named = stands.join(classes, F.col("set") == F.col("vertex"), "left").select("set", F.coalesce("component", "set").alias("class"), "doc_id")
-    least = named.groupBy("class").agg(F.min("doc_id").alias("component_id"))
-    by_set = named.join(least, "class").select("set", "component_id")
-    return sets.join(by_set, "set", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    return sets, stands.join(classes, F.col("set") == F.col("vertex"), "left").select("set", F.coalesce("component", "set").alias("class"), "doc_id", "at")
 
 
 def keep_one(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
-    """One document of each class, the one with the smallest doc_id, with all columns of docs; of rows that repeat its doc_id, one. Rows without a doc_id stay."""
-    kept = jaccard_classes(docs, width, percent).filter("doc_id = component_id").select("doc_id").distinct()
-    first = Window.partitionBy("doc_id").orderBy("text")
-    rows = docs.join(kept.hint("shuffle_hash"), "doc_id", "left_semi").select(F.struct(*(docs[c] for c in docs.columns)).alias("row"), "doc_id", "text")
-    named = rows.withColumn("n", F.row_number().over(first)).filter("n = 1").select("row.*")
-    return named.union(docs.filter("doc_id IS NULL"))
+    """One row of each class, one with its smallest doc_id, with all columns of docs; a doc_id on several classes stays on each.
+
+    Of rows without a word, one for each doc_id stays, and all that have none.
+    """
+    named = set_classes(docs, width, percent)[1]
+    one = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "set", "at")).alias("one")
+    kept = named.groupBy("class").agg(one).select("class", F.col("one.doc_id").alias("id"), "one.at")
+    rows = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text", address())
+    worded = F.coalesce(F.col("text").rlike(r"[^ \t\n\x0B\f\r]"), F.lit(False))
+
+    def first(rows: DataFrame, by: str) -> DataFrame:
+        return rows.withColumn("n", F.row_number().over(Window.partitionBy(by).orderBy("text"))).filter("n = 1").select("row.*")
+
+    with_words = rows.filter(worded).join(kept.hint("shuffle_hash"), "at").filter(F.col("doc_id").eqNullSafe(F.col("id")))
+    others = rows.filter(~worded)
+    return first(with_words, "class").union(first(others.filter("doc_id IS NOT NULL"), "doc_id")).union(others.filter("doc_id IS NULL").select("row.*"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
