@@ -3,6 +3,7 @@ import re
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -42,6 +43,25 @@ def test_memo_is_bounded(monkeypatch):
     assert len(e.fragments.young) < 60 and len(e.memo) <= 11
 
 
+def test_tables_are_bounded():
+    from treeline.llm.fragments import ByteLevelEncoder
+
+    e, byte, rng = ByteLevelEncoder(BYTE), Tokenizer.from_file(BYTE), random.Random(7)
+    for table in (e.words, e.firsts, e.pieces):
+        table.most = 2000
+    for n in range(30):
+        texts = TEXTS + noise(rng, 5) + [" ".join(f"w{rng.randrange(n + 1)}x{k},\nY" for k in range(10)), "x" * 5000 + f" {n}"]
+        ids = e.batch(pa.array(texts).slice(n % 3))
+        assert [i.tolist() for i in ids] == [byte.encode(t or "", add_special_tokens=False).ids for t in texts[n % 3 :]]
+    assert len(e.words.keys) < 200
+
+
+def test_parts_of_batches():
+    batch = pa.RecordBatch.from_pydict({"n": list(range(7)), "text": ["abc", None, "", "é" * 10, "x" * 100, "a", "b"]})
+    parts = list(token_files.parts_of(batch, 1, 10))
+    assert [p.column(0).to_pylist() for p in parts] == [[0, 1, 2], [3], [4], [5, 6]]
+
+
 def test_prefix_counts_at_every_prefix():
     word = Tokenizer.from_file(WORD)
     for text in [t for t in TEXTS if len(t or "") < 500] + noise(random.Random(5), 150):

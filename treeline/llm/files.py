@@ -11,7 +11,7 @@ def open_fs(uri: str) -> tuple[fs.FileSystem, str]:
     if uri.startswith("file:"):
         return fs.LocalFileSystem(), "/" + uri.removeprefix("file:").lstrip("/")
     if "://" in uri:
-        return fs.FileSystem.from_uri(uri)
+        return fs.FileSystem.from_uri(uri.replace("s3a://", "s3://", 1))
     return fs.LocalFileSystem(), uri
 
 

@@ -18,12 +18,16 @@ from collections.abc import Callable
 from functools import lru_cache
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from tokenizers import Tokenizer
 from tokenizers.models import BPE
 
 #: Entries of one generation of a memo of fragments, and of the memo of pieces: about 250 MB of a Python process at most.
 MEMO, PIECES = 500_000, 200_000
+#: Bytes of a table of ids.
+TABLE_BYTES = 48 << 20
 #: Longer fragments are encoded anew each time.
 LONGEST = 200
 #: Letters and signs below U+0250 without blanks: here lower-casing, NFC and the classes of letters and digits need no context.
@@ -205,48 +209,151 @@ class FragmentEncoder(PieceModel):
         return " ".join(map(self.numbers.__getitem__, np.frombuffer(ids, dtype="<u4").tolist()))
 
 
+class IdTable:
+    """Ids by text in Arrow and numpy arrays; when they take more than ``most`` bytes, the half that was used last stays."""
+
+    def __init__(self, encode: Callable[[pa.Array], tuple[np.ndarray, np.ndarray, np.ndarray]], most: int = TABLE_BYTES):
+        self.encode, self.most, self.now = encode, most, 0
+        self.clear()
+
+    def clear(self) -> None:
+        self.keys, self.ids = pa.array([], pa.string()), np.zeros(0, dtype="<u4")
+        self.starts, self.sizes, self.used = (np.zeros(0, dtype=np.int64) for _ in range(3))
+
+    def add(self, keys: pa.Array, sizes: np.ndarray, ids: np.ndarray) -> None:
+        self.keys = pa.concat_arrays([self.keys, keys])
+        self.starts = np.concatenate([self.starts, len(self.ids) + np.cumsum(sizes) - sizes])
+        self.sizes = np.concatenate([self.sizes, sizes])
+        self.used = np.concatenate([self.used, np.full(len(sizes), self.now)])
+        self.ids = np.concatenate([self.ids, ids])
+
+    def look_up(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of distinct texts, where in the third array their ids begin, and how many they are."""
+        self.now += 1
+        if self.keys.nbytes + self.ids.nbytes + 3 * self.starts.nbytes > self.most:
+            self.shrink()
+        found = pc.index_in(texts, value_set=self.keys)
+        new = np.flatnonzero(found.is_null().to_numpy(zero_copy_only=False))
+        at = found.fill_null(0).to_numpy().astype(np.int64)
+        if len(new):
+            sizes, ids, order = self.encode(texts.take(pa.array(new)))
+            at[new[order]] = len(self.keys) + np.arange(len(new))
+            self.add(texts.take(pa.array(new[order])), sizes, ids)
+        self.used[at] = self.now
+        return self.starts[at], self.sizes[at], self.ids
+
+    def shrink(self) -> None:
+        keep = np.flatnonzero(self.used > np.median(self.used))
+        keys, sizes, ids = self.keys.take(pa.array(keep)), self.sizes[keep], gathered(self.ids, self.starts[keep], self.sizes[keep])
+        self.clear()
+        if keys.nbytes + ids.nbytes < self.most // 2:
+            self.add(keys, sizes, ids)
+
+
+def gathered(ids: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The stretches of ids, one after another."""
+    ends = np.cumsum(sizes)
+    return ids[np.repeat(starts - (ends - sizes), sizes) + np.arange(ends[-1] if len(ends) else 0)]
+
+
+def joined(texts: pa.Array, by: str) -> str:
+    return pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(texts)], pa.int32()), texts), by)[0].as_py()
+
+
 class ByteLevelEncoder(PieceModel):
     """Encodes as the tokenizers library does with a byte-level BPE file whose tokens may begin with a blank.
 
-    Before a blank that follows no white space the pre-tokenizer always begins a new piece, so the
-    text is cut there first.
+    Before a blank that follows no white space the pre-tokenizer always begins a new piece, so texts are
+    cut there first. Arrow numbers the words of many texts and looks distinct ones up in a table; those not
+    met before are cut into the pre-tokenizer's pieces, and only new pieces go through the library's model.
     """
 
-    SPACED = regex.compile(r"\s ")
+    #: A blank behind white space (of these characters or fewer).
+    SPACED = r"[\x09-\x0D\x1C-\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}] "
     BLANKS = regex.compile(r"(?<=\S)(?= )")
     PATTERN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
     PLAIN = regex.compile("[\n -~¡-ɏ]*+")
+    #: Words whose only white space is single line feeds, and the same pattern for these and a blank before them.
+    SIMPLE = r"^[!-~\x{A1}-\x{24F}]+(?:\n[!-~\x{A1}-\x{24F}]+)*\n?$"
+    SIMPLE_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\pL+| ?\pN+| ?[^\s\pL\pN]+|\n"
+    END = "\0"
 
     def __init__(self, path: str):
         super().__init__(path)
         pre = self.spec["pre_tokenizer"]
         if self.suffix or self.spec["normalizer"] or (pre["type"], pre["add_prefix_space"], pre["use_regex"]) != ("ByteLevel", False, True):
             raise ValueError("not a plain byte-level file")
-        #: The ids of a blank and then the key.
-        self.words = Memo(lambda word: self.chunk_ids(f" {word}"))
-
-    def chunk_ids(self, chunk: str) -> bytes:
-        if self.has_special(chunk) or not (chunk.isascii() and chunk.isprintable() or self.PLAIN.fullmatch(chunk)):
-            return packed(self.library_ids(chunk))
-        return b"".join(map(self.piece_ids, self.PATTERN.findall(chunk)))
-
-    def piece_ids(self, piece: str) -> bytes:
-        found = self.memo[piece]
-        if found is None:
-            found = packed([t.id for t in self.closed.tokenize(piece.encode().decode("latin1").translate(self.alphabet))])
-            self.memo.keep(piece, found)
-        return found
+        self.pieces = IdTable(self.encode_pieces)
+        #: Words with a blank before them, and without.
+        self.words, self.firsts = IdTable(lambda words: self.encode_words(words, " ")), IdTable(lambda words: self.encode_words(words, ""))
+
+    def mapped(self, text: str) -> str:
+        """The text's bytes in the vocabulary's alphabet."""
+        return text.encode().decode("latin1").translate(self.alphabet)
+
+    def encode_pieces(self, pieces: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Sizes, ids and order of pieces without a zero byte."""
+        tokenize, sizes, ids = self.closed.tokenize, [], []
+        for piece in self.mapped(joined(pieces, self.END)).split(self.alphabet[0]):
+            own = [t.id for t in tokenize(piece)]
+            sizes.append(len(own))
+            ids += own
+        return np.array(sizes, dtype=np.int64), np.array(ids, dtype="<u4"), np.arange(len(pieces))
+
+    def chunk_ids(self, chunk: str) -> list[int]:
+        if self.has_special(chunk) or not self.PLAIN.fullmatch(chunk):
+            return self.library_ids(chunk)
+        return [t.id for piece in self.PATTERN.findall(chunk) for t in self.closed.tokenize(self.mapped(piece))]
+
+    def encode_words(self, words: pa.Array, before: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Sizes, ids and order of words with ``before`` in front: simple ones together, then the others one by one."""
+        simple = pc.and_not(pc.match_substring_regex(words, self.SIMPLE), pc.match_substring(words, "<|")).to_numpy(zero_copy_only=False)
+        first, others = np.flatnonzero(simple), np.flatnonzero(~simple)
+        marked = pc.replace_substring_regex(pc.binary_join_element_wise(before, words.take(pa.array(first)), ""), self.SIMPLE_PATTERN, "\\0" + self.END)
+        # the nothing behind a word's last mark is a piece without ids
+        lists = pc.split_pattern(marked, self.END)
+        coded = lists.flatten().dictionary_encode()
+        at, (starts, sizes, ids) = coded.indices.to_numpy(), self.pieces.look_up(coded.dictionary)
+        ends = np.concatenate([[0], np.cumsum(sizes[at])])[lists.offsets.to_numpy()]
+        own = [self.chunk_ids(before + w) for w in words.take(pa.array(others)).to_pylist()]
+        return (
+            np.concatenate([np.diff(ends), np.fromiter(map(len, own), dtype=np.int64, count=len(own))]),
+            np.concatenate([gathered(ids, starts[at], sizes[at]), np.array([i for ids_of in own for i in ids_of], dtype="<u4")]),
+            np.concatenate([first, others]),
+        )
+
+    def ids_of_words(self, words: pa.Array, bounds: np.ndarray) -> list[np.ndarray]:
+        """Ids of texts; words: those of all texts; bounds: where each text's words begin, and the end."""
+        coded, first = words.dictionary_encode(), bounds[:-1]
+        at = coded.indices.to_numpy().copy()
+        # a text's first word stands behind no blank
+        leading, back = np.unique(at[first], return_inverse=True)
+        (starts, sizes, ids), (more, lengths, others) = self.words.look_up(coded.dictionary), self.firsts.look_up(coded.dictionary.take(pa.array(leading)))
+        starts, sizes = np.concatenate([starts, len(ids) + more]), np.concatenate([sizes, lengths])
+        at[first] = len(coded.dictionary) + back
+        starts, sizes = starts[at], sizes[at]
+        flat = gathered(np.concatenate([ids, others]), starts, sizes)
+        cuts = np.concatenate([[0], np.cumsum(sizes)])[bounds].tolist()
+        return [flat[a:b] for a, b in zip(cuts, cuts[1:])]
+
+    def batch(self, texts: pa.Array) -> list[np.ndarray]:
+        """The ids of each text (null: empty)."""
+        texts = pc.fill_null(texts, "")
+        spaced = pc.match_substring_regex(texts, self.SPACED)
+        lists = pc.split_pattern(pc.if_else(spaced, "", texts), " ")
+        bounds = lists.offsets.to_numpy().astype(np.int64)
+        out = self.ids_of_words(lists.flatten(), bounds - bounds[0])
+        rest = np.flatnonzero(spaced.to_numpy(zero_copy_only=False)).tolist()
+        if rest:
+            cut = [self.BLANKS.split(texts[n].as_py()) for n in rest]
+            words = pa.array([w[1:] if n else w for words in cut for n, w in enumerate(words)], pa.string())
+            for n, ids in zip(rest, self.ids_of_words(words, np.cumsum([0, *map(len, cut)]))):
+                out[n] = ids
+        return out
 
     def ids(self, text: str | None) -> bytes:
         """All ids of a text (null: empty) as little-endian unsigned 32-bit integers."""
-        if not text:
-            return b""
-        if self.SPACED.search(text):
-            first, *words = self.BLANKS.split(text)
-            words = [w[1:] for w in words]
-        else:
-            first, *words = text.split(" ")
-        return self.chunk_ids(first) + self.words.joined(words)
+        return self.batch(pa.array([text], pa.string()))[0].astype("<u4").tobytes()
 
 
 @lru_cache(maxsize=2)

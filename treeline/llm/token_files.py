@@ -13,8 +13,9 @@ Documents are dealt to files by ranges of doc_id, so the files in order hold asc
 are written under a name of their own and moved into place: a task that runs twice leaves one file.
 
 Defined cases: a null text is encoded as an empty one (the end id alone remains); rows with a null
-doc_id come first; rows that repeat a doc_id are all written, in the order of their texts; an empty
-table gives no file and no row. Other columns are not read.
+doc_id come first; rows that repeat a doc_id are all written, in the order of their texts (equal rows
+change nothing by their order); a text of any length is one document of one frame; an empty
+table gives no file and no row. Other columns are not read, so their names cannot clash.
 """
 
 from __future__ import annotations
@@ -25,6 +26,7 @@ from collections.abc import Callable, Iterable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import public_tokenizers
 import xxhash
 import zstandard
@@ -39,8 +41,10 @@ SKIPPABLE, SEEKABLE, CHECKSUMS = 0x184D2A5E, 0x8F92EAB1, 0x80
 INDEX = 0x184D2A50
 #: Bytes of ids after which a frame ends with its document.
 FRAME_BYTES = 1 << 18
-#: Bytes of text for each file.
-FILE_BYTES = 16 << 20
+#: Bytes of text for each file, until there are ``MOST_FILES`` of them; then files grow, so manifests stay small.
+FILE_BYTES, MOST_FILES = 16 << 20, 200_000
+#: Bytes of texts that are encoded at once.
+PART_BYTES = 8 << 20
 NO_ID = -(2**63)
 
 
@@ -52,9 +56,10 @@ class TokenFileWriter:
         self.frames: list[tuple[int, int, int]] = []
         self.documents: list[tuple[int, int, int]] = []
 
-    def add(self, doc_id: int | None, ids: np.ndarray) -> None:
-        data = ids.astype(f"<u{self.width}").tobytes()
-        self.documents.append((NO_ID if doc_id is None else doc_id, len(ids), len(self.frames)))
+    def add(self, doc_id: int | None, ids: np.ndarray, end: bytes = b"") -> None:
+        """end: bytes of ids that stand behind the document's own."""
+        data = ids.astype(f"<u{self.width}").tobytes() + end
+        self.documents.append((NO_ID if doc_id is None else doc_id, len(data) // self.width, len(self.frames)))
         self.held.append(data)
         self.held_bytes += len(data)
         if self.held_bytes >= self.frame_bytes:
@@ -122,14 +127,25 @@ class TokenFileReader:
         self.file.close()
 
 
-def write_token_files(docs: DataFrame, path: str, encode: Callable[[str | None], bytes], end_id: int | None = None, width: int = 2, files: int | None = None, frame_bytes: int = FRAME_BYTES) -> DataFrame:
-    """Writes the files and returns their manifest: file, documents, ids and start (ids in the files before it)."""
+def parts_of(batch: pa.RecordBatch, column: int, most: int = PART_BYTES) -> Iterator[pa.RecordBatch]:
+    """Stretches of a batch whose texts have about ``most`` bytes, of one row at least."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+    start = 0
+    while start < batch.num_rows:
+        before = int(ends[start - 1]) if start else 0
+        end = max(start + 1, int(np.searchsorted(ends, before + most, side="right")))
+        yield batch.slice(start, end - start)
+        start = end
+
+
+def write_token_files(docs: DataFrame, path: str, encode: Callable[[pa.Array], list[np.ndarray]], end_id: int | None = None, width: int = 2, files: int | None = None, frame_bytes: int = FRAME_BYTES) -> DataFrame:
+    """Writes the files and returns their manifest: file, documents, ids and start (ids in the files before it); encode: the ids of each text."""
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     if files is None:
         size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-        files = max(1, -(-size // FILE_BYTES))
-    end = b"" if end_id is None else struct.pack("<I", end_id)
+        files = max(1, -(-size // max(FILE_BYTES, size // MOST_FILES)))
+    end = b"" if end_id is None else end_id.to_bytes(width, "little")
 
     def write(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -138,8 +154,9 @@ def write_token_files(docs: DataFrame, path: str, encode: Callable[[str | None],
         writer, documents = None, 0
         for batch in batches:
             writer = writer or TokenFileWriter(f"{path}/{name}", width, frame_bytes)
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                writer.add(doc_id, np.frombuffer(encode(text.as_py()) + end, dtype="<u4"))
+            for part in parts_of(batch, 1):
+                for doc_id, ids in zip(part.column(0).to_pylist(), encode(part.column(1))):
+                    writer.add(doc_id, ids, end)
             documents += batch.num_rows
         if writer:
             yield pa.RecordBatch.from_pydict({"file": [name], "documents": [documents], "ids": [writer.close()]})
@@ -169,8 +186,8 @@ def read_token_files(manifest: DataFrame, path: str, doc_ids: list[int] | None =
     return manifest.repartitionByRange(count, "file").mapInPandas(read, "doc_id long, start long, n_tokens long, ids binary")
 
 
-def encode_byte_level(tokenizer: str) -> Callable[[str | None], bytes]:
-    return lambda text: byte_encoder(tokenizer).ids(text)
+def encode_byte_level(tokenizer: str) -> Callable[[pa.Array], list[np.ndarray]]:
+    return lambda texts: byte_encoder(tokenizer).batch(texts)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
