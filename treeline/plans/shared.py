@@ -10,13 +10,15 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; a temporary one only where that is unset, as in tests."""
+    """The folder in ``spark.checkpoint.dir``, with its file system's scheme; where that is unset, a temporary one in local mode (as in tests) and an error on a cluster."""
     configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if configured:
-        return configured.rstrip("/")
-    local = tempfile.mkdtemp(prefix="treeline-")
-    spark.sparkContext.setCheckpointDir(local)
-    return local
+    if not configured:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        configured = tempfile.mkdtemp(prefix="treeline-")
+        spark.sparkContext.setCheckpointDir(configured)
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(configured)
+    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(path).toString().rstrip("/")
 
 
 def scratch(spark: SparkSession, name: str) -> str:
