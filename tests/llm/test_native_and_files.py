@@ -1,5 +1,6 @@
 import random
 import re
+import time
 
 import numpy as np
 import public_tokenizers
@@ -72,6 +73,24 @@ def test_prefix_counts_at_every_prefix():
             assert token_counts.PrefixCounter.longest_prefix(counts, budget) == max(n for n, c in enumerate(want) if c <= budget)
 
 
+def test_prefix_counts_of_any_script():
+    word, c, rng = Tokenizer.from_file(WORD), token_counts.counter(WORD), random.Random(4)
+    parts = ["a", "É", "é", "x̣̂", "日本", "😀", "İ", "Σ", "'", "'s", "'re", "'LL", "́", "각", "ก้ำ", "ো", "1", "\x1c", "\x85", "　", "‍", "<|endoftext|>", "<|", "!!", "ﬁ", "Ω", " ", "\n"]
+    texts = ["".join(rng.choices(parts, k=rng.randint(1, 20))) for _ in range(500)]
+    texts += ["".join(rng.choices(rng.sample(parts[:-2], 3), k=60)) for _ in range(40)]
+    for text in texts:
+        want = [len(word.encode(text[:n], add_special_tokens=False).ids) for n in range(len(text) + 1)]
+        assert c.prefix_counts(text).tolist() == want, text
+
+
+@pytest.mark.parametrize("text", ["日本語" * 30_000, "don't" * 20_000, "é" * 50_000, "ก้ำ" * 30_000, "'́" * 40_000, "ab<|endoftext|>" * 6_000, "a" * 100_000])
+def test_prefix_counts_of_very_long_texts(text):
+    began = time.process_time()
+    counts = token_counts.counter(WORD).prefix_counts(text)
+    assert time.process_time() - began < 20 and len(counts) == len(text) + 1
+    assert counts[-1] == len(Tokenizer.from_file(WORD).encode(text, add_special_tokens=False).ids)
+
+
 def test_documents_through_the_operators(spark):
     docs = spark.createDataFrame([(n, t, "x") for n, t in enumerate(TEXTS)] + [(None, "null id", "x"), (3, "a", "x")], "doc_id long, text string, n_tokens string")
     word = Tokenizer.from_file(WORD)

@@ -11,12 +11,18 @@ Blanks and line feeds are certain cuts, so counts of a text are those of its fra
 text's array of counts answers how many tokens any prefix has, and where to cut for a budget, without
 encoding again.
 
+Contractions, special tokens and clusters of composed characters are one only as a whole: cuts within one
+are counted from the states before it, so the work stays in proportion to the text, whatever its length and script.
+
 Defined cases: a null text has the counts of an empty one (0 bytes, 0 tokens); rows that repeat stay
-repeated; an empty table gives no row. Other columns are not read.
+repeated; an empty table gives no row; a text of any length is counted whole. Other columns are not read, so their
+names cannot clash.
 """
 
 from __future__ import annotations
 
+import re
+import unicodedata
 from functools import lru_cache
 
 import numpy as np
@@ -25,11 +31,25 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from .bpe import TOKENIZER, map_rows
-from .fragments import PIECES, PLAIN, FragmentEncoder, Kept, Memo, packed, unpacked
+from .fragments import LONGEST, PIECES, PLAIN, FragmentEncoder, Kept, Memo, packed, unpacked
 
 LIMIT = 2048
 #: Pairs of tokens whose compatibility one Python process keeps.
 PAIRS = 400_000
+#: Characters of a piece that are counted anew for a cut within a cluster; longer ones go on from the piece's states.
+SHORT = 32
+
+
+@lru_cache(maxsize=1)
+def composing() -> frozenset[str]:
+    """Characters that can be the second of a composed one, and the vowels and finals of Hangul."""
+    pairs = (unicodedata.decomposition(chr(n)).split() for n in range(0xC0, 0x2FFFF))
+    return frozenset(chr(int(p[1], 16)) for p in pairs if len(p) == 2 and p[0][0] != "<") | frozenset(map(chr, range(0x1160, 0x1200)))
+
+
+def joins(character: str) -> bool:
+    """Whether a normal form may reach over the border before the character."""
+    return character > "\u02ff" and (unicodedata.combining(character) > 0 or character in composing())
 
 
 class PrefixCounter(FragmentEncoder):
@@ -56,7 +76,9 @@ class PrefixCounter(FragmentEncoder):
             if [t.id for t in (self.closed if ends else self.open).tokenize(plain)] == [i]:
                 inside, at_end = self.nodes.get(plain, (-1, -1))
                 self.nodes[plain] = (inside, i) if ends else (i, at_end)
+        self.longest = max(map(len, self.nodes))
         self.pairs: dict[int, bool] = {}
+        self.normals: dict[str, str] = {}
         self.tables = Kept(PIECES)
         self.rows = Memo(self.fragment_row)
 
@@ -92,11 +114,18 @@ class PrefixCounter(FragmentEncoder):
         found = self.tables[piece]
         if found is not None:
             return found
-        if piece.isascii():
+        if piece.isascii() and piece.isprintable():
             text, ends = piece, None
         else:
-            text = piece.encode().decode("latin1").translate(self.alphabet)
+            text = self.mapped(piece)
             ends = np.cumsum([len(c.encode()) for c in piece]).tolist()
+        _, _, out = self.states(text)
+        found = packed([out[e] for e in ends] if ends else out[1:])
+        self.tables.keep(piece, found)
+        return found
+
+    def states(self, text: str) -> tuple[list[int], list[int], list[int]]:
+        """Of a piece in the vocabulary's alphabet, at each of its places: the last token and the count of open, the count of closed."""
         size, nodes, known, compatible = len(text), self.nodes, self.pairs.get, self.compatible
         last, count, out = [-1] * (size + 1), [0] * (size + 1), [0] * (size + 1)
         for j in range(size):
@@ -112,44 +141,122 @@ class PrefixCounter(FragmentEncoder):
                 if at_end >= 0 and not out[k]:
                     if not j or (ok := known(before | at_end)) or ok is None and compatible(last[j], at_end):
                         out[k] = here
-        found = packed([out[e] for e in ends] if ends else out[1:])
-        self.tables.keep(piece, found)
-        return found
+        return last, count, out
+
+    def closed_behind(self, text: str, last: list[int], count: list[int], at: int, more: str) -> int:
+        """The count of closed for the first ``at`` places of a piece with these states and ``more`` behind them."""
+        start, end = max(0, at - self.longest), at + len(more)
+        window, last, count = text[start:at] + more, last[start : at + 1] + [-1] * len(more), count[start : at + 1] + [0] * len(more)
+        size, at = end - start, at - start
+        for j in range(size):
+            for k in range(j + 1, size + 1):
+                node = self.nodes.get(window[j:k])
+                if node is None:
+                    break
+                if k > at and node[0] >= 0 and last[k] < 0 and (not j + start or self.compatible(last[j], node[0])):
+                    last[k], count[k] = node[0], count[j] + 1
+                if k == size and node[1] >= 0 and (not j + start or self.compatible(last[j], node[1])):
+                    return count[j] + 1
+        return 0
+
+    def total(self, piece: str) -> int:
+        return unpacked(self.piece_table(piece)[-4:])[0]
 
     def fragment_row(self, fragment: str) -> bytes:
         """Counts of the fragment cut off behind each of its characters, and behind the white space that follows."""
         if not fragment:
             return packed([0])
-        if self.has_special(fragment) or not (fragment.isascii() and fragment.isprintable() or PLAIN.fullmatch(fragment)) or "'" in fragment or "İ" in fragment:
-            return self.direct_row(fragment)
-        pieces = self.pattern.findall(fragment.lower())
-        if len(pieces) == 1:
-            table = self.piece_table(pieces[0])
-            return table + table[-4:]
-        row, before = [], 0
-        for piece in pieces:
-            row.extend(before + n for n in unpacked(self.piece_table(piece)))
-            before = row[-1]
-        row.append(before)
-        return packed(row)
-
-    def direct_row(self, fragment: str) -> bytes:
-        """For fragments in which a cut can change what stands before it: apostrophes, special tokens, composed characters."""
-        count = lambda part: len(self.library_ids(part))
-        settled = self.settled(fragment)
-        row = []
-        for start, end in zip([0, *settled], [*settled, len(fragment)]):
-            before = row[-1] if row else 0
-            row.extend(before + count(fragment[start:n]) for n in range(start + 1, end + 1))
+        if self.has_special(fragment):
+            row = self.special_row(fragment)
+        elif "İ" not in fragment and (fragment.isascii() and fragment.isprintable() or PLAIN.fullmatch(fragment)):
+            pieces = self.pattern.findall(fragment.lower())
+            if len(pieces) == 1 and "'" not in fragment:
+                table = self.piece_table(pieces[0])
+                return table + table[-4:]
+            row = []
+            for piece in pieces:
+                before = row[-1] if row else 0
+                row.extend(before + n for n in self.counts(piece))
+        else:
+            row = self.composed_row(fragment)
         return packed([*row, row[-1]])
 
-    def settled(self, fragment: str) -> list[int]:
-        """Places between plain characters of different classes, away from signs: cuts that keep each side's encoding."""
-        plain = [c.isascii() and c.isalnum() for c in fragment]
-        return [
-            n for n in range(2, len(fragment))
-            if plain[n - 1] and plain[n] and fragment[n - 1].isalpha() != fragment[n].isalpha()
-        ] if not self.has_special(fragment) else []
+    def counts(self, piece: str) -> list[int]:
+        """Counts of a normalised piece cut off behind each of its characters."""
+        if piece[0] == "'" and piece[-1].isalpha():  # a contraction is one piece only as a whole
+            return [*(sum(map(self.total, self.pattern.findall(piece[:n]))) for n in range(1, len(piece))), self.total(piece)]
+        return list(unpacked(self.piece_table(piece)))
+
+    def special_row(self, fragment: str) -> list[int]:
+        """Special tokens cut the text before all else; cut off itself, one is plain text."""
+        row, before, at = [], 0, 0
+        while found := [(n, s) for s in self.special if (n := fragment.find(s, at)) >= 0]:
+            start, token = min(found)
+            own = unpacked(self.fragment_row(fragment[at : start + len(token) - 1]))
+            row.extend(before + n for n in own[:-1])
+            before += (own[start - at - 1] if start > at else 0) + 1
+            row.append(before)
+            at = start + len(token)
+        return row + [before + n for n in unpacked(self.fragment_row(fragment[at:]))[:-1]]
+
+    def composed_row(self, fragment: str) -> list[int]:
+        """For any characters: no normal form reaches over the borders of clusters, so each is normalised by itself, and only cuts within one are looked at one by one."""
+        starts = [n for n, c in enumerate(fragment) if not n or not joins(c)]
+        clusters = list(zip(starts, [*starts[1:], len(fragment)]))
+        parts = [self.normal(fragment[a:b]) for a, b in clusters]
+        normal = "".join(parts)
+        if re.sub(" +", " ", normal) != self.tokenizer.normalizer.normalize_str(fragment):
+            # the library knows other clusters
+            return [len(self.library_ids(fragment[:n])) for n in range(1, len(fragment) + 1)]
+        spans = [span for _, span in self.tokenizer.pre_tokenizer.pre_tokenize_str(normal)]
+        counts, at = [0], 0
+        for a, b in spans:
+            counts.extend(counts[-1] for _ in range(a - at))
+            before = counts[-1]
+            counts.extend(before + n for n in self.counts(normal[a:b]))
+            at = b
+        counts.extend(counts[-1] for _ in range(len(normal) - at))
+        row, end, piece, held = [], 0, 0, None
+        for (a, b), part in zip(clusters, parts):
+            start, end = end, end + len(part)
+            if b - a > 1:
+                while piece < len(spans) and spans[piece][1] < start:
+                    piece, held = piece + 1, None
+                begin = spans[piece][0] if piece < len(spans) and spans[piece][0] < start else start
+                if start - begin < 3 and piece and spans[piece - 1] == (begin - 1, begin) and normal[begin - 1] == "'":
+                    begin -= 1  # a cut may leave a contraction
+                if start - begin > SHORT and held is None:
+                    text = normal[begin : spans[piece][1]]
+                    mapped = self.mapped(text)
+                    held = mapped, *self.states(mapped)[:2], np.cumsum([0, *(len(c.encode()) for c in text)]).tolist()
+                row.extend(counts[begin] + self.tail_count(normal, begin, start, self.normal(fragment[a:n]), held) for n in range(a + 1, b))
+            row.append(counts[end])
+        return row
+
+    def tail_count(self, normal: str, begin: int, start: int, part: str, held: tuple | None) -> int:
+        """Tokens of the normalised text from a piece's begin to a start, and a part of a cluster behind."""
+        near = begin if start - begin <= SHORT else start - 2
+        text = normal[near:start] + part
+        spans = [span for _, span in self.tokenizer.pre_tokenizer.pre_tokenize_str(text)]
+        if near == begin:
+            return sum(self.total(text[a:b]) for a, b in spans)
+        # the piece is a run of one class; the part goes on with it as far as its characters are of this class
+        mapped, last, count, places = held
+        own = self.closed_behind(mapped, last, count, places[start - begin], self.mapped(text[2 : spans[0][1]]))
+        return own + sum(self.total(text[a:b]) for a, b in spans[1:])
+
+    def normal(self, cluster: str) -> str:
+        found = self.normals.get(cluster)
+        if found is None:
+            if len(self.normals) >= PIECES:
+                self.normals.clear()
+            found = self.tokenizer.normalizer.normalize_str(cluster)
+            if len(cluster) < LONGEST:
+                self.normals[cluster] = found
+        return found
+
+    def mapped(self, text: str) -> str:
+        return text.encode().decode("latin1").translate(self.alphabet)
 
     def prefix_counts(self, text: str | None) -> np.ndarray:
         """Entry n: tokens of the first n characters; the last entry: of the whole text."""
