@@ -3,23 +3,24 @@
 Features of a text are turned into scores, each of which is higher for worse texts. For every stratum
 (the language) and score, cutoffs of a fixed grid are tested on the labelled holdout: of its n good
 documents k have a score above the cutoff, and the cutoff is certified if the exact binomial tail
-P(X <= k), X ~ B(n, alpha), is at most delta divided by the number of strata and scores. Within a
+P(X <= k), X ~ B(n, alpha / scores), is at most delta divided by the number of strata and scores. Within a
 stratum and score the cutoffs are tested in a fixed sequence, from the loosest on, up to the first that
 fails, which needs no further correction. So with probability 1 - delta no certified cutoff rejects
-more than the share alpha of the good documents of its stratum. Of the certified cutoffs that reject
+more than the share alpha / scores of the good documents of its stratum, and the verdict, which rejects what
+any of the scores rejects, no more than the share alpha. Of the certified cutoffs that reject
 more bad than good documents of the holdout, the one that rejects most bad ones is taken; among equals,
 the one that rejects fewest good ones, then the loosest. A stratum and score without such a cutoff
 rejects nothing, nor does one without labels; every stratum is fitted by itself, whatever their number.
 
 The holdout is every labelled document that passes the base rule. Cutoffs are picked in a group for each
-stratum and go to every task: a certified one takes ln(delta) / ln(1 - alpha) good documents of its stratum
-at least (299), so their strata are at most that part of the labelled documents.
+stratum and go to every task: a certified one takes ln(delta) / ln(1 - alpha / scores) good documents of its
+stratum at least (1,197), so their strata are at most that part of the labelled documents.
 
-Defined cases: a null text has no words, which the base rule rejects; a null language is a stratum of
-its own; labels that are null, or for unknown documents, are ignored, and a document with several
+Defined cases: a null text has no words, which the base rule rejects; texts of any length are measured whole; a null
+language is a stratum of its own; equal scores are on one side of a cutoff; labels that are null, or for unknown documents, are ignored, and a document with several
 labels is good only if all say so; without labels only the base rule rejects. Rows that repeat stay
-repeated. Columns of the input that are not doc_id, text and the stratum are not read by
-``judge``; ``keep`` returns all columns of the rows kept.
+repeated; an empty table gives no row. Columns of the input that are not doc_id, text and the stratum are not read by
+``judge``, whatever their names; ``keep`` returns all columns of the rows kept.
 """
 
 from __future__ import annotations
@@ -151,13 +152,18 @@ def pick_cutoffs(counts: Iterable[tuple[str, str, float, int, int, int]], tests:
     return {k: v[2] for k, v in best.items()}
 
 
+def name_of(stratum: str) -> Column:
+    """The stratum's value behind a sign of its own; nothing for null."""
+    return F.coalesce(F.concat(F.lit("="), F.col(stratum).cast("string")), F.lit(""))
+
+
 def fit(featured: DataFrame, labels: DataFrame, stratum: str, alpha: float = ALPHA, delta: float = DELTA) -> DataFrame:
     """Cutoffs from the labelled rows of ``featured``: at_stratum, and the cutoff of each score or null; only strata with a cutoff."""
     good = labels.filter(F.col("doc_id").isNotNull() & F.col("quality").isNotNull()).groupBy("doc_id").agg(F.min("quality").alias("good"))
     named = scores()
     holdout = (
         featured.filter(~base_failed())
-        .select("doc_id", F.coalesce(F.col(stratum).cast("string"), F.lit("")).alias("stratum"), *(c.alias(n) for n, c in named.items()))
+        .select("doc_id", name_of(stratum).alias("stratum"), *(c.alias(n) for n, c in named.items()))
         .join(good, "doc_id")
     )
     # a score is above grid points 0 .. n - 1 for one n, so counts by n give the counts above each point
@@ -175,7 +181,7 @@ def fit(featured: DataFrame, labels: DataFrame, stratum: str, alpha: float = ALP
             table[:, levels_of["level"].to_numpy()] = levels_of[["good", "bad"]].to_numpy().T
             above = table[:, ::-1].cumsum(axis=1)[:, ::-1]
             counts.extend((at, score, GRID[g], int(above[0, 0]), int(above[0, g + 1]), int(above[1, g + 1])) for g in range(len(GRID)))
-        best = pick_cutoffs(counts, tests, alpha, delta)
+        best = pick_cutoffs(counts, tests, alpha / len(names), delta)
         found = [(at, *(best.get((at, n)) for n in names)) for at in sorted({at for at, _ in best})]
         return pd.DataFrame(found, columns=["at_stratum", *map(cutoff_of, names)])
 
@@ -189,7 +195,7 @@ def cutoff_of(score: str) -> str:
 
 def with_verdict(featured: DataFrame, cutoffs: DataFrame, stratum: str, name: str) -> DataFrame:
     """With ``name``: true for rows that neither the base rule nor a cutoff of their stratum rejects."""
-    at = F.coalesce(F.col(stratum).cast("string"), F.lit(""))
+    at = name_of(stratum)
     above = reduce(lambda a, b: a | b, [F.coalesce(c > F.col(cutoff_of(n)), F.lit(False)) for n, c in scores().items()])
     return featured.join(F.broadcast(cutoffs), at == F.col("at_stratum"), "left").withColumn(name, ~base_failed() & ~above).drop(*cutoffs.columns)
 
@@ -217,7 +223,7 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 #: The same in SQL.
 ORACLE = rf"""
-WITH t AS (SELECT doc_id, coalesce(lang, '') AS stratum, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+WITH t AS (SELECT doc_id, coalesce('=' || lang, '') AS stratum, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
 l AS (SELECT *, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls FROM t),
 win AS (SELECT doc_id, unnest(range(1, len(ws) - {WINDOW - 2})) AS i, ws FROM t),
 twice AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, array_to_string(ws[i:i + {WINDOW - 1}], ' ')) AS n FROM win) WHERE n > 1),
@@ -229,7 +235,7 @@ s AS (SELECT doc_id, stratum, base_failed, unnest(['symbols', 'duplicate_lines',
   unnest([least(n_symbols / w, 1.0::DOUBLE), n_dup_lines / greatest(n_lines, 1)::DOUBLE, n_repeat_words / w, least(n_shouted / w, 1.0::DOUBLE)]) AS x FROM b),
 h AS (SELECT s.*, g.good FROM s JOIN (SELECT doc_id, min(quality) AS good FROM labels WHERE quality IS NOT NULL GROUP BY doc_id) g USING (doc_id) WHERE NOT base_failed),
 c AS (SELECT stratum, score, cutoff, count(*) FILTER (good = 1) AS n, count(*) FILTER (good = 1 AND x > cutoff) AS above, count(*) FILTER (good <> 1 AND x > cutoff) AS bad FROM h, (SELECT unnest([{", ".join(f"{g!r}::DOUBLE" for g in map(float, GRID))}]) AS cutoff) GROUP BY ALL),
-certain AS (SELECT *, CASE WHEN above >= n THEN 1.0 ELSE list_sum(list_transform(range(0, above + 1), lambda i: exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln({ALPHA}) + (n - i) * ln(1 - {ALPHA})))) END
+certain AS (SELECT *, CASE WHEN above >= n THEN 1.0 ELSE list_sum(list_transform(range(0, above + 1), lambda i: exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln({ALPHA} / 4) + (n - i) * ln(1 - {ALPHA} / 4)))) END
   <= {DELTA} / (SELECT count(DISTINCT (stratum, score)) FROM h) AS ok FROM c),
 best AS (SELECT stratum, score, arg_max(cutoff, (bad, -above, cutoff)) AS cutoff FROM certain WHERE ok AND bad > above GROUP BY ALL),
 rejected AS (SELECT DISTINCT s.doc_id FROM s JOIN best ON s.stratum = best.stratum AND s.score = best.score AND s.x > best.cutoff)
