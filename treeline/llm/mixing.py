@@ -7,17 +7,19 @@ is given in tokens, or is the least with which no source is read less than once,
 
 A source's weighted budget is realised as whole passes and a part of one more. For every pass the blocks of a
 source are put in a seeded random order, and documents within blocks too; the part is the beginning of
-that order, cut where its tokens reach the rest of the budget. ``place``, between 0 and 1, spreads each
-source evenly over the run, in the order of its passes.
+that order, cut where its tokens reach the rest of the budget. ``place``, from 0 to below 1, spreads each
+source evenly over the run: pass after pass, a part of a pass over its share of the run, whole blocks in the pass's
+order, and documents of a block in an order of their own. ``in_order`` writes the run in this order.
 
-Tokens are words here, runs of characters other than blank and 09-0D. The mixture depends only on how many
+Tokens are those of a column given, or words, runs of characters other than blank and 09-0D. The mixture depends only on how many
 sources have each number of tokens, and that table comes to the driver: T tokens make fewer than
 sqrt(2 T) + 1 different numbers. The ``MOST_SOURCES`` sources with most rows go to every task and are cut by histograms;
 all others are joined and cut by source in a shuffle, with the same result.
 
-Defined cases: null sources are one source; null or empty texts have no token and are kept in whole passes; rows that
-repeat are read like any other; a source without tokens is read once; an empty table gives no row.
-``mix`` keeps all columns of the input, and adds to them.
+Defined cases: null sources are one source; null or empty texts (and null counts) have no token and are kept in whole passes;
+texts of any length are counted whole; rows that repeat are read like any other, and rows with equal or null doc_ids of a
+source share their place; a source without tokens is read once; an empty table gives no row. ``mix`` keeps all columns of
+the input and adds to them; a column of an added one's name is replaced.
 """
 
 from __future__ import annotations
@@ -81,12 +83,13 @@ def fit_exponent(tokens: dict[int, int], repeats: float | None = REPEATS, target
     return high
 
 
-def mix(docs: DataFrame, source: str = "source", repeats: float | None = REPEATS, target_entropy: float | None = None, budget: float | None = None, seed: int = SEED, added: bool = True) -> DataFrame:
-    """Every document as often as its source is read; added: with n_tokens, epoch, block and place."""
+def mix(docs: DataFrame, source: str = "source", repeats: float | None = REPEATS, target_entropy: float | None = None, budget: float | None = None, seed: int = SEED, added: bool = True, tokens_in: str | None = None) -> DataFrame:
+    """Every document as often as its source is read; added: with n_tokens, epoch, block and place; tokens_in: the column with numbers of tokens."""
     spark = docs.sparkSession
+    size = words(F.col("row.text")) if tokens_in is None else F.coalesce(F.col(f"row.{tokens_in}"), F.lit(0)).cast("long")
     rows = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("row"))
     name = F.col(f"row.{source}").cast("string")
-    counted = Stored(rows.select(name.alias("source"), F.xxhash64("row.doc_id", F.lit(seed)).alias("hash"), words(F.col("row.text")).alias("tokens")), "tokens")
+    counted = Stored(rows.select(name.alias("source"), F.xxhash64("row.doc_id", F.lit(seed)).alias("hash"), size.alias("tokens")), "tokens")
     totals = Stored(counted.df.groupBy("source").agg(F.sum("tokens").alias("tokens"), F.count("*").alias("rows")), "totals")
     alike = {r.tokens: r.n for r in totals.df.groupBy("tokens").agg(F.count("*").alias("n")).collect()}
     tokens = {t: t for t in alike if t}
@@ -126,13 +129,25 @@ def mix(docs: DataFrame, source: str = "source", repeats: float | None = REPEATS
     out = keyed(out, name, hashed)
     reads = F.col("whole") + (F.col("key") < F.col("cut")).cast("int")
     out = out.filter(reads > 0).withColumn("epoch", F.explode(F.sequence(F.lit(0), reads - 1)))
-    if not added:
-        return out.select("row.*")
-    at = F.xxhash64(name, "block", "epoch", F.lit(seed + 3))
-    place = (F.col("epoch") + F.pmod(at, F.lit(1 << 30)) / float(1 << 30)) / F.greatest(F.ceil("times"), F.lit(1))
+    # a whole pass takes its share of the run, the last part of one its own
+    at, bits = F.xxhash64(name, "block", "epoch", F.lit(seed + 3)), 1 << 25
+    within = F.pmod(F.xxhash64(hashed, "epoch", F.lit(seed + 4)), F.lit(bits)) / float(bits)
+    u = (F.pmod(at, F.lit(bits)) + within) / float(bits)
+    share = F.when(F.col("epoch") < F.col("whole"), 1.0).otherwise(F.greatest(F.col("times") - F.col("whole"), F.lit(0.0)))
+    place = (F.col("epoch") + share * u) / F.greatest("times", F.col("epoch") + share)
     clash = {"n_tokens", "epoch", "block", "place"}
+    if not added:
+        return out.select("row", place.alias("place"))
     kept = [F.col("row")[c].alias(c) for c in docs.columns if c not in clash]
-    return out.select(*kept, words(F.col("row.text")).alias("n_tokens"), "epoch", "block", place.alias("place"))
+    return out.select(*kept, size.alias("n_tokens"), "epoch", "block", place.alias("place"))
+
+
+def in_order(docs: DataFrame, **limits) -> DataFrame:
+    """The run in the order of places, with the columns of docs alone; places are spread evenly, so partitions are stretches of equal length."""
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    run = mix(docs, added=False, **limits)
+    dealt = run.repartitionById(parts, F.least(F.floor(F.col("place") * parts), F.lit(parts - 1)).cast("int"))
+    return dealt.sortWithinPartitions("place").select("row.*")
 
 
 def _realised(times: float, tokens: int) -> tuple[int, int]:
