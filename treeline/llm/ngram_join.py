@@ -483,7 +483,7 @@ def set_classes(docs: DataFrame, width: int, percent: int) -> tuple[DataFrame, D
 def keep_one(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
     """One row of each class, one with its smallest doc_id, with all columns of docs; a doc_id on several classes stays on each.
 
-    Of rows without a word, one for each doc_id stays, and all that have none.
+    Rows without a word resemble nothing, so they all stay.
     """
     named = set_classes(docs, width, percent)[1]
     one = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "set", "at")).alias("one")
@@ -491,12 +491,10 @@ def keep_one(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> Dat
     rows = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text", address())
     worded = F.coalesce(F.col("text").rlike(r"[^ \t\n\x0B\f\r]"), F.lit(False))
 
-    def first(rows: DataFrame, by: str) -> DataFrame:
-        return rows.withColumn("n", F.row_number().over(Window.partitionBy(by).orderBy("text"))).filter("n = 1").select("row.*")
-
     with_words = rows.filter(worded).join(kept.hint("shuffle_hash"), "at").filter(F.col("doc_id").eqNullSafe(F.col("id")))
-    others = rows.filter(~worded)
-    return first(with_words, "class").union(first(others.filter("doc_id IS NOT NULL"), "doc_id")).union(others.filter("doc_id IS NULL").select("row.*"))
+    # rows that share doc_id and text (a hash of these, in rare cases) are left here
+    one = with_words.withColumn("n", F.row_number().over(Window.partitionBy("class").orderBy("text"))).filter("n = 1")
+    return one.select("row.*").union(rows.filter(~worded).select("row.*"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
