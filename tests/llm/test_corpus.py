@@ -77,7 +77,7 @@ def test_ngram_join_against_brute_force(spark, monkeypatch, small):
     assert {r.doc_id: r.n_shingles for r in found} == {n: len(s) for n, s in sets.items()}
     if not small:
         kept = ngram_join.keep_one(docs.union(docs.filter("doc_id = 0")))
-        assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == sorted(set(want.values()))
+        assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == sorted([0, *set(want.values())])
 
 
 def test_ngram_join_odd_tables(spark):
@@ -103,6 +103,8 @@ def test_ngram_join_by_text(spark):
     assert kept.columns == docs.columns
     texts = sorted(((r.doc_id, r.text) for r in kept.collect()), key=str)
     assert texts == sorted([(4, a), (4, b), (None, "alone"), (4, " "), (None, None), (20, near(10))], key=str)
+    apart = ngram_join.keep_one(spark.createDataFrame([(4, a, "x"), (4, b, "x"), (4, "", "x"), (4, "", "y")], schema))
+    assert sorted(r.text for r in apart.collect()) == sorted([a, b, "", ""]) and apart.columns == docs.columns
 
 
 def vectors(rng, dimension=24):
@@ -189,10 +191,10 @@ def test_quality_verdicts(spark):
     rows += [(9001, "short", "en", "?"), (9002, None, "xx", "?"), (9003, " ".join(f"v{n}" for n in range(30)), "xx", "?")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, n_words string")
     marks = spark.createDataFrame(labels + [(123456, 1, 0), (None, 1, 0)], "doc_id long, quality int, toxic int")
-    found = {r.doc_id: r for r in quality.judge(docs, marks).collect()}
+    found = {r.doc_id: r for r in quality.judge(docs, marks, alpha=0.04).collect()}
     assert all(found[n].kept == (n % 4 > 0) for n in range(3000))
     assert found[9001].base_failed and found[9002].base_failed and not found[9001].kept and found[9003].kept
-    kept = quality.keep(docs, marks)
+    kept = quality.keep(docs, marks, alpha=0.04)
     assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == {n for n, r in found.items() if r.kept}
     assert quality.judge(docs, marks.limit(0)).filter("kept").count() == 3001
     assert quality.judge(docs.limit(0), marks).count() == 0
@@ -211,7 +213,7 @@ def test_quality_of_many_strata(spark):
     docs, marks = spark.createDataFrame(rows, "doc_id long, text string, lang string"), spark.createDataFrame(labels, "doc_id long, quality int")
     lang, good = {r[0]: r[2] for r in rows}, dict(labels)
     want = {n for n in lang if lang[n] != "en" or good[n]}
-    assert {r.doc_id for r in quality.judge(docs, marks).filter("kept").collect()} == want == {r.doc_id for r in quality.keep(docs, marks).collect()}
+    assert {r.doc_id for r in quality.judge(docs, marks, alpha=0.04).filter("kept").collect()} == want == {r.doc_id for r in quality.keep(docs, marks, alpha=0.04).collect()}
 
 
 def test_no_cutoff_beyond_the_risk():
@@ -221,6 +223,33 @@ def test_no_cutoff_beyond_the_risk():
     assert quality.pick_cutoffs([("en", "s", 0.5, 50, 0, 9)], 1, alpha=0.01, delta=0.05) == {}
 
 
+def test_false_rejection_of_a_stratum_is_bounded():
+    # four scores, each above cutoff c with probability 0.02 * (1 - c) for good documents, independent of each other
+    rng, alpha, n, trials, broken = np.random.default_rng(3), 0.02, 6000, 60, 0
+    for _ in range(trials):
+        counts = []
+        for score in "abcd":
+            x = np.where(rng.random(n) < 0.02, rng.random(n), -1.0)
+            counts += [("en", score, c, n, int((x > c).sum()), 10**6) for c in quality.GRID]
+        cuts = quality.pick_cutoffs(counts, 4, alpha / 4, delta=0.05)
+        broken += 1 - math.prod(1 - 0.02 * (1 - c) for c in cuts.values()) > alpha
+        assert len(cuts) == 4
+    assert broken <= 3
+
+
+def test_null_language_is_a_stratum_of_its_own(spark):
+    # of texts without a language half of the good ones hold signs, so only the empty language can have a cutoff
+    rows, labels = [], []
+    for n in range(5600):
+        lang, good = ("", n % 8 > 1) if n % 2 else (None, n % 8 > 0)
+        signs = not good if lang == "" else n % 4 == 0
+        rows.append((n, " ".join(f"w{n}x{k}" + "###" * signs for k in range(20)), lang))
+        labels.append((n, int(good)))
+    docs, marks = spark.createDataFrame(rows, "doc_id long, text string, lang string"), spark.createDataFrame(labels, "doc_id long, quality int")
+    kept = {r.doc_id for r in quality.judge(docs, marks, alpha=0.04).filter("kept").collect()}
+    assert kept == {n for n, (_, _, lang) in enumerate(rows) if lang is None or labels[n][1]}
+
+
 def test_weighted_cuts(spark):
     rng = random.Random(0)
     items = [(node, rng.randrange(1 << 60), rng.randint(0, 9)) for node in (1, 2) for _ in range(500)] + [(3, 5, 7)] * 4
@@ -285,10 +314,19 @@ def test_mixture(spark, monkeypatch):
     times = mixing.passes({s: t for s, t in tokens.items() if t}, mixing.fit_exponent({s: t for s, t in tokens.items() if t}, 1.5), None)
     assert all(0 <= times[s] * tokens[s] - read[s] <= 20 for s in times)
     assert {r.doc_id for r in found} == {r[0] for r in rows} and all(0 <= r.place <= 1 for r in found)
-    assert mixing.mix(docs, added=False).columns == docs.columns
+    run = mixing.in_order(docs)
+    stretches = [sorted(r.doc_id for r in part) for part in run.rdd.glom().collect()]
+    assert run.columns == docs.columns and sorted(n for part in stretches for n in part) == sorted(r.doc_id for r in found)
+    assert stretches == [sorted(r.doc_id for r in found if min(3, int(r.place * 4)) == k) for k in range(4)]
+    # each source is spread over the run, and documents of a block of a pass stand together
+    big = sorted((r.place, r.epoch, r.block) for r in found if r.source == "big")
+    assert all(abs(sum(p < x for p, _, _ in big) / len(big) - x) < 0.1 for x in (0.25, 0.5, 0.75))
+    assert sum(a[1:] != b[1:] for a, b in zip(big, big[1:])) + 1 == len({b[1:] for b in big})
+    counted = docs.withColumn("size", F.size(F.split("text", " ")))
+    assert mixing.mix(counted, tokens_in="size").agg(F.max("n_tokens")).first()[0] == 21
     less = mixing.mix(docs, budget=sum(tokens.values()) / 4, repeats=1.0).agg(F.sum("n_tokens")).first()[0]
     assert sum(tokens.values()) / 4 - 100 <= less <= sum(tokens.values()) / 4
-    assert mixing.mix(docs.limit(0)).count() == 0
+    assert mixing.mix(docs.limit(0)).count() == mixing.in_order(docs.limit(0)).count() == 0
     monkeypatch.setattr(mixing, "MOST_SOURCES", 1)
     assert {r.doc_id for r in mixing.mix(docs).collect()} == {r[0] for r in rows}
 
