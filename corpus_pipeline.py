@@ -3,7 +3,12 @@
 Each stage takes (spark, docs, sf_dir), works on all that its predecessor kept and returns a DataFrame
 that is written as Parquet and read again as the next one's docs. The first three return the columns of
 documents: the rules' rejections go, one document of each class of near-duplicates stays, and sources
-are repeated as the mixture asks (no document is lost). The last returns the digest of every encoded row.
+are repeated as the mixture asks (no document is lost) and written in the order of its permutation. The last
+returns the digest of every encoded row.
+
+Defined cases: a null or short text fails the base rule and goes; null sources and languages count as values of
+their own; a doc_id on several texts keeps one row of each class; equal rows are one class, of which one stays; an empty
+table gives no row; texts of any length pass whole; other columns go through the first three stages, whatever their names.
 """
 
 from __future__ import annotations
@@ -24,7 +29,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return mixing.mix(docs, added=False)
+    return mixing.in_order(docs)
 
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
