@@ -144,19 +144,38 @@ def test_warc(spark, tmp_path, monkeypatch):
     df = spark.createDataFrame([(*p, "-") for p in pages], "page_id long, url string, html string, digest string")
     monkeypatch.setattr(warc, "FILE_BLOCKS", 2)
     path = str(tmp_path / "w")
-    captures, directory = warc.build(df, path, lines_of_block=2)
-    found = warc.read_records(warc.read_index(directory, path), path, 3).collect()
+    captures, files = warc.build(df, path, lines_of_block=2)
+    found = warc.read_records(warc.look_up(df, files, path), path, 3).collect()
     got = sorted(((str(r.page_id), r.record_type, r.refers_to, r.payload_bytes) for r in found), key=str)
     want = [("1", "revisit", 7, 1200), ("2", "revisit", 7, 1200), ("7", "response", None, 1200), ("7", "response", None, 1200), ("3", "response", None, 5), ("4", "response", None, 5), ("5", "response", None, 0), ("None", "response", None, 1200), ("8", "response", None, 1000)]
     assert got == sorted(want, key=str)
     assert {r.payload.decode() for r in found if r.page_id == 7} == {big}
-    index = warc.CaptureIndex(directory, path)
+    index = warc.CaptureIndex(files, path)
     assert [r["X-Page-Id"] for r in index.records("http://a.com/y")] == ["4"]
     assert all([c[1] for c in index.captures(u or "")] == [i] for i, u, _ in pages if i not in (None, 7))
     assert index.records("http://a.com/x")[0]["payload"] == b"small" and index.records("http://nowhere/") == []
     assert warc.surt("http://Www.A.com/p?q") == "com,a,www)/p?q"
-    captures, directory = warc.build(df.limit(0), str(tmp_path / "e"))
-    assert captures.count() == directory.count() == 0
+    some = spark.createDataFrame([("http://a.com/y",), ("http://nowhere/",), ("http://a.com/y",), (None,)], "url string")
+    assert sorted(r.page_id for r in warc.look_up(some, files, path).collect()) == [4, 7]
+    captures, files = warc.build(df.limit(0), str(tmp_path / "e"))
+    assert captures.count() == files.count() == warc.look_up(df, files, str(tmp_path / "e")).count() == 0
+
+
+def test_index_of_a_hot_key(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(warc, "FILE_BLOCKS", 2)
+    urls = ["http://hot.org/"] * 40 + [f"http://h{n % 9}.org/p{n}" for n in range(60)] + ["http://long.org/" + "x" * 5000, "http://É.org/", ""]
+    df = spark.createDataFrame([(n, u, str(n)) for n, u in enumerate(urls)], "page_id long, url string, html string")
+    captures, files = warc.build(df, str(tmp_path), lines_of_block=3)
+    # the directory's keys are in order, and each look-up reads no more than its blocks
+    index = warc.CaptureIndex(files, str(tmp_path))
+    assert len(index.names) > 10 and sorted(index.keys) == index.keys and len(index.files_of(warc.surt(urls[0]))) > 4
+    one = warc.IndexFile(f"{tmp_path}/{index.names[-1]}")
+    read, inner = [], one.reader.read
+    one.reader.read = lambda offset, length: read.append(offset) or inner(offset, length)
+    assert one.captures(one.directory[-1][0]) and len(read) <= 2
+    assert sorted(r.page_id for r in warc.look_up(df, files, str(tmp_path)).collect()) == list(range(len(urls)))
+    for u in set(urls):
+        assert sorted(c[1] for c in index.captures(u)) == [n for n, x in enumerate(urls) if x == u]
 
 
 def judge(url, rules, default):

@@ -1,16 +1,22 @@
 """WARC archives with revisit records and a two-level capture index.
 
 Archives hold one gzip member for each record. The index has two levels: capture lines, sorted by
-reversed-host url key (com,example)/path), in gzip blocks of a fixed number of lines; and a sparse
-directory, one row for each block with its first key, file, offset and length. A look-up searches the
-directory, reads one block by range, searches that, and reads one record by range.
+reversed-host url key (com,example)/path), in gzip blocks of a fixed number of lines; and, at the end of
+each index file, a sparse directory of its blocks (first key, offset, length). Where the files' own keys begin
+is one row for each file, of which there are at most ``MOST_FILES`` (beyond that, files grow).
+
+A look-up of one url or of many searches the files' first keys, the directory of a file, read by range, and the
+lines of a block, read by range; then it reads records by range. Many urls are sorted by key and dealt to
+the files, so each directory and block is read once.
 
 Of records with equal payloads of at least ``least`` bytes, the one with the largest page_id is a
 response and the others revisit it; smaller payloads are always responses.
 
 Defined cases: null html is an empty payload; a null url is an empty one; a row with a null page_id is
 a response and never the target of a revisit; rows that repeat the largest page_id of a payload are
-all responses; an empty table gives no archive and no row. Other columns are not read.
+all responses; an empty table gives no archive and no row; a url of any length is one line, and html of any length one
+record; captures with equal keys lie in the order of page_id, file and offset, over as many blocks and files as they
+take. Other columns are not read, so their names cannot clash.
 """
 
 from __future__ import annotations
@@ -20,6 +26,7 @@ import bisect
 import hashlib
 import json
 import re
+import struct
 import uuid
 import zlib
 from collections.abc import Iterable, Iterator
@@ -34,8 +41,10 @@ from .files import AtomicFile, RangeReader
 
 LEAST = 1000
 BLOCK_LINES = 512
-#: Blocks of an index file, about.
-FILE_BLOCKS = 64
+#: Blocks of an index file, about, until there are ``MOST_FILES`` of them.
+FILE_BLOCKS, MOST_FILES = 64, 65_536
+#: Characters of a file's first key that every task holds.
+KEY_CHARS = 200
 DATE = "2024-01-01T00:00:00Z"
 UNSAFE = re.compile("[\x00-\x20\x7f]")
 
@@ -150,21 +159,21 @@ def write_archives(pages: DataFrame, path: str, least: int = LEAST) -> DataFrame
     return mark_revisits(pages, least).sortWithinPartitions("page_id", "digest", "url").mapInArrow(write, CAPTURES)
 
 
-DIRECTORY = "first_key string, index_file string, block int, offset long, length long, lines int"
+FILES = "first_key string, index_file string, lines long"
 
 
 def write_index(captures: DataFrame, path: str, block_lines: int = BLOCK_LINES, files: int = 8) -> DataFrame:
-    """Writes the sorted capture lines in compressed blocks; the sparse directory of the blocks."""
+    """Writes the sorted capture lines in compressed blocks, behind them their directory; one row for each file."""
 
     def write(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyspark import TaskContext
 
-        name, file, held, rows = f"index-{TaskContext.get().partitionId():06d}.gz", None, [], []
+        name, file, held, blocks, lines = f"index-{TaskContext.get().partitionId():06d}.gz", None, [], [], 0
 
         def end_block() -> None:
             nonlocal held
             packed = pack("\n".join(held).encode())
-            rows.append((json.loads(held[0])[0], name, len(rows), file.write(packed), len(packed), len(held)))
+            blocks.append((json.loads(held[0])[0], file.write(packed), len(packed)))
             held = []
 
         for batch in batches:
@@ -174,61 +183,84 @@ def write_index(captures: DataFrame, path: str, block_lines: int = BLOCK_LINES,
                 held.append(json.dumps([key, None if pd.isna(page_id) else int(page_id), *rest]))
                 if len(held) == block_lines:
                     end_block()
+            lines += len(batch)
         if file:
             if held:
                 end_block()
+            directory = pack(json.dumps(blocks).encode())
+            file.write(directory + struct.pack("<Q", len(directory)))
             file.close()
-            yield pd.DataFrame(rows, columns=["first_key", "index_file", "block", "offset", "length", "lines"])
+            yield pd.DataFrame([(blocks[0][0][:KEY_CHARS], name, lines)], columns=["first_key", "index_file", "lines"])
 
     ordered = captures.repartitionByRange(files, "key", "page_id", "file", "offset").sortWithinPartitions("key", "page_id", "file", "offset")
-    return ordered.mapInPandas(write, DIRECTORY)
+    return ordered.mapInPandas(write, FILES)
+
+
+class IndexFile:
+    """One file of the index: its directory, and the last block read."""
+
+    def __init__(self, uri: str):
+        self.reader = RangeReader(uri)
+        size = struct.unpack("<Q", self.reader.read(self.reader.size - 8, 8))[0]
+        self.directory = json.loads(unpack(self.reader.read(self.reader.size - 8 - size, size)))
+        self.at, self.lines = -1, []
+
+    def captures(self, key: str) -> list[list]:
+        """The captures of a key, by binary search."""
+        found = []
+        for n in range(max(0, bisect.bisect_left(self.directory, key, key=lambda b: b[0]) - 1), len(self.directory)):
+            first, offset, length = self.directory[n]
+            if first > key:
+                break
+            if n != self.at:
+                self.at, self.lines = n, [json.loads(line) for line in unpack(self.reader.read(offset, length)).decode().split("\n")]
+            found.extend(self.lines[bisect.bisect_left(self.lines, key, key=lambda c: c[0]) : bisect.bisect_right(self.lines, key, key=lambda c: c[0])])
+        return found
 
 
 class CaptureIndex:
-    """Look-ups of urls by binary search: over the first keys of the index files, over the blocks of one, then within a block.
+    """The files of an index, of which it holds the first keys."""
 
-    The driver holds one key for each index file (of ``FILE_BLOCKS`` blocks) and the blocks of the file it looks into.
-    """
+    def __init__(self, files: DataFrame, path: str):
+        rows = sorted((r.first_key, r.index_file) for r in files.collect())
+        self.keys, self.names, self.path = [k for k, _ in rows], [n for _, n in rows], path
 
-    def __init__(self, directory: DataFrame, path: str):
-        self.directory, self.path = directory, path
-        self.files = sorted((r.key, r.index_file) for r in directory.groupBy("index_file").agg(F.min("first_key").alias("key")).collect())
+    def files_of(self, key: str) -> list[str]:
+        """The files that may hold a key: the last that begins before it, and those that begin like it."""
+        key = key[:KEY_CHARS]
+        return self.names[max(0, bisect.bisect_left(self.keys, key) - 1) : bisect.bisect_right(self.keys, key)]
 
     def captures(self, url: str) -> list[list]:
-        key, found = surt(url), []
-        for _, name in self.files[max(0, bisect.bisect_left(self.files, (key,)) - 1) :]:
-            blocks = sorted(map(tuple, self.directory.filter(F.col("index_file") == name).select("first_key", "offset", "length").collect()), key=lambda b: b[1])
-            if not blocks or blocks[0][0] > key:
-                break
-            reader = RangeReader(f"{self.path}/{name}")
-            for first, offset, length in blocks[max(0, bisect.bisect_left(blocks, key, key=lambda b: b[0]) - 1) :]:
-                if first > key:
-                    break
-                lines = block_lines(reader, offset, length)
-                found.extend(lines[bisect.bisect_left(lines, key, key=lambda c: c[0]) : bisect.bisect_right(lines, key, key=lambda c: c[0])])
-            reader.close()
-        return found
+        key = surt(url)
+        return [c for name in self.files_of(key) for c in IndexFile(f"{self.path}/{name}").captures(key)]
 
     def records(self, url: str) -> list[dict]:
         return [parse(unpack(RangeReader(f"{self.path}/{f}").read(o, n))) for _, _, f, o, n in self.captures(url)]
 
 
-def block_lines(reader: RangeReader, offset: int, length: int) -> list[list]:
-    return [json.loads(line) for line in unpack(reader.read(offset, length)).decode().split("\n")]
+def look_up(urls: DataFrame, files: DataFrame, path: str) -> DataFrame:
+    """The captures of the urls of a table (null: the empty one), each once."""
+    index = urls.sparkSession.sparkContext.broadcast(CaptureIndex(files, path))
 
+    def deal(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            keys = sorted({surt(u or "") for u in batch["url"]})
+            rows = [(name, key) for key in keys for name in index.value.files_of(key)]
+            yield pd.DataFrame(rows, columns=["index_file", "key"])
 
-def read_index(directory: DataFrame, path: str) -> DataFrame:
-    """All captures, from the index's blocks."""
-
-    def read(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def search(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at, file = None, None
         for batch in batches:
-            for name, blocks in batch.groupby("index_file"):
-                reader = RangeReader(f"{path}/{name}")
-                for offset, length in zip(blocks["offset"], blocks["length"]):
-                    yield pd.DataFrame(block_lines(reader, int(offset), int(length)), columns=["key", "page_id", "file", "offset", "length"]).astype({"page_id": "Int64"})
-                reader.close()
+            for name, rows in batch.groupby("index_file", sort=False):
+                if name != at:
+                    at, file = name, IndexFile(f"{index.value.path}/{name}")
+                found = [c for key in rows["key"] for c in file.captures(key)]
+                yield pd.DataFrame(found, columns=["key", "page_id", "file", "offset", "length"]).astype({"page_id": "Int64"})
 
-    return directory.repartition("index_file", "block").mapInPandas(read, CAPTURES)
+    # a key that many rows share is looked up once; each file is one task's
+    dealt = urls.select("url").distinct().mapInPandas(deal, "index_file string, key string").distinct()
+    count = max(1, len(index.value.names))
+    return dealt.repartition(count, "index_file").sortWithinPartitions("index_file", "key").mapInPandas(search, CAPTURES)
 
 
 RECORDS = "page_id long, url string, record_type string, payload binary, payload_bytes long, payload_digest string, refers_to long"
@@ -264,18 +296,19 @@ def read_records(captures: DataFrame, path: str, files: int, payloads: bool = Tr
 
 
 def build(pages: DataFrame, path: str, least: int = LEAST, lines_of_block: int = BLOCK_LINES) -> tuple[DataFrame, DataFrame]:
-    """Writes archives and index; the captures and the directory."""
+    """Writes archives and index; the captures and the index's files."""
     captures = Stored(write_archives(pages, path, least), "captures").df
     lines = captures.count()
-    directory = Stored(write_index(captures, path, block_lines=lines_of_block, files=max(1, -(-lines // (FILE_BLOCKS * lines_of_block)))), "directory").df
-    return captures, directory
+    files = max(1, min(MOST_FILES, -(-lines // (FILE_BLOCKS * lines_of_block))))
+    return captures, Stored(write_index(captures, path, block_lines=lines_of_block, files=files), "index-files").df
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch(spark, "warc")
-    captures, directory = build(spark.read.parquet(f"{sf_dir}/pages.parquet"), path)
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    captures, index_files = build(pages, path)
     files = max(1, captures.select("file").distinct().count())
-    records = read_records(read_index(directory, path), path, files, payloads=False)
+    records = read_records(look_up(pages, index_files, path), path, files, payloads=False)
     return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
