@@ -5,16 +5,14 @@ the two is certain: the fragments on both sides are encoded independently and co
 space is such a byte for a vocabulary whose pre-tokenizer drops it, so texts are first cut at blanks
 and line feeds. A fragment not met before is cut into the pre-tokenizer's pieces, each piece at the
 certain cuts of the pair table, and the parts go through the tokenizers library's own model. Results
-are memoised under fixed bounds, so memory does not grow with the input.
+are kept under fixed bounds, so memory does not grow with the input.
 """
 
 from __future__ import annotations
 
 import json
 import re
-import sys
-from array import array
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -24,12 +22,12 @@ import regex
 from tokenizers import Tokenizer
 from tokenizers.models import BPE
 
-#: Entries of one generation of a memo of fragments, and of the memo of pieces: about 250 MB of a Python process at most.
-MEMO, PIECES = 500_000, 200_000
+#: Bytes of texts that are encoded at once.
+PART_BYTES = 3 << 20
+#: Stands behind pieces that are cut or encoded together.
+END = "\0"
 #: Bytes of a table of ids.
 TABLE_BYTES = 48 << 20
-#: Longer fragments are encoded anew each time.
-LONGEST = 200
 #: Letters and signs below U+0250 without blanks: here lower-casing, NFC and the classes of letters and digits need no context.
 PLAIN = regex.compile("[!-~¡-ɏ]*+")
 
@@ -41,67 +39,73 @@ def byte_alphabet() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + n): b for n, b in enumerate(rest)}
 
 
-def packed(ids: list[int] | tuple[int, ...]) -> bytes:
-    """Little-endian unsigned 32-bit integers."""
-    out = array("I", ids)
-    if sys.byteorder == "big":
-        out.byteswap()
-    return out.tobytes()
+def load(path: str) -> Tokenizer:
+    tokenizer = Tokenizer.from_file(path)
+    tokenizer.no_truncation()
+    tokenizer.no_padding()
+    return tokenizer
 
 
-def unpacked(data: bytes) -> array:
-    out = array("I")
-    out.frombytes(data)
-    if sys.byteorder == "big":
-        out.byteswap()
-    return out
+def parts_of(batch: pa.RecordBatch, column: int, most: int = PART_BYTES) -> Iterator[pa.RecordBatch]:
+    """Stretches of a batch whose texts have about ``most`` bytes, of one row at least."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+    start = 0
+    while start < batch.num_rows:
+        before = int(ends[start - 1]) if start else 0
+        end = max(start + 1, int(np.searchsorted(ends, before + most, side="right")))
+        yield batch.slice(start, end - start)
+        start = end
 
 
-class Kept(dict):
-    """A memo of texts in two generations, for single look-ups."""
+class IdTable:
+    """Ids by text in Arrow and numpy arrays; when they take more than ``most`` bytes, the half that was used last stays."""
 
-    def __init__(self, most: int):
-        super().__init__()
-        self.most, self.old = most, {}
+    def __init__(self, encode: Callable[[pa.Array], tuple[np.ndarray, np.ndarray, np.ndarray]], most: int = TABLE_BYTES):
+        self.encode, self.most, self.now = encode, most, 0
+        self.clear()
 
-    def __missing__(self, text: str) -> bytes | None:
-        return self.old.get(text)
+    def clear(self) -> None:
+        self.keys, self.ids = pa.array([], pa.string()), np.zeros(0, dtype="<u4")
+        self.starts, self.sizes, self.used = (np.zeros(0, dtype=np.int64) for _ in range(3))
 
-    def keep(self, text: str, value: bytes) -> None:
-        if len(self) >= self.most:
-            self.old = dict(self)
-            self.clear()
-        if len(text) < LONGEST:
-            self[text] = value
+    def add(self, keys: pa.Array, sizes: np.ndarray, ids: np.ndarray) -> None:
+        self.keys = pa.concat_arrays([self.keys, keys])
+        self.starts = np.concatenate([self.starts, len(self.ids) + np.cumsum(sizes) - sizes])
+        self.sizes = np.concatenate([self.sizes, sizes])
+        self.used = np.concatenate([self.used, np.full(len(sizes), self.now)])
+        self.ids = np.concatenate([self.ids, ids])
 
+    def look_up(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of distinct texts, where in the third array their ids begin, and how many they are."""
+        self.now += 1
+        if self.keys.nbytes + self.ids.nbytes + 3 * self.starts.nbytes > self.most:
+            self.shrink()
+        found = pc.index_in(texts, value_set=self.keys)
+        new = np.flatnonzero(found.is_null().to_numpy(zero_copy_only=False))
+        at = found.fill_null(0).to_numpy().astype(np.int64)
+        if len(new):
+            sizes, ids, order = self.encode(texts.take(pa.array(new)))
+            at[new[order]] = len(self.keys) + np.arange(len(new))
+            self.add(texts.take(pa.array(new[order])), sizes, ids)
+        self.used[at] = self.now
+        return self.starts[at], self.sizes[at], self.ids
 
-class Memo:
-    """Values by text in two generations: when the young one is full it becomes the old one, whose entries return on use."""
+    def shrink(self) -> None:
+        keep = np.flatnonzero(self.used > np.median(self.used))
+        keys, sizes, ids = self.keys.take(pa.array(keep)), self.sizes[keep], gathered(self.ids, self.starts[keep], self.sizes[keep])
+        self.clear()
+        if keys.nbytes + ids.nbytes < self.most // 2:
+            self.add(keys, sizes, ids)
 
-    def __init__(self, make: Callable[[str], bytes]):
-        self.make, self.young, self.old = make, {}, {}
 
-    def joined(self, texts: list[str]) -> bytes:
-        """The values of the texts, one after another."""
-        if len(self.young) >= MEMO:
-            self.young, self.old = {}, self.young
-        young, long = self.young, []
-        for text in set(texts).difference(young):
-            value = self.old.get(text)
-            young[text] = self.make(text) if value is None else value
-            if len(text) >= LONGEST:
-                long.append(text)
-        out = b"".join(map(young.__getitem__, texts))
-        for text in long:
-            del young[text]
-        return out
+def gathered(ids: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The stretches of ids, one after another."""
+    ends = np.cumsum(sizes)
+    return ids[np.repeat(starts - (ends - sizes), sizes) + np.arange(ends[-1] if len(ends) else 0)]
 
 
-def load(path: str) -> Tokenizer:
-    tokenizer = Tokenizer.from_file(path)
-    tokenizer.no_truncation()
-    tokenizer.no_padding()
-    return tokenizer
+def joined(texts: pa.Array, by: str) -> str:
+    return pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(texts)], pa.int32()), texts), by)[0].as_py()
 
 
 class PieceModel:
@@ -132,7 +136,11 @@ class PieceModel:
         after = {a: "".join(chr(b) for b in low if not joined[a << 8 | b]) for a in low}
         #: A certain cut in a text of ASCII lower-case letters.
         self.cut_letters = re.compile("|".join(f"{chr(a)}[{x}]" for a, x in after.items() if x) or "(?!)")
-        self.memo = Kept(PIECES)
+        self.table = IdTable(self.encode_pieces)
+
+    def mapped(self, text: str) -> str:
+        """The text's bytes in the vocabulary's alphabet."""
+        return text.encode().decode("latin1").translate(self.alphabet)
 
     def certain_cuts(self, raw: bytes) -> list[bytes]:
         joined, cuts = self.joined, [0]
@@ -148,16 +156,36 @@ class PieceModel:
             ids.extend(t.id for t in model.tokenize(part.decode("latin1").translate(self.alphabet)))
         return ids
 
-    def piece_ids(self, piece: str) -> bytes:
+    def piece_ids(self, piece: str) -> list[int]:
         """Ids of one piece, given as plain text."""
-        found = self.memo[piece]
-        if found is None:
-            if piece.isascii() and piece.isalpha() and piece.islower() and not self.cut_letters.search(piece):
-                found = packed([t.id for t in self.closed.tokenize(piece)])
-            else:
-                found = packed(self.raw_ids(piece.encode()))
-            self.memo.keep(piece, found)
-        return found
+        if piece.isascii() and piece.isalpha() and piece.islower() and not self.cut_letters.search(piece):
+            return [t.id for t in self.closed.tokenize(piece)]
+        return self.raw_ids(piece.encode())
+
+    def encode_pieces(self, pieces: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Sizes, ids and order of pieces without a zero byte."""
+        sizes, ids = [], []
+        for piece in joined(pieces, END).split(END):
+            own = self.piece_ids(piece) if piece else []
+            sizes.append(len(own))
+            ids += own
+        return np.array(sizes, dtype=np.int64), np.array(ids, dtype="<u4"), np.arange(len(pieces))
+
+    def encode_marked(self, words: pa.Array, simple: pa.Array, mark: Callable[[pa.Array], pa.Array], other: Callable[[str], list[int]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Sizes, ids and order of words: simple ones together, with a mark behind each of their pieces, then the others one by one."""
+        simple = simple.to_numpy(zero_copy_only=False)
+        first, others = np.flatnonzero(simple), np.flatnonzero(~simple)
+        # the nothing behind a word's last mark is a piece without ids
+        lists = pc.split_pattern(mark(words.take(pa.array(first))), END)
+        coded = lists.flatten().dictionary_encode()
+        at, (starts, sizes, ids) = coded.indices.to_numpy(), self.table.look_up(coded.dictionary)
+        ends = np.concatenate([[0], np.cumsum(sizes[at])])[lists.offsets.to_numpy()]
+        own = [other(w) for w in words.take(pa.array(others)).to_pylist()]
+        return (
+            np.concatenate([np.diff(ends), np.fromiter(map(len, own), dtype=np.int64, count=len(own))]),
+            np.concatenate([gathered(ids, starts[at], sizes[at]), np.array([i for ids_of in own for i in ids_of], dtype="<u4")]),
+            np.concatenate([first, others]),
+        )
 
     def library_ids(self, text: str) -> list[int]:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
@@ -169,6 +197,10 @@ class PieceModel:
 class FragmentEncoder(PieceModel):
     """Encodes and decodes as the tokenizers library does with a lower-casing BPE file whose pre-tokenizer drops white space."""
 
+    #: Fragments in which lower-casing, NFC and the classes of characters need no context, and the pre-tokenizer's pattern for these.
+    SIMPLE = r"^[!-~\x{A1}-\x{12F}\x{131}-\x{24F}]+$"
+    SIMPLE_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|\pL+|\pN|[^\s\pL\pN]+"
+
     def __init__(self, path: str):
         super().__init__(path)
         if any(self.joined[c << 8 | b] or self.joined[b << 8 | c] for b in range(256) for c in (0x20, 0x0A)):
@@ -177,7 +209,8 @@ class FragmentEncoder(PieceModel):
         size = self.tokenizer.get_vocab_size(with_added_tokens=True)
         self.tokens = [self.tokenizer.id_to_token(i) for i in range(size)]
         self.numbers = [str(i) for i in range(size)]
-        self.fragments = Memo(self.fragment_ids)
+        self.fragments = IdTable(self.encode_fragments)
+        self.as_bytes = [pa.array([x.encode() for x in of], pa.binary()) for of in (self.tokens, self.numbers)]
 
     def pieces(self, fragment: str) -> list[str]:
         """The normalised pieces of a fragment without special tokens, as plain text."""
@@ -187,77 +220,43 @@ class FragmentEncoder(PieceModel):
         found = self.tokenizer.pre_tokenizer.pre_tokenize_str(normal)
         return [bytes(map(self.to_byte.__getitem__, map(ord, p))).decode() for p, _ in found]
 
-    def fragment_ids(self, fragment: str) -> bytes:
+    def fragment_ids(self, fragment: str) -> list[int]:
         if self.has_special(fragment):
-            return packed(self.library_ids(fragment))
-        return b"".join(map(self.piece_ids, self.pieces(fragment)))
+            return self.library_ids(fragment)
+        return [i for piece in self.pieces(fragment) for i in self.piece_ids(piece)]
 
-    @staticmethod
-    def cut(text: str | None) -> list[str]:
-        """A text (null: empty) at its blanks and line feeds."""
-        return (text or "").replace("\n", " ").split(" ")
+    def encode_fragments(self, fragments: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        simple = pc.and_not(pc.match_substring_regex(fragments, self.SIMPLE), pc.match_substring(fragments, "<|"))
+        mark = lambda some: pc.replace_substring_regex(pc.utf8_lower(some), self.SIMPLE_PATTERN, "\\0" + END)
+        return self.encode_marked(fragments, simple, mark, self.fragment_ids)
+
+    def batch(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of the texts (null: empty), one text after another, and the bounds of each text's."""
+        lists = pc.split_pattern(pc.replace_substring(pc.fill_null(texts, ""), "\n", " "), " ")
+        coded = lists.flatten().dictionary_encode()
+        starts, sizes, ids = self.fragments.look_up(coded.dictionary)
+        at = coded.indices.to_numpy()
+        sizes = sizes[at]
+        return gathered(ids, starts[at], sizes), np.concatenate([[0], np.cumsum(sizes)])[lists.offsets.to_numpy()]
 
     def ids(self, text: str | None) -> bytes:
         """All ids of a text as little-endian unsigned 32-bit integers."""
-        return self.fragments.joined(self.cut(text))
-
-    def decode(self, ids: bytes) -> str:
-        """As the library decodes without a decoder: tokens joined by blanks, special ones kept."""
-        return " ".join(map(self.tokens.__getitem__, np.frombuffer(ids, dtype="<u4").tolist()))
-
-    def joined_numbers(self, ids: bytes) -> str:
-        return " ".join(map(self.numbers.__getitem__, np.frombuffer(ids, dtype="<u4").tolist()))
-
-
-class IdTable:
-    """Ids by text in Arrow and numpy arrays; when they take more than ``most`` bytes, the half that was used last stays."""
-
-    def __init__(self, encode: Callable[[pa.Array], tuple[np.ndarray, np.ndarray, np.ndarray]], most: int = TABLE_BYTES):
-        self.encode, self.most, self.now = encode, most, 0
-        self.clear()
-
-    def clear(self) -> None:
-        self.keys, self.ids = pa.array([], pa.string()), np.zeros(0, dtype="<u4")
-        self.starts, self.sizes, self.used = (np.zeros(0, dtype=np.int64) for _ in range(3))
-
-    def add(self, keys: pa.Array, sizes: np.ndarray, ids: np.ndarray) -> None:
-        self.keys = pa.concat_arrays([self.keys, keys])
-        self.starts = np.concatenate([self.starts, len(self.ids) + np.cumsum(sizes) - sizes])
-        self.sizes = np.concatenate([self.sizes, sizes])
-        self.used = np.concatenate([self.used, np.full(len(sizes), self.now)])
-        self.ids = np.concatenate([self.ids, ids])
-
-    def look_up(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Of distinct texts, where in the third array their ids begin, and how many they are."""
-        self.now += 1
-        if self.keys.nbytes + self.ids.nbytes + 3 * self.starts.nbytes > self.most:
-            self.shrink()
-        found = pc.index_in(texts, value_set=self.keys)
-        new = np.flatnonzero(found.is_null().to_numpy(zero_copy_only=False))
-        at = found.fill_null(0).to_numpy().astype(np.int64)
-        if len(new):
-            sizes, ids, order = self.encode(texts.take(pa.array(new)))
-            at[new[order]] = len(self.keys) + np.arange(len(new))
-            self.add(texts.take(pa.array(new[order])), sizes, ids)
-        self.used[at] = self.now
-        return self.starts[at], self.sizes[at], self.ids
+        return self.batch(pa.array([text], pa.string()))[0].astype("<u4").tobytes()
 
-    def shrink(self) -> None:
-        keep = np.flatnonzero(self.used > np.median(self.used))
-        keys, sizes, ids = self.keys.take(pa.array(keep)), self.sizes[keep], gathered(self.ids, self.starts[keep], self.sizes[keep])
-        self.clear()
-        if keys.nbytes + ids.nbytes < self.most // 2:
-            self.add(keys, sizes, ids)
+    def decoded(self, ids: np.ndarray, bounds: np.ndarray) -> pa.Array:
+        """As the library decodes without a decoder: tokens joined by blanks, special ones kept; in UTF-8."""
+        return self.spelled(self.as_bytes[0], ids, bounds)
 
+    def numbered(self, ids: np.ndarray, bounds: np.ndarray) -> pa.Array:
+        """The ids in decimal, joined by blanks."""
+        return self.spelled(self.as_bytes[1], ids, bounds)
 
-def gathered(ids: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """The stretches of ids, one after another."""
-    ends = np.cumsum(sizes)
-    return ids[np.repeat(starts - (ends - sizes), sizes) + np.arange(ends[-1] if len(ends) else 0)]
-
+    @staticmethod
+    def spelled(table: pa.Array, ids: np.ndarray, bounds: np.ndarray) -> pa.Array:
+        return pc.binary_join(pa.LargeListArray.from_arrays(pa.array(bounds, pa.int64()), table.take(pa.array(ids))), b" ")
 
-def joined(texts: pa.Array, by: str) -> str:
-    return pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(texts)], pa.int32()), texts), by)[0].as_py()
+    def decode(self, ids: bytes) -> str:
+        return " ".join(map(self.tokens.__getitem__, np.frombuffer(ids, dtype="<u4").tolist()))
 
 
 class ByteLevelEncoder(PieceModel):
@@ -276,51 +275,28 @@ class ByteLevelEncoder(PieceModel):
     #: Words whose only white space is single line feeds, and the same pattern for these and a blank before them.
     SIMPLE = r"^[!-~\x{A1}-\x{24F}]+(?:\n[!-~\x{A1}-\x{24F}]+)*\n?$"
     SIMPLE_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\pL+| ?\pN+| ?[^\s\pL\pN]+|\n"
-    END = "\0"
 
     def __init__(self, path: str):
         super().__init__(path)
         pre = self.spec["pre_tokenizer"]
         if self.suffix or self.spec["normalizer"] or (pre["type"], pre["add_prefix_space"], pre["use_regex"]) != ("ByteLevel", False, True):
             raise ValueError("not a plain byte-level file")
-        self.pieces = IdTable(self.encode_pieces)
         #: Words with a blank before them, and without.
         self.words, self.firsts = IdTable(lambda words: self.encode_words(words, " ")), IdTable(lambda words: self.encode_words(words, ""))
 
-    def mapped(self, text: str) -> str:
-        """The text's bytes in the vocabulary's alphabet."""
-        return text.encode().decode("latin1").translate(self.alphabet)
-
-    def encode_pieces(self, pieces: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Sizes, ids and order of pieces without a zero byte."""
-        tokenize, sizes, ids = self.closed.tokenize, [], []
-        for piece in self.mapped(joined(pieces, self.END)).split(self.alphabet[0]):
-            own = [t.id for t in tokenize(piece)]
-            sizes.append(len(own))
-            ids += own
-        return np.array(sizes, dtype=np.int64), np.array(ids, dtype="<u4"), np.arange(len(pieces))
+    def piece_ids(self, piece: str) -> list[int]:
+        return [t.id for t in self.closed.tokenize(self.mapped(piece))]
 
     def chunk_ids(self, chunk: str) -> list[int]:
         if self.has_special(chunk) or not self.PLAIN.fullmatch(chunk):
             return self.library_ids(chunk)
-        return [t.id for piece in self.PATTERN.findall(chunk) for t in self.closed.tokenize(self.mapped(piece))]
+        return [i for piece in self.PATTERN.findall(chunk) for i in self.piece_ids(piece)]
 
     def encode_words(self, words: pa.Array, before: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Sizes, ids and order of words with ``before`` in front: simple ones together, then the others one by one."""
-        simple = pc.and_not(pc.match_substring_regex(words, self.SIMPLE), pc.match_substring(words, "<|")).to_numpy(zero_copy_only=False)
-        first, others = np.flatnonzero(simple), np.flatnonzero(~simple)
-        marked = pc.replace_substring_regex(pc.binary_join_element_wise(before, words.take(pa.array(first)), ""), self.SIMPLE_PATTERN, "\\0" + self.END)
-        # the nothing behind a word's last mark is a piece without ids
-        lists = pc.split_pattern(marked, self.END)
-        coded = lists.flatten().dictionary_encode()
-        at, (starts, sizes, ids) = coded.indices.to_numpy(), self.pieces.look_up(coded.dictionary)
-        ends = np.concatenate([[0], np.cumsum(sizes[at])])[lists.offsets.to_numpy()]
-        own = [self.chunk_ids(before + w) for w in words.take(pa.array(others)).to_pylist()]
-        return (
-            np.concatenate([np.diff(ends), np.fromiter(map(len, own), dtype=np.int64, count=len(own))]),
-            np.concatenate([gathered(ids, starts[at], sizes[at]), np.array([i for ids_of in own for i in ids_of], dtype="<u4")]),
-            np.concatenate([first, others]),
-        )
+        """Sizes, ids and order of words with ``before`` in front."""
+        simple = pc.and_not(pc.match_substring_regex(words, self.SIMPLE), pc.match_substring(words, "<|"))
+        mark = lambda some: pc.replace_substring_regex(pc.binary_join_element_wise(before, some, ""), self.SIMPLE_PATTERN, "\\0" + END)
+        return self.encode_marked(words, simple, mark, lambda word: self.chunk_ids(before + word))
 
     def ids_of_words(self, words: pa.Array, bounds: np.ndarray) -> list[np.ndarray]:
         """Ids of texts; words: those of all texts; bounds: where each text's words begin, and the end."""

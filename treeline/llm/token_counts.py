@@ -24,18 +24,22 @@ from __future__ import annotations
 import re
 import unicodedata
 from functools import lru_cache
+from itertools import accumulate
 
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 from .bpe import TOKENIZER, map_rows
-from .fragments import LONGEST, PIECES, PLAIN, FragmentEncoder, Kept, Memo, packed, unpacked
+from .fragments import END, FragmentEncoder, IdTable, gathered, joined
 
 LIMIT = 2048
 #: Pairs of tokens whose compatibility one Python process keeps.
 PAIRS = 400_000
+#: Clusters of characters whose normal forms it keeps.
+CLUSTERS = 100_000
 #: Characters of a piece that are counted anew for a cut within a cluster; longer ones go on from the piece's states.
 SHORT = 32
 
@@ -79,8 +83,8 @@ class PrefixCounter(FragmentEncoder):
         self.longest = max(map(len, self.nodes))
         self.pairs: dict[int, bool] = {}
         self.normals: dict[str, str] = {}
-        self.tables = Kept(PIECES)
-        self.rows = Memo(self.fragment_row)
+        #: Prefix counts of fragments and of pieces.
+        self.rows, self.prefixes = IdTable(self.encode_rows), IdTable(self.encode_prefixes)
 
     def edges(self, token: int, side: int) -> list[tuple[int, float]]:
         """What stands at the token's left (1) or right (2) border while it is built, with the rank at which that is merged away."""
@@ -109,20 +113,47 @@ class PrefixCounter(FragmentEncoder):
     def formed(self, token: int) -> int:
         return self.halves[token][0] if token in self.halves else -1
 
-    def piece_table(self, piece: str) -> bytes:
-        """Counts of the piece cut off behind each of its characters."""
-        found = self.tables[piece]
-        if found is not None:
-            return found
+    def counts(self, piece: str) -> list[int]:
+        """Counts of a normalised piece cut off behind each of its characters."""
+        if piece[0] == "'" and piece[-1].isalpha():  # a contraction is one piece only as a whole
+            return [*(sum(map(self.total, self.pattern.findall(piece[:n]))) for n in range(1, len(piece))), self.states(piece)[2][-1]]
         if piece.isascii() and piece.isprintable():
-            text, ends = piece, None
-        else:
-            text = self.mapped(piece)
-            ends = np.cumsum([len(c.encode()) for c in piece]).tolist()
-        _, _, out = self.states(text)
-        found = packed([out[e] for e in ends] if ends else out[1:])
-        self.tables.keep(piece, found)
-        return found
+            return self.states(piece)[2][1:]
+        out = self.states(self.mapped(piece))[2]
+        return [out[end] for end in accumulate(len(c.encode()) for c in piece)]
+
+    def total(self, piece: str) -> int:
+        return self.counts(piece)[-1]
+
+    def encode_prefixes(self, pieces: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Sizes, counts and order of pieces without a zero byte; the empty one has the count 0."""
+        sizes, counts = [], []
+        for piece in joined(pieces, END).split(END):
+            own = self.counts(piece) if piece else [0]
+            sizes.append(len(own))
+            counts += own
+        return np.array(sizes, dtype=np.int64), np.array(counts, dtype="<u4"), np.arange(len(pieces))
+
+    def encode_rows(self, fragments: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Sizes, counts and order of fragments: of each cut off behind each of its characters, and behind the white space that follows."""
+        simple = pc.and_not(pc.match_substring_regex(fragments, self.SIMPLE), pc.match_substring(fragments, "<|")).to_numpy(zero_copy_only=False)
+        first, others = np.flatnonzero(simple), np.flatnonzero(~simple)
+        marked = pc.replace_substring_regex(pc.utf8_lower(fragments.take(pa.array(first))), self.SIMPLE_PATTERN, "\\0" + END)
+        lists = pc.split_pattern(marked, END)
+        coded, bounds = lists.flatten().dictionary_encode(), lists.offsets.to_numpy()
+        at, (starts, sizes, counts) = coded.indices.to_numpy(), self.prefixes.look_up(coded.dictionary)
+        starts, sizes = starts[at], sizes[at]
+        # a fragment's pieces go on from the counts of those before; the nothing behind the last mark gives the whole count again
+        ends = np.concatenate([[0], np.cumsum(counts[starts + sizes - 1], dtype=np.int64)])
+        before = ends[:-1] - np.repeat(ends[bounds[:-1]], np.diff(bounds))
+        rows = gathered(counts, starts, sizes) + np.repeat(before, sizes)
+        own = [self.fragment_row(f) for f in fragments.take(pa.array(others)).to_pylist()]
+        places = np.concatenate([[0], np.cumsum(sizes)])[bounds]
+        return (
+            np.concatenate([np.diff(places), np.fromiter(map(len, own), dtype=np.int64, count=len(own))]),
+            np.concatenate([rows.astype("<u4"), np.array([n for row in own for n in row], dtype="<u4")]),
+            np.concatenate([first, others]),
+        )
 
     def states(self, text: str) -> tuple[list[int], list[int], list[int]]:
         """Of a piece in the vocabulary's alphabet, at each of its places: the last token and the count of open, the count of closed."""
@@ -159,45 +190,24 @@ class PrefixCounter(FragmentEncoder):
                     return count[j] + 1
         return 0
 
-    def total(self, piece: str) -> int:
-        return unpacked(self.piece_table(piece)[-4:])[0]
-
-    def fragment_row(self, fragment: str) -> bytes:
-        """Counts of the fragment cut off behind each of its characters, and behind the white space that follows."""
+    def fragment_row(self, fragment: str) -> list[int]:
+        """Counts of a fragment cut off behind each of its characters, and behind the white space that follows."""
         if not fragment:
-            return packed([0])
-        if self.has_special(fragment):
-            row = self.special_row(fragment)
-        elif "İ" not in fragment and (fragment.isascii() and fragment.isprintable() or PLAIN.fullmatch(fragment)):
-            pieces = self.pattern.findall(fragment.lower())
-            if len(pieces) == 1 and "'" not in fragment:
-                table = self.piece_table(pieces[0])
-                return table + table[-4:]
-            row = []
-            for piece in pieces:
-                before = row[-1] if row else 0
-                row.extend(before + n for n in self.counts(piece))
-        else:
-            row = self.composed_row(fragment)
-        return packed([*row, row[-1]])
-
-    def counts(self, piece: str) -> list[int]:
-        """Counts of a normalised piece cut off behind each of its characters."""
-        if piece[0] == "'" and piece[-1].isalpha():  # a contraction is one piece only as a whole
-            return [*(sum(map(self.total, self.pattern.findall(piece[:n]))) for n in range(1, len(piece))), self.total(piece)]
-        return list(unpacked(self.piece_table(piece)))
+            return [0]
+        row = self.special_row(fragment) if self.has_special(fragment) else self.composed_row(fragment)
+        return [*row, row[-1]]
 
     def special_row(self, fragment: str) -> list[int]:
         """Special tokens cut the text before all else; cut off itself, one is plain text."""
         row, before, at = [], 0, 0
         while found := [(n, s) for s in self.special if (n := fragment.find(s, at)) >= 0]:
             start, token = min(found)
-            own = unpacked(self.fragment_row(fragment[at : start + len(token) - 1]))
+            own = self.fragment_row(fragment[at : start + len(token) - 1])
             row.extend(before + n for n in own[:-1])
             before += (own[start - at - 1] if start > at else 0) + 1
             row.append(before)
             at = start + len(token)
-        return row + [before + n for n in unpacked(self.fragment_row(fragment[at:]))[:-1]]
+        return row + [before + n for n in self.fragment_row(fragment[at:])[:-1]]
 
     def composed_row(self, fragment: str) -> list[int]:
         """For any characters: no normal form reaches over the borders of clusters, so each is normalised by itself, and only cuts within one are looked at one by one."""
@@ -248,24 +258,36 @@ class PrefixCounter(FragmentEncoder):
     def normal(self, cluster: str) -> str:
         found = self.normals.get(cluster)
         if found is None:
-            if len(self.normals) >= PIECES:
+            if len(self.normals) >= CLUSTERS:
                 self.normals.clear()
             found = self.tokenizer.normalizer.normalize_str(cluster)
-            if len(cluster) < LONGEST:
+            if len(cluster) < SHORT:
                 self.normals[cluster] = found
         return found
 
-    def mapped(self, text: str) -> str:
-        return text.encode().decode("latin1").translate(self.alphabet)
+    def of_fragments(self, texts: pa.Array) -> tuple[np.ndarray, ...]:
+        """Of the fragments of all texts, where the rows of counts begin, their sizes and the counts; and the bounds of each text's fragments."""
+        lists = pc.split_pattern(pc.replace_substring(pc.fill_null(texts, ""), "\n", " "), " ")
+        coded = lists.flatten().dictionary_encode()
+        starts, sizes, counts = self.rows.look_up(coded.dictionary)
+        at = coded.indices.to_numpy()
+        return starts[at], sizes[at], counts, lists.offsets.to_numpy().astype(np.int64)
+
+    def prefix_tables(self, texts: pa.Array) -> list[np.ndarray]:
+        """For each text, entry n: tokens of the first n characters; the last entry: of the whole text."""
+        starts, sizes, counts, bounds = self.of_fragments(texts)
+        before = np.concatenate([[0], np.cumsum(counts[starts + sizes - 1], dtype=np.int64)])
+        rows = gathered(counts, starts, sizes) + np.repeat(before[:-1] - np.repeat(before[bounds[:-1]], np.diff(bounds)), sizes)
+        places = np.concatenate([[0], np.cumsum(sizes)])[bounds].tolist()
+        return [np.concatenate([[0], rows[a : b - 1]]) for a, b in zip(places, places[1:])]
+
+    def totals(self, texts: pa.Array) -> np.ndarray:
+        """Tokens of each text, from the ends of its fragments' rows."""
+        starts, sizes, counts, bounds = self.of_fragments(texts)
+        return np.diff(np.concatenate([[0], np.cumsum(counts[starts + sizes - 1], dtype=np.int64)])[bounds])
 
     def prefix_counts(self, text: str | None) -> np.ndarray:
-        """Entry n: tokens of the first n characters; the last entry: of the whole text."""
-        fragments = self.cut(text)
-        row = np.frombuffer(self.rows.joined(fragments), dtype="<u4").astype(np.int64)
-        sizes = np.fromiter(map(len, fragments), dtype=np.int64, count=len(fragments)) + 1
-        totals = row[np.cumsum(sizes) - 1]
-        counts = row + np.repeat(np.cumsum(totals) - totals, sizes)
-        return np.concatenate([[0], counts[:-1]])
+        return self.prefix_tables(pa.array([text], pa.string()))[0]
 
     @staticmethod
     def longest_prefix(counts: np.ndarray, budget: int) -> int:
@@ -282,20 +304,18 @@ def counter(path: str) -> PrefixCounter:
 def store_prefix_counts(docs: DataFrame, tokenizer: str) -> DataFrame:
     """doc_id and counts: 32-bit little-endian integers, one for each prefix of the text."""
 
-    def work(texts: list) -> list[list]:
-        c = counter(tokenizer)
-        return [[c.prefix_counts(t).astype("<i4").tobytes() for t in texts]]
+    def work(texts: pa.Array) -> list:
+        return [[t.astype("<i4").tobytes() for t in counter(tokenizer).prefix_tables(texts)]]
 
-    return map_rows(docs, "text", work, {"counts": ("binary", pa.binary())}, at_once=100)
+    return map_rows(docs, "text", work, {"counts": ("binary", pa.binary())})
 
 
 def truncate(docs: DataFrame, tokenizer: str, budget: int) -> DataFrame:
     """doc_id, text cut to the longest prefix of at most ``budget`` tokens, and its count."""
 
-    def work(texts: list) -> list[list]:
+    def work(texts: pa.Array) -> list:
         c, out = counter(tokenizer), ([], [])
-        for text in texts:
-            counts = c.prefix_counts(text)
+        for text, counts in zip(texts.to_pylist(), c.prefix_tables(texts)):
             end = c.longest_prefix(counts, budget)
             out[0].append((text or "")[:end])
             out[1].append(int(counts[end]))
@@ -307,10 +327,9 @@ def truncate(docs: DataFrame, tokenizer: str, budget: int) -> DataFrame:
 def count_tokens(docs: DataFrame, tokenizer: str, limit: int = LIMIT) -> DataFrame:
     """doc_id, n_bytes, n_tokens and whether the limit is exceeded."""
 
-    def work(texts: list) -> list[list]:
-        c = counter(tokenizer)
-        totals = [int(c.prefix_counts(t)[-1]) for t in texts]
-        return [[len(t.encode()) if t else 0 for t in texts], totals, [n > limit for n in totals]]
+    def work(texts: pa.Array) -> list:
+        totals = counter(tokenizer).totals(texts)
+        return [pc.fill_null(pc.binary_length(texts), 0).cast(pa.int64()), totals, totals > limit]
 
     kinds = {"n_bytes": ("long", pa.int64()), "n_tokens": ("long", pa.int64()), "over_limit": ("boolean", pa.bool_())}
     return map_rows(docs, "text", work, kinds)

@@ -26,7 +26,6 @@ from collections.abc import Callable, Iterable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import pyarrow.compute as pc
 import public_tokenizers
 import xxhash
 import zstandard
@@ -35,7 +34,7 @@ from pyspark.sql import functions as F
 
 from ..plans.shared import scratch
 from .files import AtomicFile, RangeReader
-from .fragments import byte_encoder
+from .fragments import byte_encoder, parts_of
 
 SKIPPABLE, SEEKABLE, CHECKSUMS = 0x184D2A5E, 0x8F92EAB1, 0x80
 INDEX = 0x184D2A50
@@ -43,8 +42,6 @@ INDEX = 0x184D2A50
 FRAME_BYTES = 1 << 18
 #: Bytes of text for each file, until there are ``MOST_FILES`` of them; then files grow, so manifests stay small.
 FILE_BYTES, MOST_FILES = 16 << 20, 200_000
-#: Bytes of texts that are encoded at once.
-PART_BYTES = 8 << 20
 NO_ID = -(2**63)
 
 
@@ -127,17 +124,6 @@ class TokenFileReader:
         self.file.close()
 
 
-def parts_of(batch: pa.RecordBatch, column: int, most: int = PART_BYTES) -> Iterator[pa.RecordBatch]:
-    """Stretches of a batch whose texts have about ``most`` bytes, of one row at least."""
-    ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
-    start = 0
-    while start < batch.num_rows:
-        before = int(ends[start - 1]) if start else 0
-        end = max(start + 1, int(np.searchsorted(ends, before + most, side="right")))
-        yield batch.slice(start, end - start)
-        start = end
-
-
 def write_token_files(docs: DataFrame, path: str, encode: Callable[[pa.Array], list[np.ndarray]], end_id: int | None = None, width: int = 2, files: int | None = None, frame_bytes: int = FRAME_BYTES) -> DataFrame:
     """Writes the files and returns their manifest: file, documents, ids and start (ids in the files before it); encode: the ids of each text."""
     spark = docs.sparkSession
