@@ -66,7 +66,7 @@ def test_shingle_sets():
 @pytest.mark.parametrize("small", [False, True])
 def test_ngram_join_against_brute_force(spark, monkeypatch, small):
     if small:  # many ranges, flushes and slices
-        for name, value in {"RANGE_KEYS": 700, "FLUSH": 300, "ENTRIES_FLUSH": 300, "BLOCK_KEYS": 400, "FREQUENT": 50, "AT_ONCE": 7}.items():
+        for name, value in {"RANGE_KEYS": 700, "FLUSH": 300, "ENTRIES_FLUSH": 300, "BLOCK_KEYS": 400, "FREQUENT": 50, "AT_ONCE": 7, "HEAP": 40}.items():
             monkeypatch.setattr(ngram_join, name, value)
     texts = corpus(seed=3 + small)
     sets, linked = linked_by_hand(texts)
@@ -114,7 +114,7 @@ def vectors(rng, dimension=24):
         for _ in range(rng.integers(1, 12)):
             rows.append((centre + rng.standard_normal(dimension) * rng.choice([0.0, 0.05, 0.2, 0.32])).astype(np.float32).tolist())
     rows += [rows[0], [2 * x for x in rows[0]], [-x for x in rows[0]]]
-    odd = [None, [], [0.0] * dimension, [float("nan")] * dimension, [float("inf")] + [1.0] * (dimension - 1), [None] * dimension, [1.0, 2.0], [1e30] * dimension, [1e-30] * dimension]
+    odd = [None, [], [0.0] * dimension, [float("nan")] * dimension, [float("inf")] + [1.0] * (dimension - 1), [None] * dimension, [1.0, 2.0], [1.0, 2.1], [1.0, -2.0], [3.0], [1e30] * dimension, [1e-30] * dimension]
     return rows + odd
 
 
@@ -124,17 +124,33 @@ def test_embeddings_against_brute_force(spark, monkeypatch, tile):
     rows = vectors(np.random.default_rng(tile))
     good = {}
     for n, v in enumerate(rows):
-        if v and len(v) == 24 and all(x is not None and math.isfinite(x) for x in v) and any(v):
+        if v and all(x is not None and math.isfinite(x) for x in v) and any(v):
             u = np.array(v, dtype=np.float32).astype(np.float64)
             u /= np.abs(u).max()
             good[n] = u / np.sqrt((u * u).sum())
-    linked = [(a, b) for a in good for b in good if a < b and good[a] @ good[b] >= 0.95]
+    linked = [(a, b) for a in good for b in good if a < b and len(good[a]) == len(good[b]) and good[a] @ good[b] >= 0.95]
     counts = {n: sum(n in p for p in linked) for n in range(len(rows))}
     want = classes(range(len(rows)), linked)
     found = embedding_dups.near_duplicates(spark.createDataFrame([(n, v, 1) for n, v in enumerate(rows)], "vec_id long, embedding array<float>, label int")).collect()
     assert {r.vec_id: (r.n_links, r.component_id, r.kept) for r in found} == {n: (counts[n], want[n], want[n] == n) for n in want}
 
 
+def test_embedding_recall_against_brute_force(spark):
+    # planted pairs from just above the threshold on, among vectors that link with nothing
+    rng, d, n = np.random.default_rng(11), 64, 1500
+    a, b = (rng.standard_normal((n, d)) for _ in range(2))
+    a /= np.linalg.norm(a, axis=1, keepdims=True)
+    b -= (a * b).sum(axis=1, keepdims=True) * a
+    b /= np.linalg.norm(b, axis=1, keepdims=True)
+    cosine = np.where(np.arange(n) < 500, 0.9501, np.where(np.arange(n) < 1000, 0.97, 0.949))[:, None]
+    rows = np.concatenate([a, cosine * a + np.sqrt(1 - cosine**2) * b, rng.standard_normal((500, d))])
+    units = rows / np.linalg.norm(rows, axis=1, keepdims=True)
+    want = {tuple(p) for p in np.argwhere(np.triu(units @ units.T >= 0.95, 1)).tolist()}
+    frame = spark.createDataFrame([(k, r.tolist()) for k, r in enumerate(rows)], "vec_id long, embedding array<double>")
+    found = {(r.component_id, r.vec_id) for r in embedding_dups.near_duplicates(frame).collect() if not r.kept}
+    assert found <= want and len(want) == 1000 and len(found) >= 0.999 * len(want)
+
+
 def test_embedding_estimates_are_unbiased_and_bounded():
     rng = np.random.default_rng(0)
     d = 64

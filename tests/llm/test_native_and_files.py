@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from treeline.llm import bpe, token_counts, token_files, url_filter, warc
-from treeline.llm.fragments import byte_encoder, encoder
+from treeline.llm.fragments import ByteLevelEncoder, FragmentEncoder, byte_encoder, encoder, parts_of
 
 WORD, BYTE = public_tokenizers.path("word_bpe_49k.json"), public_tokenizers.path("byte_bpe_50k.json")
 TEXTS = [
@@ -33,33 +33,24 @@ def test_encoders_equal_the_library():
         assert np.frombuffer(byte_encoder(BYTE).ids(text), "<u4").tolist() == byte.encode(text or "", add_special_tokens=False).ids
 
 
-def test_memo_is_bounded(monkeypatch):
-    from treeline.llm import fragments
-
-    monkeypatch.setattr(fragments, "MEMO", 20)
-    monkeypatch.setattr(fragments, "PIECES", 10)
-    e, word = fragments.FragmentEncoder(WORD), Tokenizer.from_file(WORD)
-    for text in [" ".join(f"w{i}x{j}" for i in range(15)) for j in range(6)]:
-        assert np.frombuffer(e.ids(text), "<u4").tolist() == word.encode(text, add_special_tokens=False).ids
-    assert len(e.fragments.young) < 60 and len(e.memo) <= 11
-
-
 def test_tables_are_bounded():
-    from treeline.llm.fragments import ByteLevelEncoder
-
-    e, byte, rng = ByteLevelEncoder(BYTE), Tokenizer.from_file(BYTE), random.Random(7)
-    for table in (e.words, e.firsts, e.pieces):
+    e, f, byte, word, rng = ByteLevelEncoder(BYTE), FragmentEncoder(WORD), Tokenizer.from_file(BYTE), Tokenizer.from_file(WORD), random.Random(7)
+    for table in (e.words, e.firsts, e.table, f.fragments, f.table):
         table.most = 2000
     for n in range(30):
         texts = TEXTS + noise(rng, 5) + [" ".join(f"w{rng.randrange(n + 1)}x{k},\nY" for k in range(10)), "x" * 5000 + f" {n}"]
         ids = e.batch(pa.array(texts).slice(n % 3))
         assert [i.tolist() for i in ids] == [byte.encode(t or "", add_special_tokens=False).ids for t in texts[n % 3 :]]
-    assert len(e.words.keys) < 200
+        ids, bounds = f.batch(pa.array(texts).slice(n % 3))
+        want = [word.encode(t or "", add_special_tokens=False).ids for t in texts[n % 3 :]]
+        assert [ids[a:b].tolist() for a, b in zip(bounds, bounds[1:])] == want
+        assert [d.decode() for d in f.decoded(ids, bounds).to_pylist()] == [word.decode(w, skip_special_tokens=False) for w in want]
+    assert len(e.words.keys) < 200 and len(f.fragments.keys) < 200
 
 
 def test_parts_of_batches():
     batch = pa.RecordBatch.from_pydict({"n": list(range(7)), "text": ["abc", None, "", "é" * 10, "x" * 100, "a", "b"]})
-    parts = list(token_files.parts_of(batch, 1, 10))
+    parts = list(parts_of(batch, 1, 10))
     assert [p.column(0).to_pylist() for p in parts] == [[0, 1, 2], [3], [4], [5, 6]]
 
 

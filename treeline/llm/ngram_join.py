@@ -4,7 +4,7 @@ Keys are put in one order for all documents, those in few documents first. Of a
 ceil(bound * n) - 1 are its long lists and the others, its prefix, the short ones: as a similar document
 shares at least ceil(bound * n) keys, it shares one of the prefix.
 
-1. Every task counts the documents of each key; the counts are added up by key ranges. The most
+1. Every task names the set of each document and counts the documents of each key; the counts are added up by key ranges. The most
    frequent keys, at most ``FREQUENT`` of them, go to every task with their counts (a fixed size); all
    other keys come first in the order. The order decides how much work is done, never what is found.
 2. Every document gives its prefix keys. Inverted lists are built by key range, after each task has
@@ -16,9 +16,9 @@ shares at least ceil(bound * n) keys, it shares one of the prefix.
    documents in blocks of two or more go to their block; a large block is cut into slices, and each
    pair of slices is one task.
 4. Within a block, T-occurrence search finds for every document those of the block that share the
-   required number of keys: its short lists are merged and counted, and documents that can still reach
-   the number are probed in the long lists by binary search, as in DivideSkip; documents that are already
-   in the same class are left out. Lists are merged by counting, not with a heap, which numpy does faster.
+   required number of keys: its short lists are merged with a heap and counted, and documents that can still
+   reach the number are probed in the long lists by binary search, as in DivideSkip; documents that are already
+   in the same class are left out. More than ``HEAP`` entries are sorted and counted by numpy instead.
 5. Components of the links found are the classes.
 
 Documents with equal sets are one throughout (by a 63-bit hash of the set), so copies cost no pairs.
@@ -26,11 +26,13 @@ Keys are 64-bit hashes of shingles, in step 2 their upper 48 bits.
 
 Defined cases: null or empty texts have no shingle and are classes of their own; rows that repeat a
 doc_id give a row each, whose texts are joined each by itself; a null doc_id belongs to its class without naming
-it, and classes of such rows only are null; an empty table gives no row. Other columns are not read.
+it, and classes of such rows only are null; an empty table gives no row; texts of any length are whole sets; documents exactly
+at the bound are similar. Other columns are not read, so their names cannot clash.
 """
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -57,6 +59,8 @@ DEPTH = 3
 #: Keys of all documents for each key range.
 RANGE_KEYS = 1_000_000
 AT_ONCE = 500
+#: Entries of short lists that are merged with a heap; numpy sorts and counts more of them faster than Python's heap merges them.
+HEAP = 400
 
 
 def texts_of(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list]]:
@@ -87,11 +91,21 @@ def unpacked_gaps(data: bytes) -> np.ndarray:
     return np.cumsum(np.concatenate([first, gaps]), dtype=np.uint64)
 
 
-COUNTS = "range int, slots binary, many binary, counts binary"
+MEASURED = "doc_id long, n_shingles long, set long, at long, range int, slots binary, many binary, counts binary"
 
 
-def count_keys(docs: DataFrame, ranges: int, width: int) -> DataFrame:
-    """For each key range and task: the slots (upper 32 bits of keys) met, and the counts of those met more than once."""
+def measure(docs: DataFrame, ranges: int, width: int) -> DataFrame:
+    """In one pass over the texts (doc_id, text, at), rows of two kinds.
+
+    doc_id, n_shingles, set (null without shingles) and at of every row; and, with a range, for each key range and
+    task the slots (upper 32 bits of keys) met, and the counts of those met more than once.
+    """
+    names = [f.strip().split(" ")[0] for f in MEASURED.split(",")]
+    kinds = dict(zip(names, (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary())))
+
+    def batch_of(**columns) -> pa.RecordBatch:
+        size = len(next(iter(columns.values())))
+        return pa.RecordBatch.from_arrays([pa.array(columns[n], k) if n in columns else pa.nulls(size, k) for n, k in kinds.items()], names=names)
 
     def flush(held: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
         slots, counts = np.unique(np.concatenate(held), return_counts=True)
@@ -101,13 +115,15 @@ def count_keys(docs: DataFrame, ranges: int, width: int) -> DataFrame:
             if b > a:
                 many = np.flatnonzero(counts[a:b] > 1)
                 rows.append((n, packed_gaps(slots[a:b]), many.astype("<u4").tobytes(), counts[a:b][many].astype("<u4").tobytes()))
-        columns = list(zip(*rows))
-        yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int32()), *(pa.array(c, pa.binary()) for c in columns[1:])], names=["range", "slots", "many", "counts"])
+        yield batch_of(**dict(zip(("range", "slots", "many", "counts"), zip(*rows))))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
-        for _, texts in texts_of(batches):
-            keys, _ = shingle_sets(texts, width)
+        for part, texts in texts_of(batches):
+            keys, sizes = shingle_sets(texts, width)
+            ends = np.cumsum(sizes).tolist()
+            ids = [set_id(keys[b - n : b]) if n else None for b, n in zip(ends, sizes.tolist())]
+            yield batch_of(doc_id=part.column("doc_id"), n_shingles=sizes, set=ids, at=part.column("at"))
             held.append(keys >> np.uint64(32))
             size += len(keys)
             if size >= FLUSH:
@@ -116,7 +132,11 @@ def count_keys(docs: DataFrame, ranges: int, width: int) -> DataFrame:
         if size:
             yield from flush(held)
 
-    return docs.select("text").mapInArrow(run, COUNTS)
+    return docs.select("doc_id", "text", "at").mapInArrow(run, MEASURED)
+
+
+def ranges_of(keys: int) -> int:
+    return max(1, -(-keys // RANGE_KEYS))
 
 
 def groups_of(batches: Iterable[pd.DataFrame], *by: str) -> Iterator[tuple[tuple, pd.DataFrame]]:
@@ -139,8 +159,9 @@ def groups_of(batches: Iterable[pd.DataFrame], *by: str) -> Iterator[tuple[tuple
         yield at, pd.concat(held)
 
 
-def frequent_keys(docs: DataFrame, ranges: int, width: int, most: int = FREQUENT) -> tuple[np.ndarray, np.ndarray]:
-    """Slots in most documents, ascending, and their numbers of documents: at most ``most``, all above one count."""
+def frequent_keys(measured: DataFrame, ranges: int, most: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """From what ``measure`` gives, slots in most documents, ascending, and their numbers of documents: at most ``most``, all above one count."""
+    most = FREQUENT if most is None else most
 
     def add_up(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for (n,), rows in groups_of(batches, "range"):
@@ -166,7 +187,7 @@ def frequent_keys(docs: DataFrame, ranges: int, width: int, most: int = FREQUENT
                 yield pd.DataFrame({"level": level.astype(np.int64), "n": n})
 
     counted = Stored(
-        count_keys(docs, ranges, width).repartition(ranges, "range").sortWithinPartitions("range").mapInPandas(add_up, "range int, slots binary, counts binary"), "key-counts"
+        measured.filter("range IS NOT NULL").select("range", "slots", "many", "counts").repartition(ranges, "range").sortWithinPartitions("range").mapInPandas(add_up, "range int, slots binary, counts binary"), "key-counts"
     )
     # the number of keys at each power of a fine step of the count decides which counts are kept
     step = F.floor(F.log("level") * 16)
@@ -296,6 +317,20 @@ def block_links(entries: DataFrame, ranges: int, percent: int) -> DataFrame:
     return dealt.repartition(ranges, "to").drop("to").sortWithinPartitions("range").mapInPandas(run, "src long, dst long")
 
 
+def merged(lists: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """The documents of ascending lists, and in how many lists each is: merged with a heap, or, if they are long together, counted after a sort."""
+    if sum(map(len, lists)) > HEAP:
+        return np.unique(np.concatenate(lists), return_counts=True)
+    found, count = [], []
+    for doc in heapq.merge(*(own.tolist() for own in lists)):
+        if found and found[-1] == doc:
+            count[-1] += 1
+        else:
+            found.append(doc)
+            count.append(1)
+    return np.array(found, dtype=np.int64), np.array(count, dtype=np.int64)
+
+
 class Block:
     """Sets of documents with their inverted lists, for T-occurrence search."""
 
@@ -313,7 +348,8 @@ class Block:
         #: (document, key) in ascending order, for binary probes.
         self.width = int(key.max()) + 1
         self.pairs = np.sort(doc * self.width + key)
-        self.root = np.arange(len(sets))
+        #: The class of each document, and the documents of classes of two or more.
+        self.root, self.members = np.arange(len(sets)), {}
 
     def similar(self, n: int, others: np.ndarray | None = None) -> Iterator[int]:
         """Documents similar to document n, until n is linked to their class; others: only look among these."""
@@ -324,8 +360,7 @@ class Block:
         short = short[self.lengths[short] > 1]
         if not len(short):
             return
-        merged = np.concatenate([self.lists[self.ends[k] - self.lengths[k] : self.ends[k]] for k in short.tolist()])
-        found, count = np.unique(merged, return_counts=True)
+        found, count = merged([self.lists[self.ends[k] - self.lengths[k] : self.ends[k]] for k in short.tolist()])
         need = least_overlap(size, self.sizes[found], percent)
         may = (count + len(long) >= need) & (100 * np.minimum(size, self.sizes[found]) >= percent * np.maximum(size, self.sizes[found]))
         may &= self.root[found] != self.root[n]
@@ -350,8 +385,11 @@ class Block:
             step = min(256, step * 2)
 
     def join(self, a: int, b: int) -> None:
-        low, high = sorted((int(self.root[a]), int(self.root[b])))
-        self.root[self.root == high] = low
+        """The smaller class takes the name of the larger one."""
+        few, many = sorted((int(self.root[a]), int(self.root[b])), key=lambda r: len(self.members.get(r, "1")))
+        moved = self.members.pop(few, [few])
+        self.root[moved] = many
+        self.members.setdefault(many, [many]).extend(moved)
 
 
 def block_classes(docs: list[int], sets: list[np.ndarray], percent: int, side: np.ndarray | None = None) -> list[tuple[int, int]]:
@@ -387,19 +425,6 @@ def address() -> Column:
     return F.xxhash64(F.col("doc_id").cast("long"), "text").alias("at")
 
 
-def describe(docs: DataFrame, width: int) -> DataFrame:
-    """doc_id, n_shingles, set (null without shingles) and address of every row."""
-
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, texts in texts_of(batches):
-            keys, sizes = shingle_sets(texts, width)
-            ends = np.cumsum(sizes).tolist()
-            ids = [set_id(keys[b - n : b]) if n else None for b, n in zip(ends, sizes.tolist())]
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(ids, pa.int64()), part.column("at")], names=["doc_id", "n_shingles", "set", "at"])
-
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", address()).mapInArrow(run, "doc_id long, n_shingles long, set long, at long")
-
-
 def whole_sets(docs: DataFrame, width: int) -> DataFrame:
     """The columns of docs other than text, the keys of the text and the set that they make (null: none)."""
     others = [f for f in docs.schema.fields if f.name != "text"]
@@ -416,18 +441,19 @@ def whole_sets(docs: DataFrame, width: int) -> DataFrame:
     return docs.mapInArrow(run, schema)
 
 
-def block_members(docs: DataFrame, keys: int, stands: DataFrame, width: int, percent: int, depth: int = DEPTH) -> DataFrame:
-    """Steps 1 to 3: at, doc (its set), block and n of the documents in blocks of two or more; docs: at, text; keys: of all docs.
+def block_members(docs: DataFrame, measured: DataFrame, counted: int, keys: int, stands: DataFrame, width: int, percent: int, depth: int = DEPTH) -> DataFrame:
+    """Steps 1 to 3: at, doc (its set), block and n of the documents in blocks of two or more; docs: doc_id, at, text; measured: with counts in ``counted`` ranges; keys: of all docs.
 
     Where more keys are shared than the table of frequent ones holds, chance links make blocks large. These are
     blocked again by themselves, in an order by the counts within them, until that no longer helps.
     """
     spark = docs.sparkSession
-    ranges = max(1, -(-keys // RANGE_KEYS))
-    frequent = spark.sparkContext.broadcast(frequent_keys(docs, ranges, width))
+    ranges = ranges_of(keys)
+    frequent = spark.sparkContext.broadcast(frequent_keys(measured, counted))
     release(spark)
     links = block_links(prefix_entries(docs, frequent, ranges, width, percent), ranges, percent)
     blocks = Stored(connected_components(links, reduced=True), "blocks").df
+    frequent.unpersist()
     members = store(blocks.join(stands, F.col("vertex") == F.col("set")).select("at", F.col("vertex").alias("doc"), F.col("component").alias("block"), "n"), "members")
     large = members.groupBy("block").agg(F.sum("n").alias("keys")).filter(F.col("keys") > BLOCK_KEYS)
     held = large.agg(F.sum("keys")).first()[0] or 0
@@ -435,7 +461,8 @@ def block_members(docs: DataFrame, keys: int, stands: DataFrame, width: int, per
         return members
     again = members.join(large.select("block"), "block", "left_semi").select("at").distinct()
     texts = docs.join(again.hint("shuffle_hash"), "at", "left_semi")
-    finer = block_members(store(texts, "large-blocks"), held, stands, width, percent, depth - 1)
+    texts = store(texts, "large-blocks")
+    finer = block_members(texts, store(measure(texts, ranges_of(held), width), "sets"), ranges_of(held), held, stands, width, percent, depth - 1)
     # a text that stands elsewhere may come along with the same address; it keeps its own block
     kept = members.join(large.select("block"), "block", "left_anti").select("at", "doc", "block", "n")
     return kept.union(finer.join(kept.select("doc"), "doc", "left_anti").select("at", "doc", "block", "n"))
@@ -450,14 +477,17 @@ def jaccard_classes(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT)
 
 
 def set_classes(docs: DataFrame, width: int, percent: int) -> tuple[DataFrame, DataFrame]:
-    """What ``describe`` gives, and set, class (a set of it), doc_id and at of the row that stands for each set."""
+    """doc_id, n_shingles, set and at of every row, and set, class (a set of it), doc_id and at of the row that stands for each set."""
     spark = docs.sparkSession
-    texts = docs.select(address(), "text")
-    sets = store(describe(docs, width), "sets")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), address(), "text")
+    # the number of ranges has to be known before the keys are: a word takes six bytes, about
+    counted = ranges_of((texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // 6)
+    measured = store(measure(texts, counted, width), "sets")
+    sets = measured.filter("range IS NULL").select("doc_id", "n_shingles", "set", "at")
     # one document stands for each set, one with a doc_id if there is any; partial minima are taken before the shuffle
     stands = sets.filter("set IS NOT NULL").groupBy("set").agg(F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "at")).alias("one"), F.max("n_shingles").alias("n"))
     stands = stands.select("set", "one.doc_id", "one.at", "n")
-    members = block_members(texts, sets.agg(F.sum("n_shingles")).first()[0] or 0, stands, width, percent)
+    members = block_members(texts, measured, counted, sets.agg(F.sum("n_shingles")).first()[0] or 0, stands, width, percent)
     release(spark)
     slices = members.groupBy("block").agg(F.sum("n").alias("keys")).select("block", F.ceil(2 * F.col("keys") / BLOCK_KEYS).alias("s"))
     placed = members.join(slices.select("block", F.when(F.col("s") <= 2, 1).otherwise(F.col("s")).cast("long").alias("s")), "block")
@@ -470,7 +500,7 @@ def set_classes(docs: DataFrame, width: int, percent: int) -> tuple[DataFrame, D
     )
     wanted = placed.groupBy("at", "doc").agg(F.first("block").alias("block"), F.first("slice").alias("slice"), F.collect_list(F.struct("a", "b")).alias("tiles"))
     # the places are the hashed side at any size, so the texts are not sorted
-    text = texts.join(wanted.hint("shuffle_hash"), "at").drop("at")
+    text = texts.drop("doc_id").join(wanted.hint("shuffle_hash"), "at").drop("at")
     keyed = whole_sets(text, width).filter("set = doc").select("block", "slice", "doc", "keys", F.inline("tiles"))
     links = search_blocks(keyed, percent, max(1, int(spark.conf.get("spark.sql.shuffle.partitions"))))
     classes = connected_components(links, reduced=True)
