@@ -2,9 +2,10 @@ import random
 
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from treeline.operators import analytics, forest, graph, order
-from treeline.operators.components import connected_components, find
+from treeline.operators.components import connected_components, find, roots
 from treeline.operators.traversal import breadth_first
 
 EDGE = "src long, dst long, weight double"
@@ -64,14 +65,70 @@ def test_components_of_a_path_and_nulls(spark):
     assert found == {**{n: 0 for n in range(61)}, 100: 100, 101: 100}
 
 
-def test_membership_row_to_jumps(spark):
-    row = [1, 1, 1, 2, 2, 2, 1, 1, 1, 1, 2, 2, 2, 2, 2, 1]
+@pytest.mark.parametrize("block", [4, 1 << 20])
+def test_membership_to_jumps_and_slots(spark, block):
+    rng = random.Random(block)
+    row = [rng.choice([1, 2, 2]) for _ in range(60)] + [2] * 9 + [1, 2]
     rows = spark.createDataFrame(list(enumerate(row)), "pos long, membership int")
-    jumps = dict(map(tuple, analytics.jump_lengths(rows).collect()))
-    assert [jumps[n] for n in range(16)] == [0, 0, 0, -3, -2, -1, 0, 0, 0, 0, -5, -4, -3, -2, -1, 0]
-    assert analytics.jump_summary(rows).first() == (8, 2, 10, 16)
-    slots = {r.pos: r.slot for r in analytics.compacted(rows).collect()}
-    assert sorted(range(16), key=slots.get) == [n for n in range(16) if row[n] == 1] + [n for n in range(16) if row[n] == 2]
+    left = lambda n: next((k for k, m in enumerate(row[n:]) if m == 1), len(row) - n)
+    assert dict(map(tuple, analytics.jump_lengths(rows, block=block).collect())) == {n: -left(n) for n in range(len(row))}
+    capped = dict(map(tuple, analytics.jump_lengths(rows, 4, block=block).collect()))
+    assert capped == {n: -((left(n) - 1) % 4 + 1) if left(n) else 0 for n in range(len(row))}
+    starts = [n for n, m in enumerate(row) if m == 2 and (n == 0 or row[n - 1] == 1)]
+    skipped = row.count(2)
+    assert analytics.jump_summary(rows).first() == (skipped, len(starts), len(row) - skipped + len(starts), len(row))
+    for chunks, size in ((1, 71), (4, 18)):
+        slots = {r.pos: (r.chunk, r.slot) for r in analytics.compacted(rows, chunks).collect()}
+        bounds = [n for n in range(len(row)) if n == 0 or slots[n][0] != slots[n - 1][0]]
+        assert len(bounds) == chunks and len(row) == 71
+        for a, b in zip(bounds, [*bounds[1:], len(row)]):
+            assert b - a in (size, size - 1)
+            assert sorted(range(a, b), key=slots.get) == sorted(range(a, b), key=lambda n: (row[n], n)) and {slots[n][1] for n in range(a, b)} == set(range(b - a))
+    jumps = sorted(map(tuple, analytics.compacted_jumps(rows, 1, 10).collect()))
+    assert [j for _, _, j in jumps] == [0] * row.count(1) + [-(n % 10) for n in range(skipped, 0, -1)]
+
+
+@pytest.mark.parametrize("block", [1, 3, 1 << 20])
+def test_windows_over_blocks(spark, block):
+    rng = random.Random(block)
+    values = {n: rng.choice([None, n]) for n in sorted(rng.sample(range(200), 40))}
+    df = spark.createDataFrame(list(values.items()), "pos long, v long")
+    at = list(values)
+    before = {r.pos: r.p for r in order.with_previous(df, "pos", F.col("v"), "p", block).collect()}
+    assert before == {n: values[at[k - 1]] if k else None for k, n in enumerate(at)}
+    for forward in (True, False):
+        got = {r.pos: r.p for r in order.filled(df, "pos", F.col("v"), "p", block, forward).collect()}
+        assert got == {n: (max if forward else min)((v for k, v in values.items() if v is not None and (k <= n if forward else k >= n)), default=None) for n in at}
+
+
+def test_positions(spark):
+    a, b = (spark.createDataFrame([(float(x),) for x in xs], "w double") for xs in ([3, 1, 2, 2], [2, 1, 3]))
+    assert sorted(map(tuple, order.differences(a, b, "w").collect())) == [(2, 2.0, 3.0), (3, 3.0, None)]
+    assert order.kth(a, 2, "w").first().w == 2.0 and order.kth(a, 9, "w").count() == 0
+    ranked = order.ranked(a, "w")
+    assert order.unsorted(ranked, "pos", "w", block=2).count() == 0
+    assert [r.w for r in order.unsorted(spark.createDataFrame([(0, 1.0), (1, 5.0), (2, 4.0), (3, 4.0)], "pos long, w double"), "pos", "w", block=2).collect()] == [4.0]
+
+
+def test_pointers_to_roots(spark):
+    parents = [(n, max(n - 3, n % 3)) for n in range(50)]
+    found = {r.vertex: (r.root, r.hops) for r in roots(spark.createDataFrame(parents, "vertex long, parent long")).collect()}
+    assert found == {n: (n % 3, n // 3) for n in range(50)}
+    with pytest.raises(RuntimeError):
+        roots(spark.createDataFrame([(1, 2), (2, 1)], "vertex long, parent long"), rounds=4)
+
+
+def test_filter_splits_again(spark):
+    edges = random_graph(random.Random(21), 60, 700, weights=9)
+    found = forest.minimum_spanning_forest(spark.createDataFrame(edges, EDGE), "filter", threshold=60)
+    assert sorted(map(tuple, found.collect())) == by_hand(edges)
+
+
+def test_forest_with_ids(spark):
+    edges = [(1, 2, 5.0, 7), (1, 2, 5.0, 4), (2, 3, 1.0, 0), (1, 3, 2.0, 9), (4, 5, None, 2)]
+    df = spark.createDataFrame(edges, "src long, dst long, weight double, edge_id long")
+    got = forest.with_edge_ids(forest.minimum_spanning_forest(df), df)
+    assert sorted(map(tuple, got.collect())) == [(1, 3, 2.0, 9), (2, 3, 1.0, 0), (4, 5, 0.0, 2)]
 
 
 def test_closing_time_both_ways(spark, monkeypatch):
@@ -91,8 +148,7 @@ def test_closing_time_both_ways(spark, monkeypatch):
                 break
     assert {r.pos: r.closed_at for r in analytics.closing_time(rows, tree).collect()} == want
     monkeypatch.setattr(analytics, "TASK_VERTICES", 1)
-    few = rows.filter("membership = 1 OR pos < 12")
-    assert {r.pos: r.closed_at for r in analytics.closing_time(few, tree).collect()} == {p: t for p, t in want.items() if p < 12}
+    assert {r.pos: r.closed_at for r in analytics.closing_time(rows, tree).collect()} == want
 
 
 def test_breadth_first(spark):

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from .functions import scalars
 from .operators import analytics, forest, graph, order, traversal
-from .operators.components import connected_components
+from .operators.components import connected_components, roots
 from .plans import graphs
 from .plans.graphs import table
 from .plans.shared import scratch
@@ -31,7 +31,7 @@ def classified(make: Graph) -> Query:
     return run
 
 
-trade = classified(graphs.nation_trade)
+trade, hops = classified(graphs.nation_trade), classified(graphs.user_hops)
 
 
 def directed_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -73,7 +73,7 @@ def chunk_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
 def kway_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     edges = graphs.user_hops(spark, sf_dir)
     runs = [edges.filter(F.col("src") % 3 == n).sortWithinPartitions(*graph.ORDER) for n in range(3)]
-    return order.ranked(order.merged(runs, *graph.ORDER), *graph.ORDER)
+    return order.merged(runs, *graph.ORDER)
 
 
 def components_of(make: Graph) -> Query:
@@ -94,19 +94,19 @@ def msf_by_strategy(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def heavy_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Heavy edges that are left once the forest of the lighter third has been taken."""
-    edges = order.ranked(graphs.nation_trade(spark, sf_dir), *graph.ORDER)
+    """Heavy edges that are left once the forest of the lightest thirtieth has been taken."""
+    edges = order.ranked(graphs.user_hops(spark, sf_dir), *graph.ORDER)
     light = edges.count() // 30
     found = forest.minimum_spanning_forest(edges.filter(F.col("pos") < light))
     return forest.across(edges.filter(F.col("pos") >= light).select("src", "dst", "weight"), connected_components(found))
 
 
 def percentile_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return analytics.percentile_progress(trade(spark, sf_dir), 20)
+    return analytics.percentile_progress(hops(spark, sf_dir), 20)
 
 
 def prefix_detectability(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = order.store(trade(spark, sf_dir), "classified")
+    rows = order.store(hops(spark, sf_dir), "classified")
     return analytics.prefix_detectability(rows, rows.filter("membership = 1"), 20)
 
 
@@ -115,18 +115,18 @@ def closing_times(spark: SparkSession, sf_dir: str) -> DataFrame:
     return analytics.closing_time(rows, rows.filter("membership = 1"))
 
 
-def over_trade(ask: Callable[[DataFrame], DataFrame]) -> Query:
-    return lambda spark, d: ask(order.store(trade(spark, d), "classified"))
+def over_hops(ask: Callable[[DataFrame], DataFrame]) -> Query:
+    return lambda spark, d: ask(order.store(hops(spark, d), "classified"))
 
 
 def oracle_skip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = order.store(trade(spark, sf_dir), "classified")
+    rows = order.store(hops(spark, sf_dir), "classified")
     return analytics.replay_without_cycles(rows.select("src", "dst", "weight"), rows)
 
 
 def bfs_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """From vertex 0 over the forest, where paths are unique."""
-    return traversal.breadth_first(forest.minimum_spanning_forest(graphs.nation_trade(spark, sf_dir)), 0)
+    """From vertex 1 over the forest, where paths are unique."""
+    return traversal.breadth_first(forest.minimum_spanning_forest(graphs.user_hops(spark, sf_dir)), 1)
 
 
 def parse_edge_text(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -160,7 +160,7 @@ def scalar_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def progress_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cycle edges so far at each of 50 points, those of the first half of the order and of the second."""
-    rows = order.store(trade(spark, sf_dir), "classified")
+    rows = order.store(hops(spark, sf_dir), "classified")
     n = rows.count()
     cycle, first = F.col("membership") == 2, F.col("pos") < n // 2
     per = rows.groupBy(order.chunk(F.col("pos"), n, 50).alias("point")).agg(F.count_if(cycle & first).alias("a"), F.count_if(cycle & ~first).alias("b"))
@@ -177,6 +177,41 @@ def streaming_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return latest_forest(spark, f"{path}/out")
 
 
+def msf_with_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    edges = order.store(graph.with_id(graphs.user_hops(spark, sf_dir)), "edges")
+    return forest.with_edge_ids(forest.minimum_spanning_forest(edges), edges)
+
+
+def mirrored_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines with ends modulo 2 and 3, so that many mirror the line before or are loops, over borders of blocks too."""
+    lines = table(spark, sf_dir, "orders").select(
+        F.col("o_orderkey").cast("long").alias("line"), (F.col("o_custkey") % 2).cast("long").alias("src"), (F.floor("o_totalprice") % 3).cast("long").alias("dst")
+    )
+    return edge_files.collapse_mirrored(lines, block=700)
+
+
+def position_differences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ranked weights of edges from even vertices against those from odd ones."""
+    edges = graphs.user_hops(spark, sf_dir)
+    return order.differences(edges.filter("src % 2 = 0"), edges.filter("src % 2 = 1"), "weight")
+
+
+def kth_edge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    edges = order.store(graphs.part_supplier(spark, sf_dir), "edges")
+    return order.kth(edges, edges.count() // 3, *graph.ORDER)
+
+
+def order_breaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """In the order of ends, the edges that are lighter than the one before."""
+    return order.unsorted(order.ranked(graphs.part_supplier(spark, sf_dir), "src", "dst"), "pos", "weight", "src", "dst", block=4000)
+
+
+def find_hops(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pointers from each vertex to the smallest one around it."""
+    both = graph.both_directions(graphs.part_supplier(spark, sf_dir))
+    return roots(both.groupBy(F.col("src").alias("vertex")).agg(F.least(F.min("dst"), F.first("src")).alias("parent")))
+
+
 def set_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Light edges against those of even vertices."""
     edges = graphs.nation_trade(spark, sf_dir)
@@ -214,25 +249,35 @@ QUERIES: dict[str, Query] = {
     "msf_totals": lambda s, d: forest.forest_totals(forest.minimum_spanning_forest(graphs.user_hops(s, d))),
     "msf_order_forest": msf_of(graphs.order_forest),
     "msf_part_supplier": msf_of(graphs.part_supplier),
-    "msf_filtered": lambda s, d: forest.forest_totals(forest.minimum_spanning_forest(graphs.part_supplier(s, d), "filter")),
+    "msf_filtered": lambda s, d: forest.forest_totals(forest.minimum_spanning_forest(graphs.part_supplier(s, d), "filter", threshold=10_000)),
     "msf_prefix": lambda s, d: forest.minimum_spanning_forest(order.ranked(graphs.nation_trade(s, d), *graph.ORDER).filter("pos < 100")),
     "msf_streaming": streaming_forest,
-    "edge_membership": lambda s, d: trade(s, d).select("pos", "membership"),
-    "edge_classes": over_trade(analytics.class_counts),
+    "edge_membership": lambda s, d: hops(s, d).select("pos", "membership"),
+    "edge_classes": over_hops(analytics.class_counts),
     "heavy_filter": heavy_filter,
     "percentile_progress": percentile_progress,
     "progress_snapshots": progress_snapshots,
     "prefix_detectability": prefix_detectability,
     "closing_times": closing_times,
-    "gap_histogram": over_trade(analytics.gap_histogram),
-    "gap_histogram_pow2": over_trade(lambda rows: analytics.gap_histogram(rows, powers=True)),
-    "jump_lengths": over_trade(analytics.jump_lengths),
-    "jump_lengths_capped": over_trade(lambda rows: analytics.jump_lengths(rows, 8)),
-    "jump_summary": over_trade(analytics.jump_summary),
+    "gap_histogram": over_hops(analytics.gap_histogram),
+    "gap_histogram_pow2": over_hops(lambda rows: analytics.gap_histogram(rows, powers=True)),
+    "jump_lengths": over_hops(analytics.jump_lengths),
+    "jump_lengths_capped": over_hops(lambda rows: analytics.jump_lengths(rows, 8)),
+    "jump_summary": over_hops(analytics.jump_summary),
     "oracle_skip": oracle_skip,
-    "compacted_order": over_trade(analytics.compacted),
-    "compacted_chunks": over_trade(lambda rows: analytics.compacted(rows, 4)),
-    "cycles_by_chunk": over_trade(lambda rows: analytics.cycles_by_chunk(rows, 6)),
+    "compacted_order": over_hops(analytics.compacted),
+    "compacted_chunks": over_hops(lambda rows: analytics.compacted(rows, 4)),
+    "compacted_jumps": over_hops(lambda rows: analytics.compacted_jumps(rows, 4)),
+    "oracle_prepared": over_hops(lambda rows: analytics.prepared(rows).select("pos", "membership")),
+    "progress_cells": over_hops(lambda rows: analytics.progress_cells(rows, 20)),
+    "stat_matrix": over_hops(lambda rows: analytics.stat_matrix(rows, 5)),
+    "msf_with_ids": msf_with_ids,
+    "mirrored_lines": mirrored_lines,
+    "position_differences": position_differences,
+    "kth_edge": kth_edge,
+    "order_breaks": order_breaks,
+    "find_hops": find_hops,
+    "cycles_by_chunk": over_hops(lambda rows: analytics.cycles_by_chunk(rows, 6)),
     "bfs_levels": bfs_levels,
     "parse_edge_text": parse_edge_text,
     "parse_run_log": parse_run_log,
@@ -268,10 +313,23 @@ POWER = "CASE WHEN {n} <= 1 THEN 1 ELSE (1::BIGINT << length(bin({n} - 1))::INT)
 
 
 def gaps(key: str) -> str:
-    return over(TRADE, f""", {RUNS}, h AS (SELECT {key} AS gap, count(*)::BIGINT AS n FROM r GROUP BY 1)
+    return over(HOPS, f""", {RUNS}, h AS (SELECT {key} AS gap, count(*)::BIGINT AS n FROM r GROUP BY 1)
 SELECT gap, n, round(100.0::DOUBLE * sum(n) OVER (ORDER BY gap) / sum(n) OVER (), 4) AS cum_share FROM h""")
 
 
+def boruvka(edges: str, select: str, rounds: int = 16) -> str:
+    """CTE f (the forest): every component takes its first edge; chains of choices end at the smaller of a pair that chose each other."""
+    ctes = [f"e0 AS MATERIALIZED (SELECT src AS a, dst AS b, weight, src, dst FROM ({edges}))"]
+    for n in range(rounds):
+        ctes.append(f"""b{n} AS MATERIALIZED (SELECT a, arg_min(b, (weight, src, dst)) AS o, min((weight, src, dst)) AS e FROM (SELECT * FROM e{n} UNION ALL SELECT b, a, weight, src, dst FROM e{n}) GROUP BY a),
+p{n} AS MATERIALIZED (SELECT x.a, CASE WHEN y.o = x.a AND x.a < x.o THEN x.a ELSE x.o END AS up FROM b{n} x JOIN b{n} y ON y.a = x.o),
+j{n} AS (SELECT a, up FROM p{n} UNION ALL SELECT j{n}.a, p{n}.up FROM j{n} JOIN p{n} ON p{n}.a = j{n}.up AND p{n}.up <> p{n}.a),
+r{n} AS MATERIALIZED (SELECT j{n}.a, j{n}.up AS r FROM j{n} JOIN p{n} ON p{n}.a = j{n}.up AND p{n}.up = p{n}.a),
+e{n + 1} AS MATERIALIZED (SELECT x.r AS a, y.r AS b, weight, src, dst FROM e{n} JOIN r{n} x ON x.a = e{n}.a JOIN r{n} y ON y.a = e{n}.b WHERE x.r <> y.r)""")
+    picks = " UNION ".join(f"SELECT e FROM b{n}" for n in range(rounds))
+    return f"WITH RECURSIVE {', '.join(ctes)}, f AS (SELECT e[2] AS src, e[3] AS dst, e[1] AS weight FROM ({picks})) {select}"
+
+
 def components_sql(edges: str) -> str:
     return f"""WITH RECURSIVE g AS MATERIALIZED ({edges}), b AS (SELECT src AS x, dst AS y FROM g UNION ALL SELECT dst, src FROM g),
 r AS (SELECT DISTINCT x AS vertex, x AS c FROM b UNION SELECT r.vertex, b.y FROM r JOIN b ON b.x = r.c)
@@ -313,34 +371,54 @@ SELECT *, 'left' AS side FROM (SELECT * FROM a EXCEPT ALL SELECT * FROM b) UNION
     "msf_by_strategy": over(TRADE, f"SELECT s AS strategy, {TOTALS} FROM m, (VALUES ('local'), ('two_level'), ('filter'), ('rounds')) t(s) WHERE membership = 1 GROUP BY s"),
     "msf_totals": over(HOPS, f"SELECT {TOTALS} FROM m WHERE membership = 1"),
     "msf_order_forest": STARS,
+    "msf_part_supplier": boruvka(PARTS, "SELECT src, dst, weight FROM f"),
+    "msf_filtered": boruvka(PARTS, f"SELECT {TOTALS} FROM f"),
+    "msf_with_ids": over(HOPS, "SELECT src, dst, weight, pos AS edge_id FROM m WHERE membership = 1"),
+    "mirrored_lines": """WITH l AS (SELECT o_orderkey::BIGINT AS line, (o_custkey % 2)::BIGINT AS src, (floor(o_totalprice) % 3)::BIGINT AS dst FROM orders),
+p AS (SELECT *, lag(least(src, dst)) OVER o IS DISTINCT FROM least(src, dst) OR lag(greatest(src, dst)) OVER o IS DISTINCT FROM greatest(src, dst) AS first FROM l WINDOW o AS (ORDER BY line)),
+r AS (SELECT *, sum(first::INT) OVER (ORDER BY line) AS run FROM p), s AS (SELECT *, first_value(src) OVER (PARTITION BY run ORDER BY line) AS led FROM r)
+SELECT line, src, dst FROM s WHERE first OR (src <> dst AND src = led)""",
+    "position_differences": f"""WITH a AS (SELECT weight, row_number() OVER (ORDER BY weight) - 1 AS pos FROM ({HOPS}) WHERE src % 2 = 0), b AS (SELECT weight, row_number() OVER (ORDER BY weight) - 1 AS pos FROM ({HOPS}) WHERE src % 2 = 1)
+SELECT coalesce(a.pos, b.pos)::BIGINT AS pos, a.weight AS left, b.weight AS right FROM a FULL JOIN b ON a.pos = b.pos WHERE a.weight IS DISTINCT FROM b.weight""",
+    "kth_edge": f"SELECT src, dst, weight FROM ({ranked_sql(PARTS, 'pos', 0)}) WHERE pos = (SELECT count(*) FROM ({PARTS})) // 3",
+    "order_breaks": f"""SELECT src, dst, weight, pos FROM (SELECT *, (row_number() OVER o - 1)::BIGINT AS pos, lag(weight) OVER o AS w, lag(src) OVER o AS s, lag(dst) OVER o AS d FROM ({PARTS}) WINDOW o AS (ORDER BY src, dst)) WHERE w IS NOT NULL AND (weight, src, dst) < (w, s, d)""",
+    "find_hops": f"""WITH RECURSIVE g AS MATERIALIZED ({PARTS}), p AS MATERIALIZED (SELECT a AS vertex, least(a, min(b)) AS parent FROM (SELECT src AS a, dst AS b FROM g UNION ALL SELECT dst, src FROM g) GROUP BY a),
+h AS (SELECT vertex, vertex AS x, 0::BIGINT AS hops FROM p UNION ALL SELECT h.vertex, p.parent, h.hops + 1 FROM h JOIN p ON p.vertex = h.x AND p.parent <> p.vertex)
+SELECT vertex, arg_max(x, hops) AS root, max(hops) AS hops FROM h GROUP BY vertex""",
+    "compacted_jumps": over(HOPS, """, t AS (SELECT *, ntile(4) OVER (ORDER BY pos) AS chunk FROM m), c AS (SELECT *, row_number() OVER (PARTITION BY chunk ORDER BY membership, pos) - 1 AS slot, count(*) OVER (PARTITION BY chunk) AS k FROM t)
+SELECT chunk, slot::BIGINT AS slot, CASE WHEN membership = 1 THEN 0 ELSE -((k - slot) % 128) END::BIGINT AS jump FROM c"""),
+    "oracle_prepared": over(HOPS, "SELECT pos, CASE WHEN membership = 2 THEN 2 ELSE 0 END AS membership FROM m"),
+    "progress_cells": over(HOPS, """, t AS (SELECT *, ntile(20) OVER (ORDER BY pos) AS point FROM m), c AS (SELECT point, count(*) FILTER (membership = 1) AS a, count(*) FILTER (membership = 2) AS b FROM t GROUP BY 1)
+SELECT point::BIGINT AS point, round(point::DOUBLE / 20 * 60)::BIGINT AS edges, round(round(100.0::DOUBLE * sum(a) OVER o / sum(a) OVER (), 4) / 100 * 60)::BIGINT AS msf, round(round(100.0::DOUBLE * sum(b) OVER o / sum(b) OVER (), 4) / 100 * 60)::BIGINT AS cycle FROM c WINDOW o AS (ORDER BY point)"""),
+    "stat_matrix": over(HOPS, ", t AS (SELECT *, ntile(5) OVER (ORDER BY pos) AS point FROM m) SELECT membership, " + ", ".join(f"count(*) FILTER (point <= {n})::BIGINT AS p{n}" for n in range(1, 6)) + " FROM t GROUP BY membership"),
     "msf_prefix": over(TRADE, "SELECT src, dst, weight FROM m WHERE membership = 1 AND pos < 100"),
     "msf_streaming": over(TRADE, "SELECT src, dst, weight FROM m WHERE membership = 1"),
-    "edge_membership": over(TRADE, "SELECT pos, membership FROM m"),
-    "edge_classes": over(TRADE, "SELECT membership, count(*)::BIGINT AS n_edges FROM m GROUP BY membership"),
-    "heavy_filter": over(TRADE, "SELECT src, dst, weight FROM m, (SELECT lab AS l FROM w, n WHERE w.pos = e // 30) WHERE m.pos >= (SELECT e // 30 FROM n) AND l[ps] <> l[pd]"),
-    "percentile_progress": over(TRADE, """, t AS (SELECT *, ntile(20) OVER (ORDER BY pos) AS point FROM m),
+    "edge_membership": over(HOPS, "SELECT pos, membership FROM m"),
+    "edge_classes": over(HOPS, "SELECT membership, count(*)::BIGINT AS n_edges FROM m GROUP BY membership"),
+    "heavy_filter": over(HOPS, "SELECT src, dst, weight FROM m, (SELECT lab AS l FROM w, n WHERE w.pos = e // 30) WHERE m.pos >= (SELECT e // 30 FROM n) AND l[ps] <> l[pd]"),
+    "percentile_progress": over(HOPS, """, t AS (SELECT *, ntile(20) OVER (ORDER BY pos) AS point FROM m),
 c AS (SELECT point::BIGINT AS point, count(*)::BIGINT AS n, count(*) FILTER (membership = 1)::BIGINT AS n_msf, count(*) FILTER (membership = 2)::BIGINT AS n_cycle FROM t GROUP BY 1)
 SELECT point, n, n_msf, n_cycle, (sum(n_msf) OVER o)::BIGINT AS cum_msf, (sum(n_cycle) OVER o)::BIGINT AS cum_cycle, round(100.0::DOUBLE * sum(n_msf) OVER o / sum(n_msf) OVER (), 4) AS msf_share,
  round(100.0::DOUBLE * sum(n_cycle) OVER o / sum(n_cycle) OVER (), 4) AS cycle_share FROM c WINDOW o AS (ORDER BY point)"""),
-    "progress_snapshots": over(TRADE, """, t AS (SELECT *, ntile(50) OVER (ORDER BY pos) AS point FROM m),
+    "progress_snapshots": over(HOPS, """, t AS (SELECT *, ntile(50) OVER (ORDER BY pos) AS point FROM m),
 c AS (SELECT point::BIGINT AS point, count(*) FILTER (membership = 2 AND pos < e // 2) AS a, count(*) FILTER (membership = 2 AND pos >= e // 2) AS b FROM t, n GROUP BY 1)
 SELECT point, (sum(a) OVER (ORDER BY point))::BIGINT AS cycles_first, (sum(b) OVER (ORDER BY point))::BIGINT AS cycles_second FROM c"""),
-    "prefix_detectability": over(TRADE, """, p AS (SELECT i AS point, e * i // 20 AS upto FROM range(1, 21) t(i), n), k AS (SELECT point, upto, lab AS l FROM p JOIN w ON w.pos = p.upto),
+    "prefix_detectability": over(HOPS, """, p AS (SELECT i AS point, e * i // 20 AS upto FROM range(1, 21) t(i), n), k AS (SELECT point, upto, lab AS l FROM p JOIN w ON w.pos = p.upto),
 c AS (SELECT point, upto, count(*) FILTER (m.pos >= upto AND l[ps] = l[pd])::BIGINT AS detectable, count(*) FILTER (m.membership = 2 AND m.pos >= upto) AS later_cycles, count(*) FILTER (m.membership = 2) AS cycles, count(*) FILTER (m.pos >= upto) AS later FROM k, m GROUP BY 1, 2)
 SELECT point, upto::BIGINT AS upto, detectable, round(100.0::DOUBLE * detectable / cycles, 4) AS of_all_cycles, CASE WHEN later_cycles > 0 THEN round(100.0::DOUBLE * detectable / later_cycles, 4) ELSE 0.0::DOUBLE END AS of_later_cycles,
  CASE WHEN later > 0 THEN round(100.0::DOUBLE * detectable / later, 4) ELSE 0.0::DOUBLE END AS of_later_edges FROM c"""),
     "closing_times": over(TRADE, "SELECT m.src, m.dst, m.pos, min(w.pos) - 1 AS closed_at FROM m JOIN w ON w.lab[m.ps] = w.lab[m.pd] WHERE m.membership = 2 GROUP BY ALL"),
     "gap_histogram": gaps("run_length"),
     "gap_histogram_pow2": gaps(POWER.format(n="run_length")),
-    "jump_lengths": over(TRADE, f", {RUNS} SELECT m.pos, CASE WHEN membership = 1 THEN 0 ELSE m.pos - run_start - run_length END::BIGINT AS jump FROM m LEFT JOIN r ON m.pos >= run_start AND m.pos < run_start + run_length"),
-    "jump_lengths_capped": over(TRADE, f", {RUNS} SELECT m.pos, CASE WHEN membership = 1 THEN 0 ELSE -((run_start + run_length - m.pos - 1) % 8 + 1) END::BIGINT AS jump FROM m LEFT JOIN r ON m.pos >= run_start AND m.pos < run_start + run_length"),
-    "jump_summary": over(TRADE, f", {RUNS} SELECT sum(run_length)::BIGINT AS skipped, count(*)::BIGINT AS jumps, (any_value(e) - sum(run_length) + count(*))::BIGINT AS visited, any_value(e) AS visited_serial FROM r, n"),
-    "oracle_skip": over(TRADE, "SELECT count(*) FILTER (membership = 1)::BIGINT AS n_msf, sum(weight::DECIMAL(28,2)) FILTER (membership = 1)::DOUBLE AS total_weight, count(*) FILTER (membership = 2)::BIGINT AS skipped FROM m"),
-    "compacted_order": over(TRADE, "SELECT pos, 1::BIGINT AS chunk, (row_number() OVER (ORDER BY membership, pos) - 1)::BIGINT AS slot, membership FROM m"),
-    "compacted_chunks": over(TRADE, ", t AS (SELECT *, ntile(4) OVER (ORDER BY pos) AS chunk FROM m) SELECT pos, chunk, (row_number() OVER (PARTITION BY chunk ORDER BY membership, pos) - 1)::BIGINT AS slot, membership FROM t"),
-    "cycles_by_chunk": over(TRADE, ", t AS (SELECT *, ntile(6) OVER (ORDER BY pos) AS chunk FROM m) SELECT chunk, count(*) FILTER (membership = 2)::BIGINT AS n_cycle, count(*) FILTER (membership = 1)::BIGINT AS n_msf FROM t GROUP BY chunk"),
-    "bfs_levels": over(TRADE, """, f AS (SELECT src AS x, dst AS y, weight FROM m WHERE membership = 1 UNION ALL SELECT dst, src, weight FROM m WHERE membership = 1),
-q(vertex, level, parent, path_max) AS (SELECT 0::BIGINT, 0::BIGINT, NULL::BIGINT, NULL::DOUBLE UNION ALL SELECT f.y, q.level + 1, q.vertex, greatest(coalesce(q.path_max, f.weight), f.weight) FROM q JOIN f ON f.x = q.vertex WHERE q.parent IS NULL OR f.y <> q.parent)
+    "jump_lengths": over(HOPS, f", {RUNS} SELECT m.pos, CASE WHEN membership = 1 THEN 0 ELSE m.pos - run_start - run_length END::BIGINT AS jump FROM m LEFT JOIN r ON m.pos >= run_start AND m.pos < run_start + run_length"),
+    "jump_lengths_capped": over(HOPS, f", {RUNS} SELECT m.pos, CASE WHEN membership = 1 THEN 0 ELSE -((run_start + run_length - m.pos - 1) % 8 + 1) END::BIGINT AS jump FROM m LEFT JOIN r ON m.pos >= run_start AND m.pos < run_start + run_length"),
+    "jump_summary": over(HOPS, f", {RUNS} SELECT sum(run_length)::BIGINT AS skipped, count(*)::BIGINT AS jumps, (any_value(e) - sum(run_length) + count(*))::BIGINT AS visited, any_value(e) AS visited_serial FROM r, n"),
+    "oracle_skip": over(HOPS, "SELECT count(*) FILTER (membership = 1)::BIGINT AS n_msf, sum(weight::DECIMAL(28,2)) FILTER (membership = 1)::DOUBLE AS total_weight, count(*) FILTER (membership = 2)::BIGINT AS skipped FROM m"),
+    "compacted_order": over(HOPS, "SELECT pos, 1::BIGINT AS chunk, (row_number() OVER (ORDER BY membership, pos) - 1)::BIGINT AS slot, membership FROM m"),
+    "compacted_chunks": over(HOPS, ", t AS (SELECT *, ntile(4) OVER (ORDER BY pos) AS chunk FROM m) SELECT pos, chunk, (row_number() OVER (PARTITION BY chunk ORDER BY membership, pos) - 1)::BIGINT AS slot, membership FROM t"),
+    "cycles_by_chunk": over(HOPS, ", t AS (SELECT *, ntile(6) OVER (ORDER BY pos) AS chunk FROM m) SELECT chunk, count(*) FILTER (membership = 2)::BIGINT AS n_cycle, count(*) FILTER (membership = 1)::BIGINT AS n_msf FROM t GROUP BY chunk"),
+    "bfs_levels": over(HOPS, """, f AS (SELECT src AS x, dst AS y, weight FROM m WHERE membership = 1 UNION ALL SELECT dst, src, weight FROM m WHERE membership = 1),
+q(vertex, level, parent, path_max) AS (SELECT 1::BIGINT, 0::BIGINT, NULL::BIGINT, NULL::DOUBLE UNION ALL SELECT f.y, q.level + 1, q.vertex, greatest(coalesce(q.path_max, f.weight), f.weight) FROM q JOIN f ON f.x = q.vertex WHERE q.parent IS NULL OR f.y <> q.parent)
 SELECT * FROM q"""),
     "parse_edge_text": """SELECT (o_custkey - 1)::BIGINT AS src, (o_orderkey - 1)::BIGINT AS dst, CASE WHEN o_orderkey % 5 = 0 THEN 0.0 ELSE floor(o_totalprice) END::DOUBLE AS weight FROM orders WHERE o_orderkey % 7 <> 0 AND o_custkey <> o_orderkey""",
     "parse_run_log": """SELECT (o_custkey % 8 + 1)::BIGINT AS nthreads, (o_orderkey % 100 + 0.5)::DOUBLE AS seconds, o_orderkey::BIGINT AS batch, o_custkey::BIGINT AS cycles_main, (o_custkey * 3)::BIGINT AS cycles_helper, 0::BIGINT AS cycles_skipped, (o_custkey * 3)::BIGINT AS helper_total FROM orders""",

@@ -12,12 +12,11 @@ def shift_register(state: int, taps: int = 0xD0000001) -> Iterator[int]:
         yield state
 
 
-def xorshift(x: int = 123456789, y: int = 362436069, z: int = 521288629) -> Iterator[int]:
-    """Marsaglia's generator of period 2**96 - 1, in 64 bits."""
-    mask = (1 << 64) - 1
+def xorshift(words: tuple[int, int, int, int] = (123456789, 362436069, 521288629, 88675123)) -> Iterator[int]:
+    """Marsaglia's xorshift generator of four 32-bit words, of period 2**128 - 1; the default words are those of his paper."""
+    state, mask = list(words), 0xFFFFFFFF
     while True:
-        x ^= (x << 16) & mask
-        x ^= x >> 5
-        x ^= (x << 1) & mask
-        x, y, z = y, z, x ^ y ^ z
-        yield z
+        first, last = state.pop(0), state[-1]
+        first ^= first << 11 & mask
+        state.append(last ^ last >> 19 ^ first ^ first >> 8)
+        yield state[-1]

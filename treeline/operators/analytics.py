@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 from ..functions.scalars import next_power_of_two
 from ..plans.shared import store
 from .components import connected_components
-from .forest import across, minimum_spanning_forest
-from .order import chunk, ranked
+from .forest import minimum_spanning_forest
+from .order import BLOCK, chunk, filled, ranked
 
 #: Vertices of a forest whose merge times may go to every task: 16 bytes each.
 TASK_VERTICES = 2_000_000
@@ -42,6 +42,28 @@ def percentile_progress(rows: DataFrame, points: int = 100) -> DataFrame:
     )
 
 
+def progress_cells(rows: DataFrame, points: int = 100, cells: int = 60) -> DataFrame:
+    """For each point of the order, how many of the cells of a progress bar the order, the forest and the cycle edges fill."""
+    at = percentile_progress(rows, points)
+    return at.select("point", F.round(F.col("point") / points * cells).cast("long").alias("edges"), *(F.round(F.col(f"{n}_share") / 100 * cells).cast("long").alias(n) for n in ("msf", "cycle")))
+
+
+def stat_matrix(rows: DataFrame, points: int = 100) -> DataFrame:
+    """One row for each class of edges, one column for each point: the edges of the class up to there."""
+    total = rows.count()
+    counted = rows.groupBy("membership", chunk(F.col("pos"), max(1, total), points).alias("point")).agg(F.count("*").alias("n"))
+    wide = counted.groupBy("membership").pivot("point", list(range(1, points + 1))).agg(F.first("n"))
+    so_far = [F.coalesce(F.col(f"`{p}`"), F.lit(0)) for p in range(1, points + 1)]
+    for n in range(1, points):
+        so_far[n] = so_far[n - 1] + so_far[n]
+    return wide.select("membership", *(c.cast("long").alias(f"p{n}") for n, c in enumerate(so_far, 1)))
+
+
+def prepared(rows: DataFrame) -> DataFrame:
+    """Membership as it is before a replay: 2 for known cycle edges, 0 for edges that are still to be decided."""
+    return rows.withColumn("membership", F.when(F.col("membership") == 2, 2).otherwise(0))
+
+
 def merge_times(forest: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Vertices, the parent (position) each got in the union-find forest, and the pos at which it got it; -1 for roots."""
     forest = forest.sort_values("pos")
@@ -67,7 +89,7 @@ def closing_time(rows: DataFrame, forest: DataFrame) -> DataFrame:
     spark = rows.sparkSession
     in_order = rows.filter("membership = 1").select("src", "dst", "pos")
     if in_order.count() > TASK_VERTICES:
-        return _closing_by_rounds(rows.filter("membership = 2"), store(in_order, "forest"))
+        return _closing_by_contraction(store(rows.filter("membership = 2"), "cycles"), store(in_order, "forest"))
     shared = spark.sparkContext.broadcast(merge_times(in_order.toPandas()))
 
     def climb(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -85,26 +107,29 @@ def closing_time(rows: DataFrame, forest: DataFrame) -> DataFrame:
     return rows.filter("membership = 2").select("src", "dst", "pos").mapInPandas(climb, "src long, dst long, pos long, closed_at long")
 
 
-def _closing_by_rounds(cycles: DataFrame, forest: DataFrame) -> DataFrame:
-    """For forests of any size: every edge's time is found by halving, all edges of one range of times with the components of its middle."""
-    total = forest.agg(F.max("pos")).first()[0]
-    open_ = [(0, total, cycles.select("src", "dst", "pos"))]
+def _closing_by_contraction(cycles: DataFrame, forest: DataFrame) -> DataFrame:
+    """For forests of any size, in rounds as many as the logarithm of the vertices.
+
+    Every component takes its first edge in the order, and those that meet become one. The last edge on the path
+    between two vertices is the last of the edges that their components took before they became one.
+    """
+    now = forest.select(F.col("src").alias("u"), F.col("dst").alias("v"), "pos")
+    open_ = cycles.select("src", "dst", "pos", F.col("src").alias("a"), F.col("dst").alias("b"), F.lit(-1).cast("long").alias("closed_at"))
     done: list[DataFrame] = []
-    while open_:
-        low, high, part = open_.pop()
-        if low == high:
-            done.append(part.withColumn("closed_at", F.lit(low).cast("long")))
-            continue
-        middle = (low + high) // 2
-        labels = connected_components(forest.filter(F.col("pos") <= middle))
-        later = store(across(part.withColumn("weight", F.col("pos").cast("double")), labels), "later").select("src", "dst", F.col("weight").cast("long").alias("pos"))
-        if not later.isEmpty():
-            open_.append((middle + 1, high, later))
-        sooner = store(part.join(later.select("pos"), "pos", "left_anti").select("src", "dst", "pos"), "sooner")
-        if not sooner.isEmpty():
-            open_.append((low, middle, sooner))
-    out = done[0]
-    for part in done[1:]:
+    while not open_.isEmpty():
+        both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v"), "pos"))
+        firsts = store(both.groupBy("u").agg(F.min("pos").alias("at"), F.min_by("v", "pos").alias("v")), "firsts")
+        labels = connected_components(firsts, "u", "v")
+        up = store(firsts.join(labels, F.col("u") == F.col("vertex")).select(F.col("u").alias("node"), "at", F.col("component").alias("up")), "up")
+        left, right = (up.select(*(F.col(c).alias(f"{c}_{side}") for c in up.columns)) for side in "ab")
+        climbed = open_.join(left, F.col("a") == F.col("node_a")).join(right, F.col("b") == F.col("node_b"))
+        climbed = store(climbed.select("src", "dst", "pos", F.col("up_a").alias("a"), F.col("up_b").alias("b"), F.greatest("closed_at", "at_a", "at_b").alias("closed_at")), "climbed")
+        done.append(climbed.filter("a = b").select("src", "dst", "pos", "closed_at"))
+        open_ = climbed.filter("a <> b")
+        moved = now.join(left, F.col("u") == F.col("node_a")).join(right, F.col("v") == F.col("node_b")).filter("up_a <> up_b")
+        now = store(moved.select(F.col("up_a").alias("u"), F.col("up_b").alias("v"), "pos"), "contracted")
+    out = cycles.select("src", "dst", "pos", F.lit(0).cast("long").alias("closed_at")).limit(0)
+    for part in done:
         out = out.union(part)
     return out
 
@@ -157,14 +182,12 @@ def gap_histogram(rows: DataFrame, powers: bool = False) -> DataFrame:
     return found.select("gap", "n", F.round(100.0 * F.sum("n").over(up_to) / F.sum("n").over(every), 4).alias("cum_share"))
 
 
-def jump_lengths(rows: DataFrame, cap: int | None = None) -> DataFrame:
+def jump_lengths(rows: DataFrame, cap: int | None = None, block: int = BLOCK) -> DataFrame:
     """pos and jump: for cycle edges minus what is left of their run, for others 0; a cap bounds single jumps."""
-    # a run is laid out from its first position, so no window over all rows is needed
-    spread = runs(rows).select(F.explode(F.sequence(F.lit(0).cast("long"), F.col("run_length") - 1)).alias("i"), "run_start", "run_length")
-    left = F.col("run_length") - F.col("i")
-    left = left if cap is None else F.pmod(left - 1, F.lit(cap)) + 1
-    jumps = spread.select((F.col("run_start") + F.col("i")).alias("pos"), (-left).alias("jump"))
-    return jumps.union(rows.filter("membership = 1").select("pos", F.lit(0).cast("long")))
+    marked = filled(rows.select("pos", "membership"), "pos", F.when(F.col("membership") == 1, F.col("pos")), "next", block, forward=False)
+    left = F.coalesce("next", F.lit(rows.count())) - F.col("pos")
+    left = left if cap is None else F.when(left > 0, F.pmod(left - 1, F.lit(cap)) + 1).otherwise(left)
+    return marked.select("pos", (-left).cast("long").alias("jump"))
 
 
 def jump_summary(rows: DataFrame) -> DataFrame:
@@ -189,8 +212,22 @@ def compacted(rows: DataFrame, chunks: int = 1) -> DataFrame:
         forest = ranked(rows.filter("membership = 1"), "pos", name="slot")
         cycles = ranked(rows.filter("membership = 2"), "pos", name="slot", start=forest.count())
         return forest.union(cycles).select("pos", F.lit(1).cast("long").alias("chunk"), "slot", "membership")
-    within = Window.partitionBy("chunk").orderBy("membership", "pos")
-    return rows.withColumn("chunk", chunk(F.col("pos"), total, chunks)).withColumn("slot", (F.row_number().over(within) - 1).cast("long")).select("pos", "chunk", "slot", "membership")
+    placed = rows.withColumn("chunk", chunk(F.col("pos"), total, chunks))
+    # one row for each chunk: what stands before it in each class, and where its cycle edges begin
+    counts = placed.groupBy("chunk").agg(F.count_if(F.col("membership") == 1).alias("n_msf"), F.count_if(F.col("membership") == 2).alias("n_cycle"))
+    before = Window.orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select("chunk", "n_msf", *(F.coalesce(F.sum(c).over(before), F.lit(0)).alias(f"before_{c}") for c in ("n_msf", "n_cycle")))
+    forest, cycles = (ranked(placed.filter(F.col("membership") == m).select("pos", "chunk", "membership"), "pos", name="rank") for m in (1, 2))
+    forest = forest.join(starts, "chunk").withColumn("slot", F.col("rank") - F.col("before_n_msf"))
+    cycles = cycles.join(starts, "chunk").withColumn("slot", F.col("n_msf") + F.col("rank") - F.col("before_n_cycle"))
+    return forest.union(cycles).select("pos", "chunk", "slot", "membership")
+
+
+def compacted_jumps(rows: DataFrame, chunks: int, limit: int = 128) -> DataFrame:
+    """chunk, slot and jump after the compaction of each chunk: 0 for forest edges, then one run of jumps over the chunk's tail, modulo the limit (so 0 where the rest is a multiple of it)."""
+    slots = compacted(rows, chunks)
+    sizes = slots.groupBy("chunk").agg(F.count("*").alias("n"))
+    return slots.join(sizes, "chunk").select("chunk", "slot", F.when(F.col("membership") == 1, 0).otherwise(-((F.col("n") - F.col("slot")) % limit)).cast("long").alias("jump"))
 
 
 def cycles_by_chunk(rows: DataFrame, chunks: int) -> DataFrame:

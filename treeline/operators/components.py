@@ -57,27 +57,51 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return moved.union(least.select("u", F.col("m").alias("v"))).distinct()
 
 
+def _settled(edges: DataFrame) -> bool:
+    """Whether the edges are stars around the smallest vertices: every vertex has one link at most, to a smaller one that has none."""
+    ends = edges.select(F.col("u").alias("x"), F.lit(1).alias("up"), (F.col("u") <= F.col("v")).cast("int").alias("bad")).union(
+        edges.select(F.col("v").alias("x"), F.lit(0).alias("up"), F.lit(0).alias("bad"))
+    )
+    # a vertex that is linked to, and links, has rows of both kinds
+    found = ends.groupBy("x").agg(F.sum("up").alias("n"), F.min("up").alias("least"), F.max("bad").alias("bad"))
+    return found.filter("bad = 1 OR n > 1 OR (n = 1 AND least = 0)").isEmpty()
+
+
 def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", rounds: int = ROUNDS, reduced: bool = False) -> DataFrame:
     """(vertex, component), the component being its smallest vertex, for every vertex of an edge that is not a loop.
 
     Every task first reduces its edges to stars, unless the edges are reduced already; then large-star and small-star rounds alternate until
-    nothing changes. Each round is a partial aggregation and a join on the vertex, and is written to the
-    shared folder, so that a lost executor costs one round. Edges with a null end are dropped.
+    all edges are stars around the smallest vertices. Each round is a partial aggregation and a join on the vertex (of which
+    Spark splits hubs that are skewed), and is written to the shared folder, so that a lost executor costs one round. Edges
+    with a null end are dropped.
     """
     pairs = edges.select(F.col(src).cast("long").alias("u"), F.col(dst).cast("long").alias("v")).filter("u <> v")
     pairs = pairs if reduced else pairs.mapInPandas(_local_stars, "u long, v long")
     now = Stored(pairs.distinct(), "stars")
-    mark = None
     for _ in range(rounds):
+        if _settled(now.df):
+            break
         following = Stored(_small_star(_large_star(now.df)), "stars")
         now.drop()
         now = following
-        seen = now.df.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if seen == mark:
-            break
-        mark = seen
     else:
         raise RuntimeError(f"components did not settle in {rounds} rounds")
     return now.df.select(F.col("u").alias("vertex"), F.col("v").alias("component")).union(
         now.df.select(F.col("v").alias("vertex"), F.col("v").alias("component")).distinct()
     )
+
+
+def roots(parents: DataFrame, rounds: int = ROUNDS) -> DataFrame:
+    """vertex, root and hops to it, of pointers (vertex, parent) whose roots point to themselves: the pointers are doubled until nothing moves."""
+    now = Stored(parents.select("vertex", F.col("parent").alias("root"), (F.col("vertex") != F.col("parent")).cast("long").alias("hops")), "pointers")
+    for _ in range(rounds):
+        up = now.df.select(F.col("vertex").alias("root"), F.col("root").alias("up"), F.col("hops").alias("more"))
+        following = Stored(now.df.join(up, "root").select("vertex", F.col("up").alias("root"), (F.col("hops") + F.col("more")).alias("hops"), (F.col("up") != F.col("root")).alias("moved")), "pointers")
+        now.drop()
+        now = following
+        if now.df.filter("moved").isEmpty():
+            ends = parents.filter("vertex = parent").select(F.col("vertex").alias("root"))
+            if not now.df.join(ends, "root", "left_anti").isEmpty():
+                break  # a circle
+            return now.df.drop("moved")
+    raise RuntimeError(f"pointers do not end at roots in {rounds} rounds")

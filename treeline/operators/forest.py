@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from ..plans.shared import Stored, store
 from .components import connected_components
 from .graph import typed
-from .order import pivot
+from .order import pivot, ranked
 
 EDGE = "src long, dst long, weight double"
 #: Edges that one task reduces.
@@ -88,15 +88,29 @@ def _two_level(edges: DataFrame) -> DataFrame:
     return _local(now)
 
 
-def _filtered(edges: DataFrame, share: float = 0.1) -> DataFrame:
-    """The forest of the light edges decides which heavy ones can still be in the whole one."""
-    edges = store(edges, "edges")
-    bound = pivot(edges, "weight", share)
-    if bound is None:
-        return edges
-    light = store(_two_level(edges.filter(F.col("weight") <= bound)), "light-forest")
-    survivors = across(edges.filter(F.col("weight") > bound), connected_components(light))
-    return _two_level(light.union(survivors))
+def _filtered(edges: DataFrame, share: float = 0.1, threshold: int | None = None) -> DataFrame:
+    """The forest of the light edges decides which heavy ones can still be in the whole one; both parts are split again, down to the threshold (by default what one task reduces)."""
+    threshold = TASK_EDGES if threshold is None else threshold
+    held = Stored(edges, "edges")
+    size = held.df.count()
+    bound = pivot(held.df, "weight", share) if size > threshold else None
+    light, heavy = held.df.filter(F.col("weight") <= bound), held.df.filter(F.col("weight") > bound)
+    if bound is None or light.count() == size:  # few edges, or all of one weight
+        return _two_level(held.df)
+    first = Stored(_filtered(light, 0.5, threshold), "light-forest")
+    survivors = store(across(heavy, connected_components(first.df)), "survivors")
+    held.drop()
+    # what is left joins components of the light forest, so all of the light forest stays
+    labels = connected_components(first.df)
+    own = lambda end: F.coalesce(f"{end}_label", end)
+    a, b = (labels.select(F.col("vertex").alias(end), F.col("component").alias(f"{end}_label")) for end in ("src", "dst"))
+    contracted = survivors.join(a, "src", "left").join(b, "dst", "left").groupBy(F.least(own("src"), own("dst")).alias("u"), F.greatest(own("src"), own("dst")).alias("v")).agg(F.min(F.struct("weight", "src", "dst")).alias("e"))
+    contracted = store(contracted, "contracted")
+    # ranks stand for weights, so the order of the original ends is kept
+    order = store(ranked(contracted.select("u", "v", "e", "e.weight", "e.src", "e.dst"), "weight", "src", "dst"), "order")
+    rest = _filtered(order.select(F.col("u").alias("src"), F.col("v").alias("dst"), F.col("pos").cast("double").alias("weight")), 0.5, threshold)
+    taken = rest.join(order.select("pos", "e"), rest["weight"] == F.col("pos")).select("e.src", "e.dst", "e.weight")
+    return first.df.union(taken)
 
 
 def across(edges: DataFrame, labels: DataFrame) -> DataFrame:
@@ -131,9 +145,15 @@ def _rounds(edges: DataFrame) -> DataFrame:
 STRATEGIES = {"local": _local, "two_level": _two_level, "filter": _filtered, "rounds": _rounds}
 
 
-def minimum_spanning_forest(edges: DataFrame, strategy: str = "two_level") -> DataFrame:
-    """The forest (src, dst, weight). ``two_level`` needs one task for small graphs, reduces in parts above TASK_EDGES, and goes on with ``rounds`` if the forest itself is larger."""
-    return STRATEGIES[strategy](typed(edges))
+def minimum_spanning_forest(edges: DataFrame, strategy: str = "two_level", **options: float) -> DataFrame:
+    """The forest (src, dst, weight). ``two_level`` needs one task for small graphs, reduces in parts above TASK_EDGES, and goes on with ``rounds`` if the forest itself is larger; ``filter`` has the options share and threshold."""
+    return STRATEGIES[strategy](typed(edges), **options)
+
+
+def with_edge_ids(forest: DataFrame, edges: DataFrame, name: str = "edge_id") -> DataFrame:
+    """The forest with the ids of its edges in the input; of equal parallel edges the smallest id."""
+    ids = typed(edges, others=(name,)).groupBy("src", "dst", "weight").agg(F.min(name).alias(name))
+    return forest.join(ids, ["src", "dst", "weight"])
 
 
 def classified(edges: DataFrame, forest: DataFrame) -> DataFrame:

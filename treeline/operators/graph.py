@@ -14,11 +14,11 @@ from .order import ranked
 ORDER = ("weight", "src", "dst")
 
 
-def typed(edges: DataFrame, default_weight: float = 0.0) -> DataFrame:
-    """Long ends and double weights; a missing weight is the default. Edges without an end are dropped."""
+def typed(edges: DataFrame, default_weight: float = 0.0, others: tuple[str, ...] = ()) -> DataFrame:
+    """Long ends and double weights, and other columns as they are; a missing weight is the default. Edges without an end are dropped."""
     return edges.select(
         F.col("src").cast("long").alias("src"), F.col("dst").cast("long").alias("dst"),
-        F.coalesce(F.col("weight").cast("double"), F.lit(default_weight)).alias("weight"),
+        F.coalesce(F.col("weight").cast("double"), F.lit(default_weight)).alias("weight"), *others,
     ).filter("src IS NOT NULL AND dst IS NOT NULL")
 
 

@@ -5,6 +5,9 @@ from __future__ import annotations
 import gc
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -21,9 +24,26 @@ def shared_dir(spark: SparkSession) -> str:
     return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(path).toString().rstrip("/")
 
 
+#: The folder of the work at hand, if it has an owner.
+_owned: ContextVar[str | None] = ContextVar("owned", default=None)
+
+
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new path under the shared folder."""
-    return f"{shared_dir(spark)}/treeline/{name}-{uuid.uuid4().hex}"
+    """A new path in the owner's folder, or else in the application's, under the shared one."""
+    folder = _owned.get() or f"{shared_dir(spark)}/treeline/{spark.sparkContext.applicationId}"
+    return f"{folder}/{name}-{uuid.uuid4().hex}"
+
+
+@contextmanager
+def owned(spark: SparkSession) -> Iterator[str]:
+    """Tables that are stored within go to a folder of their own, which is deleted at the end; results have to be written by then."""
+    folder = scratch(spark, "owned")
+    token = _owned.set(folder)
+    try:
+        yield folder
+    finally:
+        _owned.reset(token)
+        drop(spark, folder)
 
 
 def drop(spark: SparkSession, path: str) -> None:
@@ -50,6 +70,21 @@ def store(df: DataFrame, name: str = "table") -> DataFrame:
     return Stored(df, name).df
 
 
+def file_heads(spark: SparkSession, path: str, size: int) -> list[tuple[str, bytes]]:
+    """The files of a path, a folder or a pattern, with their first bytes, through Spark's file system layer."""
+    jvm = spark.sparkContext._jvm
+    top = jvm.org.apache.hadoop.fs.Path(path)
+    files = top.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    out = []
+    for found in files.globStatus(top) or []:
+        for status in files.listStatus(found.getPath()):
+            if status.isFile() and not status.getPath().getName().startswith(("_", ".")):
+                stream = files.open(status.getPath())
+                out.append((status.getPath().toString(), bytes(jvm.org.apache.commons.io.IOUtils.toByteArray(stream, size))))
+                stream.close()
+    return out
+
+
 def release(spark: SparkSession) -> None:
     """Lets Spark delete the shuffle files of tables that nothing refers to any more; it does so when the driver collects garbage."""
     gc.collect()

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+#: Fixed names of the log format.
 NUMBERS = {"nthreads": "nthreads:", "batch": "batch#", "msf_edges": "msf_edges:", "cycles_main": "cycles_main:", "cycles_helper": "cycles_helper:", "cycles_skipped": "cycles_skipped:"}
 
 
@@ -20,3 +21,8 @@ def parse_runs(lines: DataFrame, line: str = "value") -> DataFrame:
     return lines.filter(text.rlike(r"(?:^|\s)nthreads:\d+")).select(
         *(_number(text, mark, r"\d+", "long").alias(name) for name, mark in NUMBERS.items()), _number(text, "seconds:", r"\d+(?:\.\d+)?", "double").alias("seconds"), cycles.alias("cycles_by_helper")
     )
+
+
+def write_runs(runs: DataFrame, path: str) -> None:
+    """As CSV with a header; the cycles of the helpers on one field, joined by blanks."""
+    runs.withColumn("cycles_by_helper", F.array_join(F.transform("cycles_by_helper", lambda n: n.cast("string")), " ")).write.option("header", True).csv(path)
