@@ -9,9 +9,10 @@ node's order, so that medians fall between light ones. Equal coordinates are ord
 
 The driver gets extents and histograms of nodes, whose number is at most that of the shards.
 
-Defined cases: a null text has size 1 and the checksum of no bytes; null metadata come before all others; rows
-that repeat are placed each, with slots of their own; an empty table gives no row; with fewer items than shards, some
-shards are empty. Other columns are not read.
+Defined cases: a null text has size 1 and the checksum of no bytes; texts of any length are measured whole; null metadata
+come before all others; rows that repeat are placed each, with slots of their own, rows with equal doc_ids in any order
+among themselves; an empty table gives no row; with fewer items than shards, some shards are empty. Other columns are not
+read, so their names cannot clash.
 """
 
 from __future__ import annotations
@@ -90,7 +91,8 @@ def assign_shards(docs: DataFrame, shards: int | None = None, target_bytes: int
             targets[n] = weight * ((b - a) // 2) // (b - a)
         spans = F.broadcast(spark.createDataFrame(plan, "node long, dimension int, least double, most double"))
         place = F.element_at(F.array(*DIMENSIONS), F.col("dimension") + 1)
-        scaled = F.floor((place - F.col("least")) / (F.col("most") - F.col("least") + 1) * (1 << 29)).cast("long")
+        # in doubles a large extent swallows the one that is added, so the greatest place is held below the range's end
+        scaled = F.least(F.floor((place - F.col("least")) / (F.col("most") - F.col("least") + 1) * (1 << 29)).cast("long"), F.lit((1 << 29) - 1))
         light = (F.col("weight") <= target / 64).cast("long")
         key = F.shiftleft(light, KEY_BITS - 1).bitwiseOR(F.shiftleft(scaled, 30)).bitwiseOR(F.pmod(F.xxhash64(*GROUP, "piece"), F.lit(1 << 30)))
         keyed = Stored(items.df.join(spans, "node", "left").withColumn("key", F.coalesce(key, F.lit(0))).drop("dimension", "least", "most"), "items")
