@@ -2,6 +2,7 @@ import math
 import os
 import random
 import re
+import zlib
 
 import numpy as np
 import pytest
@@ -296,6 +297,40 @@ def test_shards(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "s")).count() == len(rows) - 3
 
 
+def place_of(row):
+    """The coordinates of a document."""
+    number = lambda t: -1 if t is None else int.from_bytes(t.encode()[:7].ljust(7, b"\0"), "big")
+    doc_id, text, lang, source = row
+    return (-1 if doc_id is None else doc_id, number(source), number(lang), len((text or "").encode()) + 1)
+
+
+def test_shards_against_a_tree_by_hand(spark):
+    rng = random.Random(12)
+    rows = [(n, f"{n} " + "y" * rng.randint(0, 200), rng.choice(["de", "en", "fr", None]), rng.choice(["a", "b", "é", "zz"])) for n in range(1200)]
+    rows += [(3000 + n, rng.choice(["same text " * 4, "other copies " * 3]), "en", "b") for n in range(120)]
+    rng.shuffle(rows)
+    found = sharding.assign_shards(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string"), 8).collect()
+    text = {r[0]: r[1] for r in rows}
+    assert all(r.size == len(text[r.doc_id].encode()) + 1 and r.text_crc32 == zlib.crc32(text[r.doc_id].encode()) for r in found)
+    shard_of, groups = {r.doc_id: r.shard for r in found}, {}
+    for row in rows:
+        groups.setdefault(row[1], []).append(row)
+    # equal texts share a shard; a group stands at the least of its coordinates
+    assert all(len({shard_of[r[0]] for r in rows_of}) == 1 for rows_of in groups.values())
+    items = [(shard_of[g[0][0]], sum(len(r[1].encode()) + 1 for r in g), tuple(map(min, zip(*map(place_of, g))))) for g in groups.values()]
+    total = sum(w for _, w, _ in items)
+    spans = [max(c) - min(c) for c in zip(*(p for _, _, p in items))]
+    for a, b in [(0, 8), (0, 4), (4, 8), (0, 2), (2, 4), (4, 6), (6, 8)]:
+        node = [i for i in items if a <= i[0] < b]
+        m = (a + b) // 2
+        widest = max(range(4), key=lambda d: ((max(c := [p[d] for _, _, p in node]) - min(c)) / max(1, spans[d]), -d))
+        # the light items of one side lie before those of the other along the widest dimension, at half of the weight
+        light = [(s, p[widest]) for s, w, p in node if w <= total / 8 / 64]
+        assert max(x for s, x in light if s < m) <= min(x for s, x in light if s >= m)
+        half = sum(w for s, w, _ in node if s < m)
+        assert abs(half - sum(w for _, w, _ in node) / 2) <= total / 8 / 500 + 2 * max(w for _, w, _ in node if w <= total / 8 / 64)
+
+
 @pytest.mark.parametrize("ids", [[1], [1, 2], [1, 2, 3, 4, 5], [7] * 20, [None] * 20])
 def test_shards_of_few_items(spark, ids):
     repeated = len(set(ids)) < len(ids)
@@ -327,8 +362,17 @@ def test_mixture(spark, monkeypatch):
         tokens[s] = tokens.get(s, 0) + len((t or "").split())
     for r in found:
         read[r.source] = read.get(r.source, 0) + r.n_tokens
-    times = mixing.passes({s: t for s, t in tokens.items() if t}, mixing.fit_exponent({s: t for s, t in tokens.items() if t}, 1.5), None)
-    assert all(0 <= times[s] * tokens[s] - read[s] <= 20 for s in times)
+    # by hand: the largest source is read once, the smallest 1.5 times, and times are a power of the share
+    counts = {s: t for s, t in tokens.items() if t}
+    most, power = max(counts.values()), math.log(1.5) / math.log(max(counts.values()) / min(counts.values()))
+    times = {s: (most / t) ** power for s, t in counts.items()}
+    assert all(-1e-6 <= times[s] * tokens[s] - read[s] <= 20 for s in times)
+    # the last pass reads whole blocks, and a part of one at most
+    for s, t in times.items():
+        own = [r for r in found if r.source == s and r.n_tokens]
+        whole = {b: {r.doc_id for r in own if r.epoch == 0 and r.block == b} for b in {r.block for r in own}}
+        last = {b: {r.doc_id for r in own if r.epoch == 1 and r.block == b} for b in whole}
+        assert max(r.epoch for r in own) <= 1 and sum(bool(last[b]) and last[b] != whole[b] for b in whole) <= 1 and len(whole) == -(-tokens[s] // 300)
     assert {r.doc_id for r in found} == {r[0] for r in rows} and all(0 <= r.place <= 1 for r in found)
     run = mixing.in_order(docs)
     stretches = [sorted(r.doc_id for r in part) for part in run.rdd.glom().collect()]
@@ -381,3 +425,52 @@ def test_pipeline(spark):
     found = corpus_pipeline.run(spark, sf_dir).collect()
     # with so few labels no cutoff is certified, so only the base rule rejects
     assert {r.doc_id for r in found} == want
+    # each source is read as often as its share asks, and every row has its document's digests
+    source = {r.doc_id: r.source for r in docs.collect()}
+    tokens = {}
+    for n in want:
+        tokens[source[n]] = tokens.get(source[n], 0) + len(re.findall(r"[^ \t\n\x0b\f\r]+", texts[n]))
+    power = math.log(1.5) / math.log(max(tokens.values()) / min(tokens.values()))
+    longest = max(len(texts[n].split()) for n in want)
+    for s, t in tokens.items():
+        rest = ((max(tokens.values()) / t) ** power) * t
+        read = sum(len(re.findall(r"[^ \t\n\x0b\f\r]+", texts[r.doc_id])) for r in found if source[r.doc_id] == s)
+        assert -1 <= rest - read <= longest
+    assert all(sum(r.doc_id == n for r in found) in (1, 2) for n in want)
+    check_digests(found, texts)
+
+
+def check_digests(found, texts):
+    import hashlib
+
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    for r in found:
+        ids = library.encode(texts[r.doc_id], add_special_tokens=False).ids
+        decoded = library.decode(ids, skip_special_tokens=False)
+        assert (r.n_tokens, r.ids_sha256, r.decoded_sha256) == (len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest())
+
+
+@pytest.mark.parametrize("empty", [False, True])
+def test_pipeline_of_odd_tables(spark, tmp_path, empty):
+    import corpus_pipeline
+
+    # nulls in every column, rows that repeat, a doc_id on two texts, a very long text, and names that the stages use themselves
+    long = " ".join(f"word{n}" for n in range(60_000))
+    text = {n: " ".join(f"t{n}w{k}" for k in range(30)) for n in range(6)}
+    rows = [(0, text[0], "en", "a"), (0, text[0], "en", "a"), (1, text[1], None, None), (2, text[0], "en", "a"), (3, text[2], "en", "b"), (3, text[3], "fr", "b"), (None, text[4], "en", "a"), (5, None, "en", "a"), (6, "too short", None, "b"), (7, long, "en", "a")]
+    clash = ("row", "n", "set", "at", "place", "epoch", "block", "kept", "stratum", "at_stratum", "class", "cut", "times", "whole", "name", "tokens", "n_words", "n_tokens")
+    schema = "doc_id long, text string, lang string, source string, " + ", ".join(f"`{c}` string" for c in clash)
+    docs = spark.createDataFrame([(*r, *("x" * len(clash))) for r in rows][: 0 if empty else None], schema)
+    labels = spark.createDataFrame([(0, 1, 0), (None, 1, 0), (1, None, None)][: 0 if empty else None], "doc_id long, quality int, toxic int")
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    labels.write.parquet(str(tmp_path / "labels.parquet"))
+    docs = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        assert stage(spark, docs, str(tmp_path)).columns == docs.columns
+    found = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    kept = [] if empty else [0, 1, 3, 3, 7, None]
+    assert sorted([n for n, _ in {(r.doc_id, r.ids_sha256) for r in found}], key=str) == sorted(kept, key=str)
+    check_digests([r for r in found if r.doc_id in (0, 1, 7)], {0: text[0], 1: text[1], 7: long})
