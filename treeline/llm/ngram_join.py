@@ -13,8 +13,8 @@ shares at least ceil(bound * n) keys, it shares one of the prefix.
    few entries for each task, and gives links only, not pairs.
 3. The components of these links are blocks: no similar pair lies in two of them. Large blocks go through
    steps 1 and 2 again by themselves, as counts within them tell more keys apart. Whole sets of the
-   documents in blocks of two or more go to their block; a large block is cut into slices, and each
-   pair of slices is one task.
+   documents in blocks of two or more go to their block. A block that is still large is cut into slices: they are joined
+   by themselves, then by representatives, and pairs of slices meet only where more than one class is left.
 4. Within a block, T-occurrence search finds for every document those of the block that share the
    required number of keys: its short lists are merged with a heap and counted, and documents that can still
    reach the number are probed in the long lists by binary search, as in DivideSkip; documents that are already
@@ -334,7 +334,7 @@ def merged(lists: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
 class Block:
     """Sets of documents with their inverted lists, for T-occurrence search."""
 
-    def __init__(self, sets: list[np.ndarray], percent: int):
+    def __init__(self, sets: list[np.ndarray], percent: int, classes: np.ndarray | None = None):
         self.percent, self.sizes = percent, np.array([len(s) for s in sets], dtype=np.int64)
         keys = np.concatenate(sets)
         _, key = np.unique(keys, return_inverse=True)
@@ -348,8 +348,10 @@ class Block:
         #: (document, key) in ascending order, for binary probes.
         self.width = int(key.max()) + 1
         self.pairs = np.sort(doc * self.width + key)
-        #: The class of each document, and the documents of classes of two or more.
-        self.root, self.members = np.arange(len(sets)), {}
+        #: The class of each document, and the documents of each class.
+        self.root = np.arange(len(sets)) if classes is None else np.unique(classes, return_inverse=True)[1]
+        by_class = np.argsort(self.root, kind="stable")
+        self.members = dict(enumerate(part.tolist() for part in np.split(by_class, np.flatnonzero(np.diff(self.root[by_class])) + 1)))
 
     def similar(self, n: int, others: np.ndarray | None = None) -> Iterator[int]:
         """Documents similar to document n, until n is linked to their class; others: only look among these."""
@@ -386,15 +388,15 @@ class Block:
 
     def join(self, a: int, b: int) -> None:
         """The smaller class takes the name of the larger one."""
-        few, many = sorted((int(self.root[a]), int(self.root[b])), key=lambda r: len(self.members.get(r, "1")))
-        moved = self.members.pop(few, [few])
+        few, many = sorted((int(self.root[a]), int(self.root[b])), key=lambda r: len(self.members[r]))
+        moved = self.members.pop(few)
         self.root[moved] = many
-        self.members.setdefault(many, [many]).extend(moved)
+        self.members[many].extend(moved)
 
 
-def block_classes(docs: list[int], sets: list[np.ndarray], percent: int, side: np.ndarray | None = None) -> list[tuple[int, int]]:
-    """Links that join the similar documents of a block into classes; side: only pairs of different sides."""
-    block, links = Block(sets, percent), []
+def block_classes(docs: list[int], sets: list[np.ndarray], percent: int, side: np.ndarray | None = None, classes: np.ndarray | None = None) -> list[tuple[int, int]]:
+    """Links that join the similar documents of a block into classes; side: only pairs of different sides; classes: those known already."""
+    block, links = Block(sets, percent, classes), []
     for n in range(len(docs)):
         for other in block.similar(n, None if side is None else side != side[n]):
             links.append((docs[n], docs[other]))
@@ -402,8 +404,8 @@ def block_classes(docs: list[int], sets: list[np.ndarray], percent: int, side: n
     return links
 
 
-def search_blocks(sets: DataFrame, percent: int, partitions: int) -> DataFrame:
-    """Step 4: links (src, dst) between similar documents; sets: block, a, b (slices; a = b: one slice), slice, doc, keys."""
+def search_tiles(sets: DataFrame, percent: int, partitions: int) -> DataFrame:
+    """Step 4: links (src, dst) between similar documents; sets: block, a, b (slices; a = b: one slice), slice, doc, keys, class (null: itself)."""
 
     def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         out = []
@@ -411,13 +413,49 @@ def search_blocks(sets: DataFrame, percent: int, partitions: int) -> DataFrame:
             rows = rows.drop_duplicates("doc")
             if len(rows) > 1:
                 side = None if a == b else rows["slice"].to_numpy()
-                out.extend(block_classes(rows["doc"].tolist(), [np.frombuffer(k, dtype="<u8") for k in rows["keys"]], percent, side))
+                classes = rows["class"].fillna(rows["doc"]).astype("int64").to_numpy()
+                out.extend(block_classes(rows["doc"].tolist(), [np.frombuffer(k, dtype="<u8") for k in rows["keys"]], percent, side, classes))
             if len(out) > 50_000:
                 yield pd.DataFrame(out, columns=["src", "dst"])
                 out = []
         yield pd.DataFrame(out, columns=["src", "dst"]).astype("int64")
 
-    return sets.repartition(partitions, "block", "a", "b").sortWithinPartitions("block", "a", "b").mapInPandas(run, "src long, dst long")
+    rows = sets.select("block", "a", "b", "slice", "doc", "keys", F.col("class").cast("string").alias("class"))
+    return rows.repartition(partitions, "block", "a", "b").sortWithinPartitions("block", "a", "b").mapInPandas(run, "src long, dst long")
+
+
+def sliced(sets: DataFrame, salt: int) -> DataFrame:
+    """With the slice of each document of a block, and s, the number of slices (1 if the block is small)."""
+    sizes = sets.groupBy("block").agg(F.sum(F.octet_length("keys") / 8).alias("keys"))
+    slices = sizes.select("block", F.when(F.col("keys") <= BLOCK_KEYS, 1).otherwise(F.ceil(2 * F.col("keys") / BLOCK_KEYS)).cast("long").alias("s"))
+    return sets.join(slices, "block").withColumn("slice", F.pmod(F.xxhash64("doc", F.lit(salt)), F.col("s")))
+
+
+def search_large(sets: DataFrame, percent: int, partitions: int) -> DataFrame:
+    """Links of blocks too large for one task; sets: block, doc, keys.
+
+    Documents of a slice are joined first, then one of each class in slices dealt anew, until classes no longer become
+    fewer: each round sends a set once. Blocks that are one class by then are done. In the others each pair of
+    slices is compared, leaving out documents of one class, so nothing rests on the rounds but the work that is left.
+    """
+    now, before, found = sets, sets.count(), None
+    for salt in range(DEPTH):
+        alone = sliced(now, salt).select("block", F.col("slice").alias("a"), F.col("slice").alias("b"), "slice", "doc", "keys", F.lit(None).alias("class"))
+        links = Stored(search_tiles(alone, percent, partitions), "links").df
+        found = links if found is None else found.union(links)
+        labels = Stored(connected_components(found, reduced=True), "labels").df
+        classes = sets.join(labels, F.col("doc") == F.col("vertex"), "left").select("block", "doc", "keys", F.coalesce("component", "doc").alias("class"))
+        now = classes.filter("doc = class").drop("class")
+        left = now.count()
+        if left > 0.7 * before:
+            break
+        before = left
+    several = classes.groupBy("block").agg(F.min("class").alias("least"), F.max("class").alias("most")).filter("least <> most").select("block")
+    rest = sliced(classes.join(several, "block", "left_semi"), DEPTH)
+    # each pair of slices meets once: a set goes to its own slice and to every pair with another
+    other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("s") - 1))
+    tiles = rest.withColumn("other", other).withColumns({"a": F.least("slice", "other"), "b": F.greatest("slice", "other")})
+    return found.union(search_tiles(tiles, percent, partitions))
 
 
 def address() -> Column:
@@ -489,22 +527,22 @@ def set_classes(docs: DataFrame, width: int, percent: int) -> tuple[DataFrame, D
     stands = stands.select("set", "one.doc_id", "one.at", "n")
     members = block_members(texts, measured, counted, sets.agg(F.sum("n_shingles")).first()[0] or 0, stands, width, percent)
     release(spark)
-    slices = members.groupBy("block").agg(F.sum("n").alias("keys")).select("block", F.ceil(2 * F.col("keys") / BLOCK_KEYS).alias("s"))
-    placed = members.join(slices.select("block", F.when(F.col("s") <= 2, 1).otherwise(F.col("s")).cast("long").alias("s")), "block")
-    own = F.pmod(F.xxhash64("doc"), F.col("s"))
-    # with several slices, each pair of them meets once: a set goes to its own slice and to every pair with another
-    placed = store(
-        placed.select("at", "doc", "block", own.alias("slice"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("s") - 1)).alias("other"))
-        .select("at", "doc", "block", "slice", F.least("slice", "other").alias("a"), F.greatest("slice", "other").alias("b")),
-        "placed",
-    )
-    wanted = placed.groupBy("at", "doc").agg(F.first("block").alias("block"), F.first("slice").alias("slice"), F.collect_list(F.struct("a", "b")).alias("tiles"))
-    # the places are the hashed side at any size, so the texts are not sorted
-    text = texts.drop("doc_id").join(wanted.hint("shuffle_hash"), "at").drop("at")
-    keyed = whole_sets(text, width).filter("set = doc").select("block", "slice", "doc", "keys", F.inline("tiles"))
-    links = search_blocks(keyed, percent, max(1, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    large = store(members.groupBy("block").agg(F.sum("n").alias("keys")).filter(F.col("keys") > BLOCK_KEYS).select("block"), "large")
+
+    def sets_of(some: DataFrame) -> DataFrame:
+        # the places are the hashed side at any size, so the texts are not sorted
+        text = texts.drop("doc_id").join(some.select("at", "doc", "block").hint("shuffle_hash"), "at").drop("at")
+        return whole_sets(text, width).filter("set = doc").select("block", "doc", "keys")
+
+    partitions, zero = int(spark.conf.get("spark.sql.shuffle.partitions")), F.lit(0).cast("long")
+    several = not large.isEmpty()
+    small = members.join(large, "block", "left_anti") if several else members
+    keyed = sets_of(small).select("block", zero.alias("a"), zero.alias("b"), zero.alias("slice"), "doc", "keys", F.lit(None).alias("class"))
+    links = search_tiles(keyed, percent, partitions)
+    if several:
+        links = links.union(search_large(store(sets_of(members.join(large, "block", "left_semi")), "large-sets"), percent, partitions))
     classes = connected_components(links, reduced=True)
-    del text, keyed, links
+    del keyed, links
     release(spark)
 
     return sets, stands.join(classes, F.col("set") == F.col("vertex"), "left").select("set", F.coalesce("component", "set").alias("class"), "doc_id", "at")
@@ -522,8 +560,8 @@ def keep_one(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> Dat
     worded = F.coalesce(F.col("text").rlike(r"[^ \t\n\x0B\f\r]"), F.lit(False))
 
     with_words = rows.filter(worded).join(kept.hint("shuffle_hash"), "at").filter(F.col("doc_id").eqNullSafe(F.col("id")))
-    # rows that share doc_id and text (a hash of these, in rare cases) are left here
-    one = with_words.withColumn("n", F.row_number().over(Window.partitionBy("class").orderBy("text"))).filter("n = 1")
+    # rows that share doc_id and text (a hash of these, in rare cases) are left here, and already lie together
+    one = with_words.withColumn("n", F.row_number().over(Window.partitionBy("at", "class").orderBy("text"))).filter("n = 1")
     return one.select("row.*").union(rows.filter(~worded).select("row.*"))
 
 
