@@ -8,8 +8,8 @@ is given in tokens, or is the least with which no source is read less than once,
 A source's weighted budget is realised as whole passes and a part of one more. For every pass the blocks of a
 source are put in a seeded random order, and documents within blocks too; the part is the beginning of
 that order, cut where its tokens reach the rest of the budget. ``place``, from 0 to below 1, spreads each
-source evenly over the run: pass after pass, a part of a pass over its share of the run, whole blocks in the pass's
-order, and documents of a block in an order of their own. ``in_order`` writes the run in this order.
+source evenly over the run: pass after pass, a part of a pass over its share of the run, whole blocks in an order
+drawn for the pass, each over an equal stretch, and documents of a block in an order of their own. ``in_order`` writes the run in this order.
 
 Tokens are those of a column given, or words, runs of characters other than blank and 09-0D. The mixture depends only on how many
 sources have each number of tokens, and that table comes to the driver: T tokens make fewer than
@@ -36,6 +36,8 @@ MOST_SOURCES = 20_000
 BLOCK_TOKENS = 1_000_000
 REPEATS = 1.5
 SEED = 17
+#: Primes above any number of blocks.
+STEPS = (998_244_353, 999_999_937, 1_000_000_007, 1_000_000_009)
 
 
 def words(text: Column) -> Column:
@@ -129,10 +131,12 @@ def mix(docs: DataFrame, source: str = "source", repeats: float | None = REPEATS
     out = keyed(out, name, hashed)
     reads = F.col("whole") + (F.col("key") < F.col("cut")).cast("int")
     out = out.filter(reads > 0).withColumn("epoch", F.explode(F.sequence(F.lit(0), reads - 1)))
-    # a whole pass takes its share of the run, the last part of one its own
-    at, bits = F.xxhash64(name, "block", "epoch", F.lit(seed + 3)), 1 << 25
-    within = F.pmod(F.xxhash64(hashed, "epoch", F.lit(seed + 4)), F.lit(bits)) / float(bits)
-    u = (F.pmod(at, F.lit(bits)) + within) / float(bits)
+    # a whole pass takes its share of the run, the last part of one its own; blocks take equal stretches of a pass, in an
+    # order of steps by a prime from a start, both drawn for the pass
+    drawn, bits = F.pmod(F.xxhash64(name, "epoch", F.lit(seed + 3)), F.lit(1 << 30)), 1 << 40
+    step = F.element_at(F.array(*map(F.lit, STEPS)), (drawn % len(STEPS) + 1).cast("int"))
+    rank = F.pmod(F.col("block") * step + drawn, F.col("blocks"))
+    u = (rank + F.pmod(F.xxhash64(hashed, "epoch", F.lit(seed + 4)), F.lit(bits)) / float(bits)) / F.col("blocks")
     share = F.when(F.col("epoch") < F.col("whole"), 1.0).otherwise(F.greatest(F.col("times") - F.col("whole"), F.lit(0.0)))
     place = (F.col("epoch") + share * u) / F.greatest("times", F.col("epoch") + share)
     clash = {"n_tokens", "epoch", "block", "place"}
