@@ -23,11 +23,11 @@ from tokenizers import Tokenizer
 from tokenizers.models import BPE
 
 #: Bytes of texts that are encoded at once.
-PART_BYTES = 3 << 20
+PART_BYTES = 6 << 20
 #: Stands behind pieces that are cut or encoded together.
 END = "\0"
-#: Bytes of a table of ids.
-TABLE_BYTES = 48 << 20
+#: Bytes of a table of ids; each look-up goes once over its keys.
+TABLE_BYTES = 20 << 20
 #: Letters and signs below U+0250 without blanks: here lower-casing, NFC and the classes of letters and digits need no context.
 PLAIN = regex.compile("[!-~¡-ɏ]*+")
 

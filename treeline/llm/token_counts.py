@@ -33,7 +33,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 from .bpe import TOKENIZER, map_rows
-from .fragments import END, FragmentEncoder, IdTable, gathered, joined
+from .fragments import END, TABLE_BYTES, FragmentEncoder, IdTable, gathered, joined
 
 LIMIT = 2048
 #: Pairs of tokens whose compatibility one Python process keeps.
@@ -84,7 +84,7 @@ class PrefixCounter(FragmentEncoder):
         self.pairs: dict[int, bool] = {}
         self.normals: dict[str, str] = {}
         #: Prefix counts of fragments and of pieces.
-        self.rows, self.prefixes = IdTable(self.encode_rows), IdTable(self.encode_prefixes)
+        self.rows, self.prefixes = IdTable(self.encode_rows, 2 * TABLE_BYTES), IdTable(self.encode_prefixes, 2 * TABLE_BYTES)
 
     def edges(self, token: int, side: int) -> list[tuple[int, float]]:
         """What stands at the token's left (1) or right (2) border while it is built, with the rank at which that is merged away."""
