@@ -9,8 +9,9 @@ depth, and the innermost open rule at depth d is the last one that began at dept
 
 Defined cases: a null url, or one without ``://``, has an empty host and path and gets the default
 verdict. Rules that repeat a host and path collapse to one, block before allow. The longest rule
-(host plus path, then host) wins. Other columns of the input are not read; rows are kept as they are,
-repeated ones too. No rules, or no urls: every url gets the default, or no row.
+(host plus path, then host) wins, so there are no ties. Urls of any length are judged whole. Other columns of the input
+are not read, whatever their names, but for those to ``keep``; rows are kept as they are, repeated ones too. No rules, or
+no urls: every url gets the default, or no row.
 """
 
 from __future__ import annotations
