@@ -7,7 +7,8 @@ equal texts, so copies share a shard; a group of more than half a shard is cut i
 shard by doc_id, so no group, however large, unbalances the shards. Groups that weigh much come first in a
 node's order, so that medians fall between light ones. Equal coordinates are ordered by a hash.
 
-The driver gets extents and histograms of nodes, whose number is at most that of the shards.
+Nodes with few items are split down to their shards in one task each. The driver gets extents and histograms of the
+others, some 2 * ``LOCAL_NODES`` at most whatever the number of shards, and one row for each shard.
 
 Defined cases: a null text has size 1 and the checksum of no bytes; texts of any length are measured whole; null metadata
 come before all others; rows that repeat are placed each, with slots of their own, rows with equal doc_ids in any order
@@ -19,6 +20,8 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -29,6 +32,8 @@ DIMENSIONS = ("at_id", "at_source", "at_lang", "at_size")
 GROUP = ("text_key", "text_crc32", "size")
 #: Rows of a shard that are numbered in one task, about.
 SLOT_ROWS = 50_000
+#: Items of a node that one task splits down to its shards: so many, or so large a part of all.
+LOCAL_ITEMS, LOCAL_NODES = 20_000, 8192
 
 
 def ordinal(text: Column) -> Column:
@@ -73,20 +78,21 @@ def assign_shards(docs: DataFrame, shards: int | None = None, target_bytes: int
         rows.groupBy(*GROUP, "piece").agg(F.sum("size").alias("weight"), *(F.min(d).alias(d) for d in DIMENSIONS)).withColumn("node", F.lit(0).cast("long")),
         "items",
     )
-    whole = dict(zip(DIMENSIONS, _extents(items.df)[0][2:])) if count else {}
+    whole = list(_extents(items.df)[0][3:]) if count else []
     leaves = {0: (0, shards)}
-    while any(b - a > 1 for a, b in leaves.values()) and count:
+    number = items.df.count()
+    local = max(LOCAL_ITEMS, number // LOCAL_NODES)
+    while count:
         extents = {n: e for n, *e in _extents(items.df)}
         # a node without items has nothing to split: its shards stay empty
         leaves = {n: r for n, r in leaves.items() if n in extents}
-        if all(b - a == 1 for a, b in leaves.values()):
+        open_ = {n for n, (a, b) in leaves.items() if b - a > 1 and extents[n][0] > local}
+        if not open_:
             break
         plan, targets = [], {}
-        for n, (a, b) in leaves.items():
-            if b - a == 1:
-                continue
-            weight, *spans = extents[n]
-            dimension = max(range(len(DIMENSIONS)), key=lambda d: ((spans[d][1] - spans[d][0]) / max(1, whole[DIMENSIONS[d]][1] - whole[DIMENSIONS[d]][0]), -d))
+        for n in sorted(open_):
+            (a, b), (_, weight, *spans) = leaves[n], extents[n]
+            dimension = _widest(spans, whole)
             plan.append((n, dimension, *map(float, spans[dimension])))
             targets[n] = weight * ((b - a) // 2) // (b - a)
         spans = F.broadcast(spark.createDataFrame(plan, "node long, dimension int, least double, most double"))
@@ -105,15 +111,50 @@ def assign_shards(docs: DataFrame, shards: int | None = None, target_bytes: int
         items = following
         halves = {n: (a, b, a + (b - a) // 2 if n in cuts else b) for n, (a, b) in leaves.items()}
         leaves = {2 * n: (a, m) for n, (a, b, m) in halves.items()} | {2 * n + 1: (m, b) for n, (a, b, m) in halves.items() if m < b}
-    names = F.broadcast(spark.createDataFrame([(n, a) for n, (a, _) in leaves.items()], "node long, shard int"))
-    placed = rows.join(items.df.join(names, "node").select(*GROUP, "piece", "shard"), [*GROUP, "piece"]).select("doc_id", "size", "text_crc32", "shard")
-    return number_rows(placed, "shard", "doc_id", "slot", max(1, -(-count // SLOT_ROWS)))
+    names = F.broadcast(spark.createDataFrame([(n, a, b) for n, (a, b) in leaves.items()], "node long, first int, last int"))
+    placed = items.df.join(names, "node")
+    tie = F.pmod(F.xxhash64(*GROUP, "piece"), F.lit(1 << 30))
+    rest = placed.filter("last - first > 1").withColumn("tie", tie).groupBy("node").applyInPandas(
+        lambda rows: _split(rows, whole, target), "text_key long, text_crc32 long, size long, piece long, shard int"
+    )
+    shard_of = placed.filter("last - first = 1").select(*GROUP, "piece", F.col("first").alias("shard")).union(rest)
+    found = rows.join(shard_of, [*GROUP, "piece"]).select("doc_id", "size", "text_crc32", "shard")
+    return number_rows(found, "shard", "doc_id", "slot", max(1, -(-count // SLOT_ROWS)))
+
+
+def _widest(spans: list[tuple[int, int]], whole: list[tuple[int, int]]) -> int:
+    """The dimension that is widest relative to its extent over all items."""
+    return max(range(len(DIMENSIONS)), key=lambda d: ((spans[d][1] - spans[d][0]) / max(1, whole[d][1] - whole[d][0]), -d))
+
+
+def _split(rows: pd.DataFrame, whole: list[tuple[int, int]], target: int) -> pd.DataFrame:
+    """Splits a node that one task holds down to its shards, by the same rule."""
+    rows = rows.sort_values(["tie", *GROUP, "piece"], ignore_index=True)
+    places, weight = [rows[d].to_numpy() for d in DIMENSIONS], rows["weight"].to_numpy()
+    heavy, shard = weight > target / 64, np.zeros(len(rows), dtype=np.int32)
+    open_ = [(np.arange(len(rows)), int(rows["first"].iloc[0]), int(rows["last"].iloc[0]))]
+    while open_:
+        at, a, b = open_.pop()
+        if b - a == 1 or not len(at):
+            shard[at] = a
+            continue
+        half = (b - a) // 2
+        goal = int(weight[at].sum()) * half // (b - a)
+        place = places[_widest([(int(p[at].min()), int(p[at].max())) for p in places], whole)][at]
+        # heavy items come first; rows are in the order of their ties
+        order = at[np.lexsort((place, ~heavy[at]))]
+        sums = np.cumsum(weight[order])
+        cut = int(np.searchsorted(sums, goal, side="right"))
+        if cut < len(order) and sums[cut] - goal < goal - (sums[cut - 1] if cut else 0):
+            cut += 1
+        open_ += [(np.sort(order[:cut]), a, a + half), (np.sort(order[cut:]), a + half, b)]
+    return rows[[*GROUP, "piece"]].assign(shard=shard)
 
 
 def _extents(items: DataFrame) -> list[tuple]:
-    """node, weight and, for each dimension, its least and largest value."""
-    found = items.groupBy("node").agg(F.sum("weight").alias("weight"), *(F.struct(F.min(d), F.max(d)).alias(d) for d in DIMENSIONS)).collect()
-    return [(r.node, r.weight, *(tuple(r[d]) for d in DIMENSIONS)) for r in found]
+    """node, items, weight and, for each dimension, its least and largest value."""
+    found = items.groupBy("node").agg(F.count("*").alias("n"), F.sum("weight").alias("weight"), *(F.struct(F.min(d), F.max(d)).alias(d) for d in DIMENSIONS)).collect()
+    return [(r.node, r.n, r.weight, *(tuple(r[d]) for d in DIMENSIONS)) for r in found]
 
 
 def write_shards(docs: DataFrame, path: str, shards: int) -> None:
