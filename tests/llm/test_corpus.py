@@ -5,6 +5,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -55,8 +56,8 @@ def linked_by_hand(texts):
 
 
 def test_shingle_sets():
-    texts = corpus() + ["a b c d e f", "A b c D e f a b c d e"]
-    keys, sizes = shingle_sets(texts)
+    texts = corpus() + ["a b c d e f", "A b c D e f a b c d e", "\x0bÀ\x0cB\x85c\x1cd \xa0 \r\n", "  x"]
+    keys, sizes = shingle_sets(pa.array(texts))
     assert sizes.tolist() == [len(shingles(t)) for t in texts]
     bounds = np.concatenate([[0], np.cumsum(sizes)])
     sets = [set(keys[a:b].tolist()) for a, b in zip(bounds, bounds[1:])]
@@ -67,7 +68,7 @@ def test_shingle_sets():
 @pytest.mark.parametrize("small", [False, True])
 def test_ngram_join_against_brute_force(spark, monkeypatch, small):
     if small:  # many ranges, flushes and slices
-        for name, value in {"RANGE_KEYS": 700, "FLUSH": 300, "ENTRIES_FLUSH": 300, "BLOCK_KEYS": 400, "FREQUENT": 50, "AT_ONCE": 7, "HEAP": 40}.items():
+        for name, value in {"RANGE_KEYS": 700, "FLUSH": 300, "ENTRIES_FLUSH": 300, "BLOCK_KEYS": 400, "FREQUENT": 50, "AT_ONCE": 2000, "HEAP": 40}.items():
             monkeypatch.setattr(ngram_join, name, value)
     texts = corpus(seed=3 + small)
     sets, linked = linked_by_hand(texts)
@@ -279,7 +280,9 @@ def test_weighted_cuts(spark):
         assert below <= target < below + sum(w for k, w in own if cuts[node] <= k <= following)
 
 
-def test_shards(spark, tmp_path):
+@pytest.mark.parametrize("local", [0, sharding.LOCAL_ITEMS])
+def test_shards(spark, tmp_path, monkeypatch, local):
+    monkeypatch.setattr(sharding, "LOCAL_ITEMS", local)
     rng = random.Random(3)
     rows = [(n, "x" * rng.randint(0, 300) + str(n), rng.choice(["en", "de", None]), rng.choice(["a", "b", "hot", "hot"]), "k") for n in range(1500)]
     rows += [(5000 + n, "copy " * 30, "en", "hot", "k") for n in range(800)] + [(7, None, None, None, "k"), (None, "no id", "en", "a", "k"), (3, "again", "en", "a", "k")]
@@ -304,7 +307,9 @@ def place_of(row):
     return (-1 if doc_id is None else doc_id, number(source), number(lang), len((text or "").encode()) + 1)
 
 
-def test_shards_against_a_tree_by_hand(spark):
+@pytest.mark.parametrize("local", [0, 300, sharding.LOCAL_ITEMS])
+def test_shards_against_a_tree_by_hand(spark, monkeypatch, local):
+    monkeypatch.setattr(sharding, "LOCAL_ITEMS", local)
     rng = random.Random(12)
     rows = [(n, f"{n} " + "y" * rng.randint(0, 200), rng.choice(["de", "en", "fr", None]), rng.choice(["a", "b", "é", "zz"])) for n in range(1200)]
     rows += [(3000 + n, rng.choice(["same text " * 4, "other copies " * 3]), "en", "b") for n in range(120)]
@@ -332,7 +337,8 @@ def test_shards_against_a_tree_by_hand(spark):
 
 
 @pytest.mark.parametrize("ids", [[1], [1, 2], [1, 2, 3, 4, 5], [7] * 20, [None] * 20])
-def test_shards_of_few_items(spark, ids):
+def test_shards_of_few_items(spark, monkeypatch, ids):
+    monkeypatch.setattr(sharding, "LOCAL_ITEMS", 0 if len(ids) > 2 else 5)
     repeated = len(set(ids)) < len(ids)
     rows = [(n, "same text" if repeated else f"text {n}", "en", "a") for n in ids]
     found = sharding.assign_shards(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string"), 8).collect()

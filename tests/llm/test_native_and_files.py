@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from treeline.llm import bpe, token_counts, token_files, url_filter, warc
-from treeline.llm.fragments import ByteLevelEncoder, FragmentEncoder, byte_encoder, encoder, parts_of
+from treeline.llm.batches import parts_of
+from treeline.llm.fragments import ByteLevelEncoder, FragmentEncoder, byte_encoder, encoder
 
 WORD, BYTE = public_tokenizers.path("word_bpe_49k.json"), public_tokenizers.path("byte_bpe_50k.json")
 TEXTS = [

@@ -16,7 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .fragments import PART_BYTES, encoder, parts_of
+from .batches import PART_BYTES, give_back, parts_of
+from .fragments import encoder
 
 TOKENIZER = "word_bpe_49k.json"
 
@@ -29,6 +30,7 @@ def map_rows(rows: DataFrame, value: str, work: Callable[[pa.Array], list], kind
             for part in parts_of(batch, 1, at_once):
                 arrays = [c if isinstance(c, pa.Array) else pa.array(c, kind) for c, (_, kind) in zip(work(part.column(1)), kinds.values())]
                 yield pa.RecordBatch.from_arrays([part.column(0), *arrays], names=["doc_id", *kinds])
+        give_back()
 
     schema = ", ".join(["doc_id long", *(f"{k} {sql}" for k, (sql, _) in kinds.items())])
     return rows.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(value)).mapInArrow(run, schema)

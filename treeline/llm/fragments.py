@@ -12,7 +12,7 @@ from __future__ import annotations
 
 import json
 import re
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 from functools import lru_cache
 
 import numpy as np
@@ -22,12 +22,12 @@ import regex
 from tokenizers import Tokenizer
 from tokenizers.models import BPE
 
-#: Bytes of texts that are encoded at once.
-PART_BYTES = 6 << 20
+from .batches import joined
+
 #: Stands behind pieces that are cut or encoded together.
 END = "\0"
 #: Bytes of a table of ids; each look-up goes once over its keys.
-TABLE_BYTES = 20 << 20
+TABLE_BYTES = 12 << 20
 #: Letters and signs below U+0250 without blanks: here lower-casing, NFC and the classes of letters and digits need no context.
 PLAIN = regex.compile("[!-~¡-ɏ]*+")
 
@@ -46,17 +46,6 @@ def load(path: str) -> Tokenizer:
     return tokenizer
 
 
-def parts_of(batch: pa.RecordBatch, column: int, most: int = PART_BYTES) -> Iterator[pa.RecordBatch]:
-    """Stretches of a batch whose texts have about ``most`` bytes, of one row at least."""
-    ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
-    start = 0
-    while start < batch.num_rows:
-        before = int(ends[start - 1]) if start else 0
-        end = max(start + 1, int(np.searchsorted(ends, before + most, side="right")))
-        yield batch.slice(start, end - start)
-        start = end
-
-
 class IdTable:
     """Ids by text in Arrow and numpy arrays; when they take more than ``most`` bytes, the half that was used last stays."""
 
@@ -104,10 +93,6 @@ def gathered(ids: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarr
     return ids[np.repeat(starts - (ends - sizes), sizes) + np.arange(ends[-1] if len(ends) else 0)]
 
 
-def joined(texts: pa.Array, by: str) -> str:
-    return pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(texts)], pa.int32()), texts), by)[0].as_py()
-
-
 class PieceModel:
     """Encodes pieces of the pre-tokenizer: cut at certain cuts, the parts by the library's model."""
 
@@ -332,12 +317,18 @@ class ByteLevelEncoder(PieceModel):
         return self.batch(pa.array([text], pa.string()))[0].astype("<u4").tobytes()
 
 
+def without_file(model: PieceModel) -> PieceModel:
+    """The file's content is not needed any more."""
+    model.spec.clear()
+    return model
+
+
 @lru_cache(maxsize=2)
 def encoder(path: str) -> FragmentEncoder:
     """One for each Python process, kept over tasks."""
-    return FragmentEncoder(path)
+    return without_file(FragmentEncoder(path))
 
 
 @lru_cache(maxsize=2)
 def byte_encoder(path: str) -> ByteLevelEncoder:
-    return ByteLevelEncoder(path)
+    return without_file(ByteLevelEncoder(path))

@@ -21,8 +21,9 @@ shares at least ceil(bound * n) keys, it shares one of the prefix.
    in the same class are left out. More than ``HEAP`` entries are sorted and counted by numpy instead.
 5. Components of the links found are the classes.
 
-Documents with equal sets are one throughout (by a 63-bit hash of the set), so copies cost no pairs.
-Keys are 64-bit hashes of shingles, in step 2 their upper 48 bits.
+Documents with equal sets are one throughout (by 127 bits of a hash of the set), so copies cost no pairs.
+Keys are 64-bit hashes of shingles, in step 2 their upper 48 bits; sets have names of 63 bits there, and sets
+that share one by chance only meet in a block.
 
 Defined cases: null or empty texts have no shingle and are classes of their own; rows that repeat a
 doc_id give a row each, whose texts are joined each by itself; a null doc_id belongs to its class without naming
@@ -43,7 +44,8 @@ from pyspark.sql import functions as F
 
 from ..operators.components import connected_components
 from ..plans.shared import Stored, release, store
-from .shingles import forget_words, least_overlap, prefix_size, set_id, shingle_sets
+from .batches import give_back, parts_of
+from .shingles import least_overlap, prefix_size, set_digest, shingle_sets
 
 WIDTH, PERCENT = 5, 80
 #: Keys that are ordered by their number of documents, at most (8 bytes each in every task); others count as rare.
@@ -58,17 +60,18 @@ BLOCK_KEYS = 2_000_000
 DEPTH = 3
 #: Keys of all documents for each key range.
 RANGE_KEYS = 1_000_000
-AT_ONCE = 500
+#: Bytes of texts that are shingled at once, or one text.
+AT_ONCE = 3 << 20
 #: Entries of short lists that are merged with a heap; numpy sorts and counts more of them faster than Python's heap merges them.
 HEAP = 400
 
 
-def texts_of(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list]]:
+def texts_of(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, pa.Array]]:
     for batch in batches:
-        for start in range(0, batch.num_rows, AT_ONCE):
-            part = batch.slice(start, AT_ONCE)
-            yield part, part.column("text").to_pylist()
-    forget_words()
+        column = batch.schema.get_field_index("text")
+        for part in parts_of(batch, column, AT_ONCE):
+            yield part, part.column(column)
+    give_back()
 
 
 def split_by_range(slots: np.ndarray, ranges: int) -> np.ndarray:
@@ -91,17 +94,17 @@ def unpacked_gaps(data: bytes) -> np.ndarray:
     return np.cumsum(np.concatenate([first, gaps]), dtype=np.uint64)
 
 
-MEASURED = "doc_id long, n_shingles long, set long, at long, range int, slots binary, many binary, counts binary"
+MEASURED = "doc_id long, n_shingles long, set long, check long, at long, range int, slots binary, many binary, counts binary"
 
 
 def measure(docs: DataFrame, ranges: int, width: int) -> DataFrame:
     """In one pass over the texts (doc_id, text, at), rows of two kinds.
 
-    doc_id, n_shingles, set (null without shingles) and at of every row; and, with a range, for each key range and
+    doc_id, n_shingles, set and check (null without shingles) and at of every row; and, with a range, for each key range and
     task the slots (upper 32 bits of keys) met, and the counts of those met more than once.
     """
     names = [f.strip().split(" ")[0] for f in MEASURED.split(",")]
-    kinds = dict(zip(names, (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary())))
+    kinds = dict(zip(names, (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary())))
 
     def batch_of(**columns) -> pa.RecordBatch:
         size = len(next(iter(columns.values())))
@@ -122,8 +125,8 @@ def measure(docs: DataFrame, ranges: int, width: int) -> DataFrame:
         for part, texts in texts_of(batches):
             keys, sizes = shingle_sets(texts, width)
             ends = np.cumsum(sizes).tolist()
-            ids = [set_id(keys[b - n : b]) if n else None for b, n in zip(ends, sizes.tolist())]
-            yield batch_of(doc_id=part.column("doc_id"), n_shingles=sizes, set=ids, at=part.column("at"))
+            ids = [set_digest(keys[b - n : b]) if n else (None, None) for b, n in zip(ends, sizes.tolist())]
+            yield batch_of(doc_id=part.column("doc_id"), n_shingles=sizes, set=[i for i, _ in ids], check=[c for _, c in ids], at=part.column("at"))
             held.append(keys >> np.uint64(32))
             size += len(keys)
             if size >= FLUSH:
@@ -277,7 +280,7 @@ def prefix_entries(docs: DataFrame, frequent, ranges: int, width: int, percent:
                     short = own[: (p := prefix_size(n, percent))]
                     if number[a : a + n].any():
                         short = own[np.argsort(number[a : a + n], kind="stable")[:p]]
-                    held.append((short >> np.uint64(16), set_id(own), n))
+                    held.append((short >> np.uint64(16), set_digest(own)[0], n))
                     size += p
             if size >= ENTRIES_FLUSH:
                 yield from flush(held)
@@ -464,23 +467,24 @@ def address() -> Column:
 
 
 def whole_sets(docs: DataFrame, width: int) -> DataFrame:
-    """The columns of docs other than text, the keys of the text and the set that they make (null: none)."""
+    """The columns of docs other than text, the keys of the text and the set that they make (null: none), with its check."""
     others = [f for f in docs.schema.fields if f.name != "text"]
-    schema = ", ".join([*(f"{f.name} {f.dataType.simpleString()}" for f in others), "keys binary", "set long"])
+    schema = ", ".join([*(f"{f.name} {f.dataType.simpleString()}" for f in others), "keys binary", "set long", "check long"])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, texts in texts_of(batches):
             keys, sizes = shingle_sets(texts, width)
             ends = np.cumsum(sizes).tolist()
             own = [keys[b - n : b] for b, n in zip(ends, sizes.tolist())]
-            made = [pa.array([k.tobytes() for k in own], pa.binary()), pa.array([set_id(k) if len(k) else None for k in own], pa.int64())]
-            yield pa.RecordBatch.from_arrays([*(part.column(f.name) for f in others), *made], names=[*(f.name for f in others), "keys", "set"])
+            ids = [set_digest(k) if len(k) else (None, None) for k in own]
+            made = [pa.array([k.tobytes() for k in own], pa.binary()), *(pa.array(column, pa.int64()) for column in zip(*ids))]
+            yield pa.RecordBatch.from_arrays([*(part.column(f.name) for f in others), *made], names=[*(f.name for f in others), "keys", "set", "check"])
 
     return docs.mapInArrow(run, schema)
 
 
 def block_members(docs: DataFrame, measured: DataFrame, counted: int, keys: int, stands: DataFrame, width: int, percent: int, depth: int = DEPTH) -> DataFrame:
-    """Steps 1 to 3: at, doc (its set), block and n of the documents in blocks of two or more; docs: doc_id, at, text; measured: with counts in ``counted`` ranges; keys: of all docs.
+    """Steps 1 to 3: at, doc, set, check, block and n of the documents in blocks of two or more; docs: doc_id, at, text; measured: with counts in ``counted`` ranges; keys: of all docs.
 
     Where more keys are shared than the table of frequent ones holds, chance links make blocks large. These are
     blocked again by themselves, in an order by the counts within them, until that no longer helps.
@@ -492,7 +496,7 @@ def block_members(docs: DataFrame, measured: DataFrame, counted: int, keys: int,
     links = block_links(prefix_entries(docs, frequent, ranges, width, percent), ranges, percent)
     blocks = Stored(connected_components(links, reduced=True), "blocks").df
     frequent.unpersist()
-    members = store(blocks.join(stands, F.col("vertex") == F.col("set")).select("at", F.col("vertex").alias("doc"), F.col("component").alias("block"), "n"), "members")
+    members = store(blocks.join(stands, F.col("vertex") == F.col("set")).select("at", "doc", "set", "check", F.col("component").alias("block"), "n"), "members")
     large = members.groupBy("block").agg(F.sum("n").alias("keys")).filter(F.col("keys") > BLOCK_KEYS)
     held = large.agg(F.sum("keys")).first()[0] or 0
     if not depth or not held or held > 0.7 * keys:
@@ -502,37 +506,39 @@ def block_members(docs: DataFrame, measured: DataFrame, counted: int, keys: int,
     texts = store(texts, "large-blocks")
     finer = block_members(texts, store(measure(texts, ranges_of(held), width), "sets"), ranges_of(held), held, stands, width, percent, depth - 1)
     # a text that stands elsewhere may come along with the same address; it keeps its own block
-    kept = members.join(large.select("block"), "block", "left_anti").select("at", "doc", "block", "n")
-    return kept.union(finer.join(kept.select("doc"), "doc", "left_anti").select("at", "doc", "block", "n"))
+    kept = members.join(large.select("block"), "block", "left_anti").select("at", "doc", "set", "check", "block", "n")
+    return kept.union(finer.join(kept.select("doc"), "doc", "left_anti").select(*kept.columns))
 
 
 def jaccard_classes(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles and component_id (smallest doc_id of the class) of every row of docs (doc_id, text)."""
     sets, named = set_classes(docs, width, percent)
     least = named.groupBy("class").agg(F.min("doc_id").alias("component_id"))
-    by_set = named.join(least, "class").select("set", "component_id")
-    return sets.join(by_set, "set", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    by_set = named.join(least, "class").select("set", "check", "component_id")
+    return sets.join(by_set, ["set", "check"], "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
 def set_classes(docs: DataFrame, width: int, percent: int) -> tuple[DataFrame, DataFrame]:
-    """doc_id, n_shingles, set and at of every row, and set, class (a set of it), doc_id and at of the row that stands for each set."""
+    """doc_id, n_shingles, set, check and at of every row, and set, check, class, doc_id and at of the row that stands for each set."""
     spark = docs.sparkSession
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), address(), "text")
     # the number of ranges has to be known before the keys are: a word takes six bytes, about
     counted = ranges_of((texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // 6)
     measured = store(measure(texts, counted, width), "sets")
-    sets = measured.filter("range IS NULL").select("doc_id", "n_shingles", "set", "at")
+    sets = measured.filter("range IS NULL").select("doc_id", "n_shingles", "set", "check", "at")
     # one document stands for each set, one with a doc_id if there is any; partial minima are taken before the shuffle
-    stands = sets.filter("set IS NOT NULL").groupBy("set").agg(F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "at")).alias("one"), F.max("n_shingles").alias("n"))
-    stands = stands.select("set", "one.doc_id", "one.at", "n")
+    stands = sets.filter("set IS NOT NULL").groupBy("set", "check").agg(F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "at")).alias("one"), F.max("n_shingles").alias("n"))
+    # doc is a number of its own: two sets of one name may come to one block, but they are never one document
+    stands = store(stands.select("set", "check", "one.doc_id", "one.at", "n", F.monotonically_increasing_id().alias("doc")), "stands")
     members = block_members(texts, measured, counted, sets.agg(F.sum("n_shingles")).first()[0] or 0, stands, width, percent)
     release(spark)
     large = store(members.groupBy("block").agg(F.sum("n").alias("keys")).filter(F.col("keys") > BLOCK_KEYS).select("block"), "large")
 
     def sets_of(some: DataFrame) -> DataFrame:
         # the places are the hashed side at any size, so the texts are not sorted
-        text = texts.drop("doc_id").join(some.select("at", "doc", "block").hint("shuffle_hash"), "at").drop("at")
-        return whole_sets(text, width).filter("set = doc").select("block", "doc", "keys")
+        places = some.select("at", "doc", "block", F.col("set").alias("of_set"), F.col("check").alias("of_check"))
+        text = texts.drop("doc_id").join(places.hint("shuffle_hash"), "at").drop("at")
+        return whole_sets(text, width).filter("set = of_set AND check = of_check").select("block", "doc", "keys")
 
     partitions, zero = int(spark.conf.get("spark.sql.shuffle.partitions")), F.lit(0).cast("long")
     several = not large.isEmpty()
@@ -545,7 +551,7 @@ def set_classes(docs: DataFrame, width: int, percent: int) -> tuple[DataFrame, D
     del keyed, links
     release(spark)
 
-    return sets, stands.join(classes, F.col("set") == F.col("vertex"), "left").select("set", F.coalesce("component", "set").alias("class"), "doc_id", "at")
+    return sets, stands.join(classes, F.col("doc") == F.col("vertex"), "left").select("set", "check", F.coalesce("component", "doc").alias("class"), "doc_id", "at")
 
 
 def keep_one(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
@@ -554,7 +560,7 @@ def keep_one(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> Dat
     Rows without a word resemble nothing, so they all stay.
     """
     named = set_classes(docs, width, percent)[1]
-    one = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "set", "at")).alias("one")
+    one = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "set", "check", "at")).alias("one")
     kept = named.groupBy("class").agg(one).select("class", F.col("one.doc_id").alias("id"), "one.at")
     rows = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text", address())
     worded = F.coalesce(F.col("text").rlike(r"[^ \t\n\x0B\f\r]"), F.lit(False))

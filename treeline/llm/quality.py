@@ -37,6 +37,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.shared import Stored, store
+from .batches import give_back
 
 SPACE = b" \t\n\v\f\r"
 SYMBOLS = b"#*$%&|<>"
@@ -103,6 +104,7 @@ def add_features(rows: DataFrame, *keep: str) -> DataFrame:
                 features = list(zip(*map(text_features, texts.to_pylist())))
                 columns = [pa.array(f, pa.int64()) for f in features]
                 yield pa.RecordBatch.from_arrays([*(part.column(k) for k in keep), *columns], names=[*keep, *FEATURES])
+        give_back()
 
     return rows.select(*keep, *([] if nested else ["text"])).mapInArrow(run, schema)
 

@@ -2,51 +2,38 @@
 
 from __future__ import annotations
 
-import ctypes
-from functools import lru_cache
-
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 
-#: Words of one Python process whose hashes are kept.
-WORDS = 150_000
+from .batches import joined
+
 #: Odd constants, one for each place of a word; the last is for texts of fewer words than a shingle.
 PLACES = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63, 0xD6E8FEB86659FD93], dtype=np.uint64)
 TOO_FEW = np.uint64(0xA0761D6478BD642F)
 
 
-@lru_cache(maxsize=1)
-def word_hashes() -> dict[bytes, int]:
-    return {}
-
-
-def forget_words() -> None:
-    """At the end of a task: Python processes wait for others, and should hold little meanwhile."""
-    word_hashes().clear()
-    try:
-        ctypes.CDLL(None).malloc_trim(0)
-    except (AttributeError, OSError):  # other C libraries free by themselves
-        pass
-
-
-def hashed_words(words: list[bytes]) -> np.ndarray:
-    known = word_hashes()
-    if len(known) > WORDS:
-        known.clear()
-    for word in set(words).difference(known):
-        known[word] = xxhash.xxh3_64_intdigest(word)
-    return np.fromiter(map(known.__getitem__, words), dtype=np.uint64, count=len(words))
+def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words of all texts (null: none), one text after another, and the number of each text's words; each distinct word is hashed once."""
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, "")))
+    words = lists.flatten()
+    filled = pc.greater(pc.binary_length(words), 0)  # nothing stands before and behind white space at the ends
+    bounds = np.concatenate([[0], np.cumsum(filled.to_numpy(zero_copy_only=False))])[lists.offsets.to_numpy()]
+    coded = words.filter(filled).dictionary_encode()
+    # words hold no blank, so one text of them all is a quick way to Python's
+    distinct = joined(coded.dictionary, " ").encode().split(b" ")
+    hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, distinct), dtype=np.uint64, count=len(distinct))
+    return hashes[coded.indices.to_numpy()], np.diff(bounds)
 
 
-def shingle_sets(texts: list[str | None], width: int = 5) -> tuple[np.ndarray, np.ndarray]:
+def shingle_sets(texts: pa.Array, width: int = 5) -> tuple[np.ndarray, np.ndarray]:
     """Ascending distinct keys of every text, one after another, and the number of each text's keys.
 
     Letters A-Z are lower-cased, words are runs of characters other than blank and 09-0D; a text of fewer
     words than ``width`` has one shingle, of them all; one without words has none. Keys are 64-bit hashes.
     """
-    split = [t.encode().lower().split() if t else [] for t in texts]
-    counts = np.fromiter(map(len, split), dtype=np.int64, count=len(split))
-    hashes = hashed_words([w for words in split for w in words])
+    hashes, counts = word_hashes(texts)
     ends = np.cumsum(counts)
     starts = ends - counts
     total = len(hashes)
@@ -77,9 +64,10 @@ def shingle_sets(texts: list[str | None], width: int = 5) -> tuple[np.ndarray, n
     return keys[new], held[bounds[1:]] - held[bounds[:-1]]
 
 
-def set_id(keys: np.ndarray) -> int:
-    """63 bits that stand for a set."""
-    return xxhash.xxh3_64_intdigest(keys.tobytes()) >> 1
+def set_digest(keys: np.ndarray) -> tuple[int, int]:
+    """63 bits that name a set in lists, and 64 more; sets are equal if both are."""
+    digest = xxhash.xxh3_128_intdigest(keys.tobytes())
+    return digest & (1 << 63) - 1, (digest >> 64) - (1 << 63)
 
 
 def least_overlap(n: int | np.ndarray, m: int | np.ndarray, percent: int) -> int | np.ndarray:

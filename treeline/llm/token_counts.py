@@ -32,8 +32,9 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
+from .batches import joined
 from .bpe import TOKENIZER, map_rows
-from .fragments import END, TABLE_BYTES, FragmentEncoder, IdTable, gathered, joined
+from .fragments import END, TABLE_BYTES, FragmentEncoder, IdTable, gathered, without_file
 
 LIMIT = 2048
 #: Pairs of tokens whose compatibility one Python process keeps.
@@ -298,7 +299,7 @@ class PrefixCounter(FragmentEncoder):
 @lru_cache(maxsize=2)
 def counter(path: str) -> PrefixCounter:
     """One for each Python process, kept over tasks."""
-    return PrefixCounter(path)
+    return without_file(PrefixCounter(path))
 
 
 def store_prefix_counts(docs: DataFrame, tokenizer: str) -> DataFrame:

@@ -34,7 +34,8 @@ from pyspark.sql import functions as F
 
 from ..plans.byte_files import AtomicFile, RangeReader
 from ..plans.shared import scratch
-from .fragments import byte_encoder, parts_of
+from .batches import give_back, parts_of
+from .fragments import byte_encoder
 
 SKIPPABLE, SEEKABLE, CHECKSUMS = 0x184D2A5E, 0x8F92EAB1, 0x80
 INDEX = 0x184D2A50
@@ -146,6 +147,7 @@ def write_token_files(docs: DataFrame, path: str, encode: Callable[[pa.Array], l
             documents += batch.num_rows
         if writer:
             yield pa.RecordBatch.from_pydict({"file": [name], "documents": [documents], "ids": [writer.close()]})
+        give_back()
 
     sorted_rows = rows.repartitionByRange(files, "doc_id").sortWithinPartitions("doc_id", "text")
     manifest = sorted_rows.mapInArrow(write, "file string, documents long, ids long").toPandas().sort_values("file")
