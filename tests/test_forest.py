@@ -118,6 +118,18 @@ def test_pointers_to_roots(spark):
         roots(spark.createDataFrame([(1, 2), (2, 1)], "vertex long, parent long"), rounds=4)
 
 
+def test_one_task_has_a_bound(spark, monkeypatch):
+    monkeypatch.setattr(forest, "ONE_TASK_EDGES", 3)
+    edges = spark.createDataFrame(random_graph(random.Random(2), 9, 30), EDGE)
+    with pytest.raises(ValueError):
+        forest.minimum_spanning_forest(edges, "local")
+    degrees = spark.createDataFrame([(n, n % 3) for n in range(100)], "vertex long, degree long")
+    mean = 0.0
+    for n in range(100):
+        mean = (mean + n % 3) / 2
+    assert graph.running_degree(degrees).first()[0] == round(mean, 6)
+
+
 def test_filter_splits_again(spark):
     edges = random_graph(random.Random(21), 60, 700, weights=9)
     found = forest.minimum_spanning_forest(spark.createDataFrame(edges, EDGE), "filter", threshold=60)

@@ -102,12 +102,12 @@ def heavy_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def percentile_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return analytics.percentile_progress(hops(spark, sf_dir), 20)
+    return analytics.percentile_progress(hops(spark, sf_dir), 100)
 
 
 def prefix_detectability(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = order.store(hops(spark, sf_dir), "classified")
-    return analytics.prefix_detectability(rows, rows.filter("membership = 1"), 20)
+    return analytics.prefix_detectability(rows, rows.filter("membership = 1"), 100)
 
 
 def closing_times(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -232,6 +232,7 @@ QUERIES: dict[str, Query] = {
     "graph_stats": lambda s, d: graph.graph_stats(directed_lines(s, d)),
     "degree_histogram": lambda s, d: graph.degree_histogram(graphs.nation_trade(s, d)),
     "out_degrees": lambda s, d: graph.out_degrees(directed_lines(s, d), graph.vertices(directed_lines(s, d))),
+    "running_degree": lambda s, d: graph.running_degree(graph.out_degrees(directed_lines(s, d), graph.vertices(directed_lines(s, d)))),
     "distinct_vertices": lambda s, d: graph.vertices(graphs.part_supplier(s, d)).agg(F.count("*").alias("n_vertices")),
     "edge_rank": lambda s, d: order.ranked(graphs.user_hops(s, d), *graph.ORDER, name="rank", start=1),
     "light_edges_k": light_edges,
@@ -354,6 +355,8 @@ SELECT (SELECT count(*) FROM g)::BIGINT AS n_edges, (SELECT count(*) FROM g WHER
     "degree_histogram": f"""WITH g AS ({TRADE}), v AS (SELECT src AS x FROM g UNION SELECT dst FROM g), deg AS (SELECT x, count(g.src) AS k FROM v LEFT JOIN g ON g.src = x GROUP BY x)
 SELECT least(k, 9)::BIGINT AS degree_bin, count(*)::BIGINT AS n_vertices FROM deg GROUP BY 1""",
     "out_degrees": f"WITH g AS ({DIRECTED_SQL}), v AS (SELECT src AS x FROM g UNION SELECT dst FROM g) SELECT x AS vertex, count(g.src)::BIGINT AS degree FROM v LEFT JOIN g ON g.src = x GROUP BY x",
+    "running_degree": f"""WITH g AS ({DIRECTED_SQL}), v AS (SELECT src AS x FROM g UNION SELECT dst FROM g), deg AS (SELECT x, count(g.src) AS k FROM v LEFT JOIN g ON g.src = x GROUP BY x)
+SELECT round(sum(k * pow(0.5::DOUBLE, n)), 6) AS running_degree FROM (SELECT k, row_number() OVER (ORDER BY x DESC) AS n FROM deg)""",
     "distinct_vertices": f"SELECT count(*)::BIGINT AS n_vertices FROM (SELECT src FROM ({PARTS}) UNION SELECT dst FROM ({PARTS}))",
     "edge_rank": ranked_sql(HOPS, "rank", 1),
     "light_edges_k": f"SELECT src, dst, weight FROM ({ranked_sql(PARTS, 'pos', 0)}) WHERE pos < (SELECT count(*) FROM ({PARTS})) // 10",
@@ -396,14 +399,14 @@ SELECT point::BIGINT AS point, round(point::DOUBLE / 20 * 60)::BIGINT AS edges,
     "edge_membership": over(HOPS, "SELECT pos, membership FROM m"),
     "edge_classes": over(HOPS, "SELECT membership, count(*)::BIGINT AS n_edges FROM m GROUP BY membership"),
     "heavy_filter": over(HOPS, "SELECT src, dst, weight FROM m, (SELECT lab AS l FROM w, n WHERE w.pos = e // 30) WHERE m.pos >= (SELECT e // 30 FROM n) AND l[ps] <> l[pd]"),
-    "percentile_progress": over(HOPS, """, t AS (SELECT *, ntile(20) OVER (ORDER BY pos) AS point FROM m),
+    "percentile_progress": over(HOPS, """, t AS (SELECT *, ntile(100) OVER (ORDER BY pos) AS point FROM m),
 c AS (SELECT point::BIGINT AS point, count(*)::BIGINT AS n, count(*) FILTER (membership = 1)::BIGINT AS n_msf, count(*) FILTER (membership = 2)::BIGINT AS n_cycle FROM t GROUP BY 1)
 SELECT point, n, n_msf, n_cycle, (sum(n_msf) OVER o)::BIGINT AS cum_msf, (sum(n_cycle) OVER o)::BIGINT AS cum_cycle, round(100.0::DOUBLE * sum(n_msf) OVER o / sum(n_msf) OVER (), 4) AS msf_share,
  round(100.0::DOUBLE * sum(n_cycle) OVER o / sum(n_cycle) OVER (), 4) AS cycle_share FROM c WINDOW o AS (ORDER BY point)"""),
     "progress_snapshots": over(HOPS, """, t AS (SELECT *, ntile(50) OVER (ORDER BY pos) AS point FROM m),
 c AS (SELECT point::BIGINT AS point, count(*) FILTER (membership = 2 AND pos < e // 2) AS a, count(*) FILTER (membership = 2 AND pos >= e // 2) AS b FROM t, n GROUP BY 1)
 SELECT point, (sum(a) OVER (ORDER BY point))::BIGINT AS cycles_first, (sum(b) OVER (ORDER BY point))::BIGINT AS cycles_second FROM c"""),
-    "prefix_detectability": over(HOPS, """, p AS (SELECT i AS point, e * i // 20 AS upto FROM range(1, 21) t(i), n), k AS (SELECT point, upto, lab AS l FROM p JOIN w ON w.pos = p.upto),
+    "prefix_detectability": over(HOPS, """, p AS (SELECT i AS point, e * i // 100 AS upto FROM range(1, 101) t(i), n), k AS (SELECT point, upto, lab AS l FROM p JOIN w ON w.pos = p.upto),
 c AS (SELECT point, upto, count(*) FILTER (m.pos >= upto AND l[ps] = l[pd])::BIGINT AS detectable, count(*) FILTER (m.membership = 2 AND m.pos >= upto) AS later_cycles, count(*) FILTER (m.membership = 2) AS cycles, count(*) FILTER (m.pos >= upto) AS later FROM k, m GROUP BY 1, 2)
 SELECT point, upto::BIGINT AS upto, detectable, round(100.0::DOUBLE * detectable / cycles, 4) AS of_all_cycles, CASE WHEN later_cycles > 0 THEN round(100.0::DOUBLE * detectable / later_cycles, 4) ELSE 0.0::DOUBLE END AS of_later_cycles,
  CASE WHEN later > 0 THEN round(100.0::DOUBLE * detectable / later, 4) ELSE 0.0::DOUBLE END AS of_later_edges FROM c"""),

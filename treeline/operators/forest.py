@@ -22,6 +22,8 @@ from .order import pivot, ranked
 EDGE = "src long, dst long, weight double"
 #: Edges that one task reduces.
 TASK_EDGES = 2_000_000
+#: Edges that the strategy ``local`` takes.
+ONE_TASK_EDGES = 5 * TASK_EDGES
 ROUNDS = 40
 
 
@@ -59,14 +61,15 @@ def local_forest(edges: pd.DataFrame) -> pd.DataFrame:
 
 
 def _reduce(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """The forest of a task's edges; it is taken whenever as many edges are held as a task may reduce."""
-    held, size = [], 0
+    """The forest of a task's edges; it is taken whenever as many edges are held as a task may reduce, and twice as many as were left."""
+    held, size, most = [], 0, TASK_EDGES
     for batch in batches:
         held.append(batch)
         size += len(batch)
-        if size >= TASK_EDGES:
+        if size >= most:
             held = [local_forest(pd.concat(held))]
             size = len(held[0])
+            most = max(TASK_EDGES, 2 * size)
     if held:
         yield local_forest(pd.concat(held))
 
@@ -75,6 +78,14 @@ def _local(edges: DataFrame) -> DataFrame:
     return edges.repartition(1).mapInPandas(_reduce, EDGE)
 
 
+def _one_task(edges: DataFrame) -> DataFrame:
+    """For graphs that one task can hold."""
+    held = store(edges, "edges")
+    if (size := held.count()) > ONE_TASK_EDGES:
+        raise ValueError(f"{size} edges are too many for one task; use two_level")
+    return _local(held)
+
+
 def _two_level(edges: DataFrame) -> DataFrame:
     now, size = edges, edges.count()
     while size > TASK_EDGES:
@@ -142,7 +153,7 @@ def _rounds(edges: DataFrame) -> DataFrame:
     return taken.select("e.src", "e.dst", "e.weight")
 
 
-STRATEGIES = {"local": _local, "two_level": _two_level, "filter": _filtered, "rounds": _rounds}
+STRATEGIES = {"local": _one_task, "two_level": _two_level, "filter": _filtered, "rounds": _rounds}
 
 
 def minimum_spanning_forest(edges: DataFrame, strategy: str = "two_level", **options: float) -> DataFrame:

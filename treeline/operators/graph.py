@@ -6,7 +6,7 @@ An edge table has src, dst (long) and weight (double). All orders of edges are t
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .order import ranked
@@ -74,6 +74,16 @@ def out_degrees(edges: DataFrame, universe: DataFrame | None = None) -> DataFram
     return universe.select("vertex").join(found, "vertex", "left").withColumn("degree", F.coalesce("degree", F.lit(0)))
 
 
+def running_degree(degrees: DataFrame) -> DataFrame:
+    """One row: the mean so far and each next degree, halved, in the order of vertices.
+
+    A vertex counts half of the one behind it, so beyond the last 64 nothing is left in a double.
+    """
+    last = degrees.orderBy(F.desc("vertex")).limit(64)
+    behind = F.row_number().over(Window.orderBy(F.desc("vertex")))
+    return last.withColumn("n", behind).agg(F.round(F.sum(F.col("degree") * F.pow(F.lit(0.5), "n")), 6).alias("running_degree"))
+
+
 def graph_stats(edges: DataFrame) -> DataFrame:
     """One row: edges, loops, parallel edges, vertices with edges, largest and mean degree, largest weight."""
     pairs = edges.groupBy("src", "dst").agg(F.count("*").alias("n"), F.max("weight").alias("w"))
