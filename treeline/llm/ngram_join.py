@@ -416,7 +416,9 @@ def search_tiles(sets: DataFrame, percent: int, partitions: int) -> DataFrame:
             rows = rows.drop_duplicates("doc")
             if len(rows) > 1:
                 side = None if a == b else rows["slice"].to_numpy()
-                classes = rows["class"].fillna(rows["doc"]).astype("int64").to_numpy()
+                known = rows["class"].notna().to_numpy()
+                classes = rows["doc"].to_numpy().copy()
+                classes[known] = rows["class"][known].astype("int64")
                 out.extend(block_classes(rows["doc"].tolist(), [np.frombuffer(k, dtype="<u8") for k in rows["keys"]], percent, side, classes))
             if len(out) > 50_000:
                 yield pd.DataFrame(out, columns=["src", "dst"])
@@ -562,12 +564,12 @@ def keep_one(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> Dat
     named = set_classes(docs, width, percent)[1]
     one = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "set", "check", "at")).alias("one")
     kept = named.groupBy("class").agg(one).select("class", F.col("one.doc_id").alias("id"), "one.at")
-    rows = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text", address())
-    worded = F.coalesce(F.col("text").rlike(r"[^ \t\n\x0B\f\r]"), F.lit(False))
+    rows = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("row"), address())
+    worded = F.coalesce(F.col("row.text").rlike(r"[^ \t\n\x0B\f\r]"), F.lit(False))
 
-    with_words = rows.filter(worded).join(kept.hint("shuffle_hash"), "at").filter(F.col("doc_id").eqNullSafe(F.col("id")))
+    with_words = rows.filter(worded).join(kept.hint("shuffle_hash"), "at").filter(F.col("row.doc_id").cast("long").eqNullSafe(F.col("id")))
     # rows that share doc_id and text (a hash of these, in rare cases) are left here, and already lie together
-    one = with_words.withColumn("n", F.row_number().over(Window.partitionBy("at", "class").orderBy("text"))).filter("n = 1")
+    one = with_words.withColumn("n", F.row_number().over(Window.partitionBy("at", "class").orderBy("row.text"))).filter("n = 1")
     return one.select("row.*").union(rows.filter(~worded).select("row.*"))
 
 
