@@ -4,9 +4,8 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from treeline.operators import analytics, forest, graph, order
+from treeline.operators import analytics, forest, graph, order, traversal
 from treeline.operators.components import connected_components, find, roots
-from treeline.operators.traversal import breadth_first
 
 EDGE = "src long, dst long, weight double"
 
@@ -163,17 +162,28 @@ def test_closing_time_both_ways(spark, monkeypatch):
     assert {r.pos: r.closed_at for r in analytics.closing_time(rows, tree).collect()} == want
 
 
-def test_breadth_first(spark):
-    edges = spark.createDataFrame([(0, 1, 5.0), (0, 2, 1.0), (1, 3, 2.0), (2, 3, 9.0), (7, 8, 1.0)], EDGE)
-    assert sorted(map(tuple, breadth_first(edges, 0).collect())) == [(0, 0, None, None), (1, 1, 0, 5.0), (2, 1, 0, 1.0), (3, 2, 1, 5.0)]
+def levels(df):
+    return sorted((r.vertex, r.level, r.parent, r.path_max) for r in df.collect())
 
 
-def test_breadth_first_to_the_end(spark):
-    edges = spark.createDataFrame([(n, n + 1, float(n)) for n in range(6)], "src long, dst long, weight double")
+@pytest.mark.parametrize("arcs", [0, traversal.TASK_ARCS])
+def test_breadth_first(spark, monkeypatch, arcs):
+    monkeypatch.setattr(traversal, "TASK_ARCS", arcs)
+    edges = spark.createDataFrame([(0, 1, 5.0), (0, 2, 1.0), (1, 3, 2.0), (2, 3, 9.0), (7, 8, 1.0)], EDGE)
+    assert levels(traversal.breadth_first(edges, 0)) == [(0, 0, None, None), (1, 1, 0, 5.0), (2, 1, 0, 1.0), (3, 2, 1, 5.0)]
+    assert levels(traversal.breadth_first(edges, 99)) == levels(traversal.breadth_first(edges.limit(0), 99)) == [(99, 0, None, None)]
+    path = spark.createDataFrame([(n, n + 1, float(n)) for n in range(6)], EDGE)
     want = [(0, 0, None, None)] + [(n, n, n - 1, float(n - 1)) for n in range(1, 7)]
-    assert sorted(map(tuple, breadth_first(edges, 0).collect())) == want == sorted(map(tuple, breadth_first(edges, 0, rounds=7).collect()))
-    with pytest.raises(RuntimeError):
-        breadth_first(edges, 0, rounds=3)
+    assert levels(traversal.breadth_first(path, 0)) == want == levels(traversal.breadth_first(path, 0, rounds=7))
+    with pytest.raises(Exception, match="vertices are left"):
+        traversal.breadth_first(path, 0, rounds=3)
+
+
+def test_both_searches_agree(spark, monkeypatch):
+    edges = spark.createDataFrame(random_graph(random.Random(31), 60, 90), EDGE)
+    found = levels(traversal.breadth_first(edges, 5))
+    monkeypatch.setattr(traversal, "TASK_ARCS", 0)
+    assert found == levels(traversal.breadth_first(edges, 5)) and len(found) > 20
 
 
 def test_order(spark):
