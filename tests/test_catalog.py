@@ -1,4 +1,5 @@
 import os
+import random
 
 import duckdb
 import pandas as pd
@@ -30,6 +31,31 @@ def test_against_sql(spark, name):
     assert key(found) == key(want)
 
 
+#: Queries over parts and suppliers that are held against their SQL where part ids reach those of suppliers.
+SHARED_IDS = (
+    "edges_part_supplier",
+)
+
+
+@pytest.fixture(scope="module")
+def shared_ids(tmp_path_factory):
+    """Lines of parts around the first supplier's id: edges with the larger end first, mirrored pairs, loops."""
+    folder, rng = tmp_path_factory.mktemp("shared-ids"), random.Random(5)
+    lines = [(1_000_000 + rng.randint(-20, 20), rng.randint(0, 20), rng.choice([500.0, 1500.0, 1999.5, 20000.0, 30000.0]) + rng.randint(0, 400)) for _ in range(900)]
+    lines += [(1_000_003, 3, 90_000.0), (1_000_004, 5, 700.0), (1_000_005, 4, 701.0)]
+    pd.DataFrame(lines, columns=["l_partkey", "l_suppkey", "l_extendedprice"]).to_parquet(folder / "lineitem.parquet")
+    return str(folder)
+
+
+@pytest.mark.parametrize("name", SHARED_IDS)
+def test_parts_with_ids_of_suppliers(spark, shared_ids, name):
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW lineitem AS SELECT * FROM '{shared_ids}/lineitem.parquet'")
+    want = db.sql(catalog.ORACLES[name])
+    found = catalog.QUERIES[name](spark, shared_ids).select(*want.columns)
+    assert sorted(map(tuple, found.collect())) == sorted(want.fetchall())
+
+
 @pytest.mark.skipif(not os.path.isdir(DATA), reason="test data")
 def test_entry(spark):
     row = entries.entry(spark).collect()
