@@ -35,6 +35,7 @@ def test_against_sql(spark, name):
 SHARED_IDS = (
     "edges_part_supplier",
     "kth_edge",
+    "light_edges_k",
 )
 
 
