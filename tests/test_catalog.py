@@ -36,6 +36,7 @@ SHARED_IDS = (
     "edges_part_supplier",
     "kth_edge",
     "light_edges_k",
+    "weight_threshold_filter",
 )
 
 
