@@ -37,6 +37,7 @@ SHARED_IDS = (
     "kth_edge",
     "light_edges_k",
     "weight_threshold_filter",
+    "edges_with_id",
 )
 
 
