@@ -38,6 +38,7 @@ SHARED_IDS = (
     "light_edges_k",
     "weight_threshold_filter",
     "edges_with_id",
+    "lightest_top",
 )
 
 
