@@ -39,6 +39,7 @@ SHARED_IDS = (
     "weight_threshold_filter",
     "edges_with_id",
     "lightest_top",
+    "order_breaks",
 )
 
 
