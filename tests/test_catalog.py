@@ -40,6 +40,7 @@ SHARED_IDS = (
     "edges_with_id",
     "lightest_top",
     "order_breaks",
+    "pivot_partition",
 )
 
 
