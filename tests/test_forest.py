@@ -135,6 +135,19 @@ def test_filter_splits_again(spark):
     assert sorted(map(tuple, found.collect())) == by_hand(edges)
 
 
+def test_filter_splits_within_a_task(spark, monkeypatch):
+    rng = random.Random(23)
+    for threshold in (1, 5, 60, 900):
+        for weights in (0, 9, 10**6):
+            edges = random_graph(rng, 60, 700, weights)
+            found = forest.filtered_forest(pd.DataFrame([*edges, (3, 3, -9.0)], columns=["src", "dst", "weight"]), threshold)
+            assert sorted(found.itertuples(index=False, name=None)) == by_hand(edges)
+    # a table that one task reduces takes no more than that task, however low the threshold
+    monkeypatch.setattr(forest, "connected_components", None)
+    found = forest.minimum_spanning_forest(spark.createDataFrame(edges, EDGE), "filter", threshold=5)
+    assert sorted(map(tuple, found.collect())) == by_hand(edges)
+
+
 def test_forest_with_ids(spark):
     edges = [(1, 2, 5.0, 7), (1, 2, 5.0, 4), (2, 3, 1.0, 0), (1, 3, 2.0, 9), (4, 5, None, 2)]
     df = spark.createDataFrame(edges, "src long, dst long, weight double, edge_id long")

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.shared import Stored, store
-from .components import connected_components
+from .components import connected_components, stars
 from .graph import typed
 from .order import pivot, ranked
 
@@ -99,28 +99,66 @@ def _two_level(edges: DataFrame) -> DataFrame:
     return _local(now)
 
 
+def filtered_forest(edges: pd.DataFrame, threshold: int) -> pd.DataFrame:
+    """The forest of edges in memory, taken from light to heavy: halves by weight are split down to the threshold, and edges within the components found so far are dropped before their half is looked at."""
+    edges = edges[edges["src"] != edges["dst"]].reset_index(drop=True)
+    if edges.empty:
+        return edges
+    ids, ends = np.unique(edges[["src", "dst"]].to_numpy(), return_inverse=True)
+    ends, weight = ends.reshape(-1, 2), edges["weight"].to_numpy()
+    src, dst = edges["src"].to_numpy(), edges["dst"].to_numpy()
+    label, chosen, parts = np.arange(len(ids)), [], [np.arange(len(edges))]
+    while parts:
+        at = parts.pop()
+        u, v = label[ends[at, 0]], label[ends[at, 1]]
+        apart = u != v
+        at, u, v = at[apart], u[apart], v[apart]
+        if len(at) > threshold:
+            light = weight[at] <= np.partition(weight[at], len(at) // 2)[len(at) // 2]
+            if 0 < light.sum() < len(at):
+                parts += [at[~light], at[light]]
+                continue
+        if len(at):
+            # ranks stand for weights, so the order of the original ends is kept
+            order = np.lexsort((dst[at], src[at], weight[at]))
+            found = local_forest(pd.DataFrame({"src": u[order], "dst": v[order], "weight": np.arange(len(at))}))
+            chosen.append(at[order[found["weight"]]])
+            vertex, root = stars(found["src"].to_numpy(), found["dst"].to_numpy())
+            moved = np.arange(len(ids))
+            moved[vertex] = root
+            label = moved[label]
+    return edges.iloc[np.concatenate(chosen)]
+
+
 def _filtered(edges: DataFrame, share: float = 0.1, threshold: int | None = None) -> DataFrame:
-    """The forest of the light edges decides which heavy ones can still be in the whole one; both parts are split again, down to the threshold (by default what one task reduces)."""
+    """The forest of the light edges decides which heavy ones can still be in the whole one; both parts are split again, down to the threshold (by default what one task reduces). What one task reduces is split within that task."""
     threshold = TASK_EDGES if threshold is None else threshold
     held = Stored(edges, "edges")
     size = held.df.count()
+    if size <= TASK_EDGES:
+        def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            if parts := list(batches):
+                yield filtered_forest(pd.concat(parts), threshold)
+
+        return held.df.repartition(1).mapInPandas(run, EDGE)
     bound = pivot(held.df, "weight", share) if size > threshold else None
     light, heavy = held.df.filter(F.col("weight") <= bound), held.df.filter(F.col("weight") > bound)
     if bound is None or light.count() == size:  # few edges, or all of one weight
         return _two_level(held.df)
     first = Stored(_filtered(light, 0.5, threshold), "light-forest")
-    survivors = store(across(heavy, connected_components(first.df)), "survivors")
-    held.drop()
     # what is left joins components of the light forest, so all of the light forest stays
-    labels = connected_components(first.df)
+    labels = Stored(connected_components(first.df), "labels")
     own = lambda end: F.coalesce(f"{end}_label", end)
-    a, b = (labels.select(F.col("vertex").alias(end), F.col("component").alias(f"{end}_label")) for end in ("src", "dst"))
-    contracted = survivors.join(a, "src", "left").join(b, "dst", "left").groupBy(F.least(own("src"), own("dst")).alias("u"), F.greatest(own("src"), own("dst")).alias("v")).agg(F.min(F.struct("weight", "src", "dst")).alias("e"))
-    contracted = store(contracted, "contracted")
+    a, b = (labels.df.select(F.col("vertex").alias(end), F.col("component").alias(f"{end}_label")) for end in ("src", "dst"))
+    between = heavy.join(a, "src", "left").join(b, "dst", "left").select(own("src").alias("x"), own("dst").alias("y"), F.struct("weight", "src", "dst").alias("e")).filter("x <> y")
+    contracted = Stored(between.groupBy(F.least("x", "y").alias("u"), F.greatest("x", "y").alias("v")).agg(F.min("e").alias("e")), "contracted")
+    held.drop()
+    labels.drop()
     # ranks stand for weights, so the order of the original ends is kept
-    order = store(ranked(contracted.select("u", "v", "e", "e.weight", "e.src", "e.dst"), "weight", "src", "dst"), "order")
+    order = ranked(contracted.df.select("u", "v", "e", "e.weight", "e.src", "e.dst"), "weight", "src", "dst")
     rest = _filtered(order.select(F.col("u").alias("src"), F.col("v").alias("dst"), F.col("pos").cast("double").alias("weight")), 0.5, threshold)
     taken = rest.join(order.select("pos", "e"), rest["weight"] == F.col("pos")).select("e.src", "e.dst", "e.weight")
+    contracted.drop()
     return first.df.union(taken)
 
 
