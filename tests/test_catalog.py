@@ -41,6 +41,7 @@ SHARED_IDS = (
     "lightest_top",
     "order_breaks",
     "pivot_partition",
+    "msf_part_supplier",
 )
 
 
