@@ -120,6 +120,34 @@ def vectors(rng, dimension=24):
     return rows + odd
 
 
+def test_ngram_join_frees_what_it_is_done_with(spark, monkeypatch):
+    """Counts and texts of large blocks are gone when the classes are found, and texts that nothing asks for are not dealt out."""
+    monkeypatch.setattr(ngram_join, "BLOCK_KEYS", 40)
+    kept = {}
+
+    class Noted(ngram_join.Stored):
+        def __init__(self, df, name):
+            super().__init__(df, name)
+            kept[self.path] = name
+
+        def drop(self):
+            super().drop()
+            del kept[self.path]
+
+    monkeypatch.setattr(ngram_join, "Stored", Noted)
+    rng = random.Random(8)
+    words = [" ".join(f"w{rng.randrange(10**6)}" for _ in range(40)) for _ in range(60)]
+    rows = [(n, w) for n, w in enumerate([*words, *(f"{w} more" for w in words[:3]), *(f"{words[0]} x{n}" for n in range(4))])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {r.doc_id: r.component_id for r in ngram_join.jaccard_classes(docs).collect()}
+    assert found == {n: {60: 0, 61: 1, 62: 2}.get(n, 0 if n > 62 else n) for n in range(67)}
+    assert not {"sets", "large-blocks", "key-counts"} & set(kept.values())
+    texts = docs.select("doc_id", ngram_join.address(), "text")
+    asked = texts.filter("doc_id % 10 = 3").select("at")
+    assert {r.doc_id for r in ngram_join.holding(texts, asked).collect()} == set(range(3, 67, 10))
+    assert ngram_join.holding(texts, asked.limit(0)).count() == 0
+
+
 @pytest.mark.parametrize("tile", [embedding_dups.TILE, 6])
 def test_embeddings_against_brute_force(spark, monkeypatch, tile):
     monkeypatch.setattr(embedding_dups, "TILE", tile)

@@ -62,6 +62,8 @@ DEPTH = 3
 RANGE_KEYS = 1_000_000
 #: Bytes of texts that are shingled at once, or one text.
 AT_ONCE = 3 << 20
+#: Bits that tell which texts may be asked for (8 MB in every task), and the parts they are set in.
+BITS, BIT_PARTS = 1 << 26, 64
 #: Entries of short lists that are merged with a heap; numpy sorts and counts more of them faster than Python's heap merges them.
 HEAP = 400
 
@@ -468,6 +470,27 @@ def address() -> Column:
     return F.xxhash64(F.col("doc_id").cast("long"), "text").alias("at")
 
 
+def holding(docs: DataFrame, places: DataFrame) -> DataFrame:
+    """The rows of docs whose ``at`` may be one of places; others are left out before a join deals texts out. More places than bits let rows pass in vain, but none is lost."""
+    part = BITS // BIT_PARTS
+
+    def mark(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for (n,), rows in groups_of(batches, "part"):
+            bits = np.zeros(part, dtype=bool)
+            bits[rows["slot"].to_numpy() - n * part] = True
+            yield pd.DataFrame({"part": [n], "bits": [np.packbits(bits).tobytes()]})
+
+    slots = places.select(F.pmod("at", F.lit(BITS)).alias("slot")).distinct().withColumn("part", F.floor(F.col("slot") / part))
+    found = {r.part: r.bits for r in slots.repartition(BIT_PARTS, "part").sortWithinPartitions("part").mapInPandas(mark, "part long, bits binary").collect()}
+    table = docs.sparkSession.sparkContext.broadcast(b"".join(found.get(n, bytes(part // 8)) for n in range(BIT_PARTS)))
+
+    def may(at: pd.Series) -> pd.Series:
+        slot = at.to_numpy() % BITS
+        return pd.Series((np.frombuffer(table.value, dtype=np.uint8)[slot >> 3] >> (7 - (slot & 7)).astype(np.uint8)) & 1 == 1)
+
+    return docs.filter(F.pandas_udf(may, "boolean")("at"))
+
+
 def whole_sets(docs: DataFrame, width: int) -> DataFrame:
     """The columns of docs other than text, the keys of the text and the set that they make (null: none), with its check."""
     others = [f for f in docs.schema.fields if f.name != "text"]
@@ -485,15 +508,16 @@ def whole_sets(docs: DataFrame, width: int) -> DataFrame:
     return docs.mapInArrow(run, schema)
 
 
-def block_members(docs: DataFrame, measured: DataFrame, counted: int, keys: int, stands: DataFrame, width: int, percent: int, depth: int = DEPTH) -> DataFrame:
-    """Steps 1 to 3: at, doc, set, check, block and n of the documents in blocks of two or more; docs: doc_id, at, text; measured: with counts in ``counted`` ranges; keys: of all docs.
+def block_members(docs: DataFrame, measured: Stored, counted: int, keys: int, stands: DataFrame, width: int, percent: int, depth: int = DEPTH) -> DataFrame:
+    """Steps 1 to 3: at, doc, set, check, block and n of the documents in blocks of two or more; docs: doc_id, at, text; measured: with counts in ``counted`` ranges, dropped when they are added up; keys: of all docs.
 
     Where more keys are shared than the table of frequent ones holds, chance links make blocks large. These are
     blocked again by themselves, in an order by the counts within them, until that no longer helps.
     """
     spark = docs.sparkSession
     ranges = ranges_of(keys)
-    frequent = spark.sparkContext.broadcast(frequent_keys(measured, counted))
+    frequent = spark.sparkContext.broadcast(frequent_keys(measured.df, counted))
+    measured.drop()
     release(spark)
     links = block_links(prefix_entries(docs, frequent, ranges, width, percent), ranges, percent)
     blocks = Stored(connected_components(links, reduced=True), "blocks").df
@@ -504,9 +528,10 @@ def block_members(docs: DataFrame, measured: DataFrame, counted: int, keys: int,
     if not depth or not held or held > 0.7 * keys:
         return members
     again = members.join(large.select("block"), "block", "left_semi").select("at").distinct()
-    texts = docs.join(again.hint("shuffle_hash"), "at", "left_semi")
-    texts = store(texts, "large-blocks")
-    finer = block_members(texts, store(measure(texts, ranges_of(held), width), "sets"), ranges_of(held), held, stands, width, percent, depth - 1)
+    texts = Stored(holding(docs, again).join(again.hint("shuffle_hash"), "at", "left_semi"), "large-blocks")
+    release(spark)
+    finer = block_members(texts.df, Stored(measure(texts.df, ranges_of(held), width), "sets"), ranges_of(held), held, stands, width, percent, depth - 1)
+    texts.drop()
     # a text that stands elsewhere may come along with the same address; it keeps its own block
     kept = members.join(large.select("block"), "block", "left_anti").select("at", "doc", "set", "check", "block", "n")
     return kept.union(finer.join(kept.select("doc"), "doc", "left_anti").select(*kept.columns))
@@ -526,8 +551,9 @@ def set_classes(docs: DataFrame, width: int, percent: int) -> tuple[DataFrame, D
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), address(), "text")
     # the number of ranges has to be known before the keys are: a word takes six bytes, about
     counted = ranges_of((texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // 6)
-    measured = store(measure(texts, counted, width), "sets")
-    sets = measured.filter("range IS NULL").select("doc_id", "n_shingles", "set", "check", "at")
+    measured = Stored(measure(texts, counted, width), "sets")
+    # the counts are most of what was measured, and go before the texts are dealt out
+    sets = store(measured.df.filter("range IS NULL").select("doc_id", "n_shingles", "set", "check", "at"), "names")
     # one document stands for each set, one with a doc_id if there is any; partial minima are taken before the shuffle
     stands = sets.filter("set IS NOT NULL").groupBy("set", "check").agg(F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "at")).alias("one"), F.max("n_shingles").alias("n"))
     # doc is a number of its own: two sets of one name may come to one block, but they are never one document
@@ -539,7 +565,7 @@ def set_classes(docs: DataFrame, width: int, percent: int) -> tuple[DataFrame, D
     def sets_of(some: DataFrame) -> DataFrame:
         # the places are the hashed side at any size, so the texts are not sorted
         places = some.select("at", "doc", "block", F.col("set").alias("of_set"), F.col("check").alias("of_check"))
-        text = texts.drop("doc_id").join(places.hint("shuffle_hash"), "at").drop("at")
+        text = holding(texts, places).drop("doc_id").join(places.hint("shuffle_hash"), "at").drop("at")
         return whole_sets(text, width).filter("set = of_set AND check = of_check").select("block", "doc", "keys")
 
     partitions, zero = int(spark.conf.get("spark.sql.shuffle.partitions")), F.lit(0).cast("long")
