@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from treeline.llm import embedding_dups, mixing, ngram_join, quality, sharding
 from treeline.llm.cuts import weighted_cuts
-from treeline.llm.shingles import shingle_sets
+from treeline.llm.shingles import shingle_sets, sketch, sketches_allow
 from treeline.operators.components import find
 
 
@@ -109,6 +109,40 @@ def test_ngram_join_by_text(spark):
     assert sorted(r.text for r in apart.collect()) == sorted([a, b, "", ""]) and apart.columns == docs.columns
 
 
+def test_sketches_lose_no_similar_pair():
+    rng, pairs = np.random.default_rng(4), []
+    for n in (1, 5, 63, 64, 65, 700, 1500, 70_000):
+        for other in (0.8, 0.85, 0.9, 1.0):  # the smaller set is a part of the larger one
+            a = rng.integers(0, 2**63, n, dtype=np.uint64) * 2 + 1
+            pairs.append((a, a[: -int(-n * other // 1)]))
+        shared = rng.integers(0, 2**63, n, dtype=np.uint64)
+        rest = [rng.integers(0, 2**63, n // 8, dtype=np.uint64) for _ in range(2)]
+        pairs.append(tuple(np.concatenate([shared, r]) for r in rest))
+        pairs.append((shared, rng.integers(0, 2**63, n, dtype=np.uint64)))
+    a, b = ([sketch(side) for side in sides] for sides in zip(*pairs))
+    n, m = (np.array([len(side) for side in sides]) for sides in zip(*pairs))
+    shared = np.array([len(np.intersect1d(*pair)) for pair in pairs])
+    similar = 100 * shared >= 80 * (n + m - shared)
+    allowed = sketches_allow(a, b, n, m, 80)
+    assert allowed[similar].all() and similar.sum() > 30
+    assert not allowed[(shared == 0) & (n >= 63)].any() and (sketches_allow(b, a, m, n, 80) == allowed).all()
+
+
+def test_ngram_join_leaves_chance_links_out(spark, monkeypatch):
+    """Documents that share a passage with the next one are no block, and only rows that go are dealt out."""
+    monkeypatch.setattr(ngram_join, "FREQUENT", 0)
+    blocks, dealt = [], []
+    members, may_hold = ngram_join.block_members, ngram_join.may_hold
+    monkeypatch.setattr(ngram_join, "block_members", lambda *a: blocks.append(members(*a)) or blocks[-1])
+    monkeypatch.setattr(ngram_join, "may_hold", lambda spark, places: dealt.append(places.count()) or may_hold(spark, places))
+    words = [f"w{n}" for n in range(44 * 40 + 16)]
+    texts = [" ".join(words[44 * n : 44 * n + 60]) for n in range(40)]
+    rows = [*enumerate(texts), (100, f"{texts[0]} more"), (101, texts[1]), (102, "")]
+    found = ngram_join.keep_one(spark.createDataFrame(rows, "doc_id long, text string").repartition(3))
+    assert sorted(r.doc_id for r in found.collect()) == [*range(40), 102]
+    assert [b.count() for b in blocks] == [2] and dealt[-1] == 2
+
+
 def vectors(rng, dimension=24):
     rows = []
     for _ in range(12):

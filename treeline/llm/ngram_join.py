@@ -8,10 +8,12 @@ shares at least ceil(bound * n) keys, it shares one of the prefix.
    frequent keys, at most ``FREQUENT`` of them, go to every task with their counts (a fixed size); all
    other keys come first in the order. The order decides how much work is done, never what is found.
 2. Every document gives its prefix keys. Inverted lists are built by key range, after each task has
-   already merged its own entries: of a list only chains of documents with compatible sizes remain, each
+   already merged its own entries: of a long list only chains of documents with compatible sizes remain, each
    as one entry with its range of sizes. So a list that holds a third of all documents comes down to a
-   few entries for each task, and gives links only, not pairs.
-3. The components of these links are blocks: no similar pair lies in two of them. Large blocks go through
+   few entries for each task, and gives links only, not pairs. A chain of up to ``LIST`` documents gives its pairs, and
+   those whose sketches differ in more bits than similar sets can in keys are left out: the more documents
+   there are, the more keys that no table holds lie in a few unrelated ones by chance.
+3. The components of what is left are blocks: no similar pair lies in two of them. Large blocks go through
    steps 1 and 2 again by themselves, as counts within them tell more keys apart. Whole sets of the
    documents in blocks of two or more go to their block. A block that is still large is cut into slices: they are joined
    by themselves, then by representatives, and pairs of slices meet only where more than one class is left.
@@ -42,10 +44,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators.components import connected_components
-from ..plans.shared import Stored, release, store
+from ..operators.components import connected_components, stars
+from ..plans.shared import Stored, hash_partitions, release, store
 from .batches import give_back, parts_of
-from .shingles import least_overlap, prefix_size, set_digest, shingle_sets
+from .shingles import least_overlap, prefix_size, set_digest, shingle_sets, sketch, sketches_allow
 
 WIDTH, PERCENT = 5, 80
 #: Keys that are ordered by their number of documents, at most (8 bytes each in every task); others count as rare.
@@ -64,6 +66,10 @@ RANGE_KEYS = 1_000_000
 AT_ONCE = 3 << 20
 #: Bits that tell which texts may be asked for (8 MB in every task), and the parts they are set in.
 BITS, BIT_PARTS = 1 << 26, 64
+#: Documents of a chain whose pairs are looked at one by one; longer chains give links.
+LIST = 32
+#: Marks the end of a chain's range of sizes, if the chain was longer than that.
+MERGED = 1 << 31
 #: Entries of short lists that are merged with a heap; numpy sorts and counts more of them faster than Python's heap merges them.
 HEAP = 400
 
@@ -96,17 +102,17 @@ def unpacked_gaps(data: bytes) -> np.ndarray:
     return np.cumsum(np.concatenate([first, gaps]), dtype=np.uint64)
 
 
-MEASURED = "doc_id long, n_shingles long, set long, check long, at long, range int, slots binary, many binary, counts binary"
+MEASURED = "doc_id long, n_shingles long, set long, check long, at long, sketch binary, range int, slots binary, many binary, counts binary"
 
 
 def measure(docs: DataFrame, ranges: int, width: int) -> DataFrame:
     """In one pass over the texts (doc_id, text, at), rows of two kinds.
 
-    doc_id, n_shingles, set and check (null without shingles) and at of every row; and, with a range, for each key range and
+    doc_id, n_shingles, set, check and sketch (null without shingles) and at of every row; and, with a range, for each key range and
     task the slots (upper 32 bits of keys) met, and the counts of those met more than once.
     """
     names = [f.strip().split(" ")[0] for f in MEASURED.split(",")]
-    kinds = dict(zip(names, (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary())))
+    kinds = dict(zip(names, (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.binary(), pa.binary(), pa.binary())))
 
     def batch_of(**columns) -> pa.RecordBatch:
         size = len(next(iter(columns.values())))
@@ -127,8 +133,9 @@ def measure(docs: DataFrame, ranges: int, width: int) -> DataFrame:
         for part, texts in texts_of(batches):
             keys, sizes = shingle_sets(texts, width)
             ends = np.cumsum(sizes).tolist()
-            ids = [set_digest(keys[b - n : b]) if n else (None, None) for b, n in zip(ends, sizes.tolist())]
-            yield batch_of(doc_id=part.column("doc_id"), n_shingles=sizes, set=[i for i, _ in ids], check=[c for _, c in ids], at=part.column("at"))
+            own = [keys[b - n : b] for b, n in zip(ends, sizes.tolist())]
+            ids = [set_digest(k) if len(k) else (None, None) for k in own]
+            yield batch_of(doc_id=part.column("doc_id"), n_shingles=sizes, set=[i for i, _ in ids], check=[c for _, c in ids], at=part.column("at"), sketch=[sketch(k) if len(k) else None for k in own])
             held.append(keys >> np.uint64(32))
             size += len(keys)
             if size >= FLUSH:
@@ -221,10 +228,17 @@ def frequent_keys(measured: DataFrame, ranges: int, most: int | None = None) ->
     return slots[order], counts[order]
 
 
-def merge_lists(key: np.ndarray, doc: np.ndarray, low: np.ndarray, high: np.ndarray, percent: int) -> tuple[tuple[np.ndarray, ...], np.ndarray, np.ndarray]:
-    """Chains of compatible sizes in each key's list, each with its smallest document and range of sizes; links of the others to these."""
-    order = np.lexsort((low, key))
-    key, doc, low, high = key[order], doc[order], low[order], high[order]
+def merge_lists(key: np.ndarray, doc: np.ndarray, low: np.ndarray, high: np.ndarray, percent: int) -> tuple[tuple[np.ndarray, ...], np.ndarray, np.ndarray, tuple[np.ndarray, ...]]:
+    """Chains of compatible sizes in each key's list. Those of up to LIST entries stay; longer ones, and those that hold one that was merged, become one entry with its smallest document, range of sizes and the mark MERGED, and links of the others to it.
+
+    Also begins and lengths of the chains that stay, in the entries as they were sorted (key, doc, low), for ``pairs_of``.
+    """
+    order = np.lexsort((doc, high, low, key))
+    columns = [c[order] for c in (key, doc, low, high)]
+    other = np.ones(len(order), dtype=bool)
+    other[1:] = np.logical_or.reduce([c[1:] != c[:-1] for c in columns])
+    key, doc, low, high = (c[other] for c in columns)
+    merged, high = high >= MERGED, high & (MERGED - 1)
     first = np.ones(len(key), dtype=bool)
     first[1:] = key[1:] != key[:-1]
     base = np.cumsum(first) << 40
@@ -232,14 +246,39 @@ def merge_lists(key: np.ndarray, doc: np.ndarray, low: np.ndarray, high: np.ndar
     starts = first.copy()
     starts[1:] |= 100 * (reach[:-1] - base[1:]) < percent * low[1:]
     run, at = np.cumsum(starts) - 1, np.flatnonzero(starts)
-    least = np.minimum.reduceat(doc, at)
-    other = doc != least[run]
-    src, dst = doc[other], least[run[other]]
+    length = np.diff(np.append(at, len(key)))
+    long = (length > LIST) | np.logical_or.reduceat(merged, at)
+    least, most = np.minimum.reduceat(doc, at), np.maximum.reduceat(high, at) + MERGED
+    linked = long[run] & (doc != least[run])
+    src, dst = distinct_pairs(doc[linked], least[run[linked]])
+    stay = ~long[run]
+    stay[at[long]] = True
+    entries = (key[stay], np.where(long[run], least[run], doc)[stay], low[stay], np.where(long[run], most[run], high)[stay])
+    return entries, src, dst, (doc, low, at[~long], length[~long])
+
+
+def distinct_pairs(src: np.ndarray, dst: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     order = np.lexsort((dst, src))
     src, dst = src[order], dst[order]
     new = np.ones(len(src), dtype=bool)
     new[1:] = (src[1:] != src[:-1]) | (dst[1:] != dst[:-1])
-    return (key[at], least, low[at], np.maximum.reduceat(high, at)), src[new], dst[new]
+    return src[new], dst[new]
+
+
+def pairs_of(chains: tuple[np.ndarray, ...], percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs (larger, smaller document) of compatible sizes in each chain that stayed."""
+    doc, size, at, length = chains
+    found = [(np.zeros(0, dtype=np.int64),) * 2]
+    for n in np.unique(length[length > 1]).tolist():
+        i, j = np.triu_indices(n, 1)
+        begins = at[length == n]
+        for few in np.array_split(begins, max(1, len(begins) * len(i) >> 18)):
+            a, b = (few[:, None] + i).ravel(), (few[:, None] + j).ravel()
+            # sizes ascend in a chain
+            may = (100 * size[a] >= percent * size[b]) & (doc[a] != doc[b])
+            a, b = doc[a[may]], doc[b[may]]
+            found.append(distinct_pairs(np.maximum(a, b), np.minimum(a, b)))
+    return distinct_pairs(*(np.concatenate(side) for side in zip(*found)))
 
 
 ENTRIES = "range int, keys binary, docs binary, low binary, high binary"
@@ -295,31 +334,55 @@ def prefix_entries(docs: DataFrame, frequent, ranges: int, width: int, percent:
         key = np.concatenate([k for k, _, _ in held])
         doc = np.repeat(np.array([d for _, d, _ in held], dtype=np.int64), lengths)
         size = np.repeat(np.array([n for _, _, n in held], dtype=np.int64), lengths)
-        entries, *links = merge_lists(key, doc, size, size, percent)
+        entries, *links, _ = merge_lists(key, doc, size, size, percent)
         yield from entry_rows(entries, links, ranges)
 
     return docs.select("text").mapInArrow(run, ENTRIES)
 
 
 def block_links(entries: DataFrame, ranges: int, percent: int) -> DataFrame:
-    """Step 2, by key range: links (src, dst) between the documents of each chain."""
+    """Step 2, by key range: src, dst and sure: links between the documents of each long chain, and pairs of the others, which are not sure."""
 
     def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for (n,), rows in groups_of(batches, "range"):
             if n < 0:
                 for links in rows["docs"]:
-                    yield pd.DataFrame(np.frombuffer(links, dtype="<i8").reshape(-1, 2), columns=["src", "dst"])
+                    yield pd.DataFrame(np.frombuffer(links, dtype="<i8").reshape(-1, 2), columns=["src", "dst"]).assign(sure=True)
                 continue
             key = np.concatenate([unpacked_gaps(k) for k in rows["keys"]])
             doc = np.frombuffer(b"".join(rows["docs"]), dtype="<i8")
             low = np.frombuffer(b"".join(rows["low"]), dtype="<u4").astype(np.int64)
             high = np.frombuffer(b"".join(h or l for h, l in zip(rows["high"], rows["low"])), dtype="<u4").astype(np.int64)
-            _, src, dst = merge_lists(key, doc, low, high, percent)
-            yield pd.DataFrame({"src": src, "dst": dst})
+            _, src, dst, chains = merge_lists(key, doc, low, high, percent)
+            yield pd.DataFrame({"src": src, "dst": dst, "sure": True})
+            src, dst = pairs_of(chains, percent)
+            for a in range(0, len(src), 100_000):
+                yield pd.DataFrame({"src": src[a : a + 100_000], "dst": dst[a : a + 100_000], "sure": False})
 
     # links within tasks are dealt out evenly, by a number that is no key range
     dealt = entries.withColumn("to", F.when(F.col("range") >= 0, F.col("range")).otherwise(F.pmod(F.xxhash64("docs"), F.lit(ranges)).cast("int")))
-    return dealt.repartition(ranges, "to").drop("to").sortWithinPartitions("range").mapInPandas(run, "src long, dst long")
+    return dealt.repartition(ranges, "to").drop("to").sortWithinPartitions("range").mapInPandas(run, "src long, dst long, sure boolean")
+
+
+def checked(links: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
+    """Step 2, what is left of the links: those that are sure, and pairs that may be similar by their sketches, as stars; sketches: set, n, sketch, of which one name may have several."""
+
+    def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            may = batch["sure"].to_numpy(dtype=bool, copy=True)
+            asked = np.flatnonzero(~may)
+            some = batch.iloc[asked]
+            may[asked] = sketches_allow(some["a"].tolist(), some["b"].tolist(), some["n"].to_numpy(), some["m"].to_numpy(), percent)
+            src, dst = stars(batch["src"].to_numpy()[may], batch["dst"].to_numpy()[may])
+            yield pd.DataFrame({"src": src, "dst": dst})
+
+    # dealt by one end, equal pairs lie together as well; sure links ask for no sketch, and are not dealt to hubs
+    pairs = hash_partitions(links, "src").distinct()
+    a = sketches.select(F.col("set").alias("src"), "n", F.col("sketch").alias("a"))
+    b = sketches.select(F.col("set").alias("of"), F.col("n").alias("m"), F.col("sketch").alias("b"))
+    left = pairs.join(a.hint("shuffle_hash"), "src").withColumns({"of": F.when(F.col("sure"), F.xxhash64("src", "dst")).otherwise(F.col("dst")), "a": F.when(~F.col("sure"), F.col("a"))})
+    both = left.join(b.hint("shuffle_hash"), "of", "left")
+    return both.select("src", "dst", "sure", "n", "m", "a", "b").mapInPandas(run, "src long, dst long")
 
 
 def merged(lists: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -470,8 +533,8 @@ def address() -> Column:
     return F.xxhash64(F.col("doc_id").cast("long"), "text").alias("at")
 
 
-def holding(docs: DataFrame, places: DataFrame) -> DataFrame:
-    """The rows of docs whose ``at`` may be one of places; others are left out before a join deals texts out. More places than bits let rows pass in vain, but none is lost."""
+def may_hold(spark: SparkSession, places: DataFrame) -> Column:
+    """Whether ``at`` may be one of places: true for all that are, and for the more others the more places there are."""
     part = BITS // BIT_PARTS
 
     def mark(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -482,13 +545,18 @@ def holding(docs: DataFrame, places: DataFrame) -> DataFrame:
 
     slots = places.select(F.pmod("at", F.lit(BITS)).alias("slot")).distinct().withColumn("part", F.floor(F.col("slot") / part))
     found = {r.part: r.bits for r in slots.repartition(BIT_PARTS, "part").sortWithinPartitions("part").mapInPandas(mark, "part long, bits binary").collect()}
-    table = docs.sparkSession.sparkContext.broadcast(b"".join(found.get(n, bytes(part // 8)) for n in range(BIT_PARTS)))
+    table = spark.sparkContext.broadcast(b"".join(found.get(n, bytes(part // 8)) for n in range(BIT_PARTS)))
 
     def may(at: pd.Series) -> pd.Series:
         slot = at.to_numpy() % BITS
         return pd.Series((np.frombuffer(table.value, dtype=np.uint8)[slot >> 3] >> (7 - (slot & 7)).astype(np.uint8)) & 1 == 1)
 
-    return docs.filter(F.pandas_udf(may, "boolean")("at"))
+    return F.pandas_udf(may, "boolean")("at")
+
+
+def holding(docs: DataFrame, places: DataFrame) -> DataFrame:
+    """The rows of docs whose ``at`` may be one of places; others are left out before a join deals texts out. More places than bits let rows pass in vain, but none is lost."""
+    return docs.filter(may_hold(docs.sparkSession, places))
 
 
 def whole_sets(docs: DataFrame, width: int) -> DataFrame:
@@ -508,8 +576,8 @@ def whole_sets(docs: DataFrame, width: int) -> DataFrame:
     return docs.mapInArrow(run, schema)
 
 
-def block_members(docs: DataFrame, measured: Stored, counted: int, keys: int, stands: DataFrame, width: int, percent: int, depth: int = DEPTH) -> DataFrame:
-    """Steps 1 to 3: at, doc, set, check, block and n of the documents in blocks of two or more; docs: doc_id, at, text; measured: with counts in ``counted`` ranges, dropped when they are added up; keys: of all docs.
+def block_members(docs: DataFrame, measured: Stored, counted: int, keys: int, stands: DataFrame, sketches: DataFrame, width: int, percent: int, depth: int = DEPTH) -> DataFrame:
+    """Steps 1 to 3: at, doc, set, check, block and n of the documents in blocks of two or more; docs: doc_id, at, text; measured: with counts in ``counted`` ranges, dropped when they are added up; keys: of all docs; sketches: set, n and sketch of all sets.
 
     Where more keys are shared than the table of frequent ones holds, chance links make blocks large. These are
     blocked again by themselves, in an order by the counts within them, until that no longer helps.
@@ -519,9 +587,11 @@ def block_members(docs: DataFrame, measured: Stored, counted: int, keys: int, st
     frequent = spark.sparkContext.broadcast(frequent_keys(measured.df, counted))
     measured.drop()
     release(spark)
-    links = block_links(prefix_entries(docs, frequent, ranges, width, percent), ranges, percent)
+    links = checked(block_links(prefix_entries(docs, frequent, ranges, width, percent), ranges, percent), sketches, percent)
     blocks = Stored(connected_components(links, reduced=True), "blocks").df
     frequent.unpersist()
+    del links
+    release(spark)
     members = store(blocks.join(stands, F.col("vertex") == F.col("set")).select("at", "doc", "set", "check", F.col("component").alias("block"), "n"), "members")
     large = members.groupBy("block").agg(F.sum("n").alias("keys")).filter(F.col("keys") > BLOCK_KEYS)
     held = large.agg(F.sum("keys")).first()[0] or 0
@@ -530,7 +600,7 @@ def block_members(docs: DataFrame, measured: Stored, counted: int, keys: int, st
     again = members.join(large.select("block"), "block", "left_semi").select("at").distinct()
     texts = Stored(holding(docs, again).join(again.hint("shuffle_hash"), "at", "left_semi"), "large-blocks")
     release(spark)
-    finer = block_members(texts.df, Stored(measure(texts.df, ranges_of(held), width), "sets"), ranges_of(held), held, stands, width, percent, depth - 1)
+    finer = block_members(texts.df, Stored(measure(texts.df, ranges_of(held), width), "sets"), ranges_of(held), held, stands, sketches, width, percent, depth - 1)
     texts.drop()
     # a text that stands elsewhere may come along with the same address; it keeps its own block
     kept = members.join(large.select("block"), "block", "left_anti").select("at", "doc", "set", "check", "block", "n")
@@ -554,11 +624,13 @@ def set_classes(docs: DataFrame, width: int, percent: int) -> tuple[DataFrame, D
     measured = Stored(measure(texts, counted, width), "sets")
     # the counts are most of what was measured, and go before the texts are dealt out
     sets = store(measured.df.filter("range IS NULL").select("doc_id", "n_shingles", "set", "check", "at"), "names")
+    sketches = Stored(measured.df.filter("set IS NOT NULL").select("set", "check", F.col("n_shingles").alias("n"), "sketch").dropDuplicates(["set", "check"]).drop("check"), "sketches")
     # one document stands for each set, one with a doc_id if there is any; partial minima are taken before the shuffle
     stands = sets.filter("set IS NOT NULL").groupBy("set", "check").agg(F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "at")).alias("one"), F.max("n_shingles").alias("n"))
     # doc is a number of its own: two sets of one name may come to one block, but they are never one document
     stands = store(stands.select("set", "check", "one.doc_id", "one.at", "n", F.monotonically_increasing_id().alias("doc")), "stands")
-    members = block_members(texts, measured, counted, sets.agg(F.sum("n_shingles")).first()[0] or 0, stands, width, percent)
+    members = block_members(texts, measured, counted, sets.agg(F.sum("n_shingles")).first()[0] or 0, stands, sketches.df, width, percent)
+    sketches.drop()
     release(spark)
     large = store(members.groupBy("block").agg(F.sum("n").alias("keys")).filter(F.col("keys") > BLOCK_KEYS).select("block"), "large")
 
@@ -587,16 +659,20 @@ def keep_one(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> Dat
 
     Rows without a word resemble nothing, so they all stay.
     """
-    named = set_classes(docs, width, percent)[1]
+    sets, named = set_classes(docs, width, percent)
     one = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "set", "check", "at")).alias("one")
-    kept = named.groupBy("class").agg(one).select("class", F.col("one.doc_id").alias("id"), "one.at")
+    kept = store(named.groupBy("class").agg(one).select("class", F.col("one.doc_id").alias("id"), "one.at"), "kept")
+    # only rows that go, and those that share a place, are dealt out: of the others each is the one that its class keeps
+    places = sets.filter("set IS NOT NULL").groupBy("at").agg(F.count("*").alias("n")).join(kept.select("at", "id"), "at", "left").filter("n > 1 OR id IS NULL").select("at")
+    release(docs.sparkSession)
     rows = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("row"), address())
     worded = F.coalesce(F.col("row.text").rlike(r"[^ \t\n\x0B\f\r]"), F.lit(False))
+    told = rows.withColumn("dealt", worded & may_hold(docs.sparkSession, places))
 
-    with_words = rows.filter(worded).join(kept.hint("shuffle_hash"), "at").filter(F.col("row.doc_id").cast("long").eqNullSafe(F.col("id")))
+    with_words = told.filter("dealt").join(kept.hint("shuffle_hash"), "at").filter(F.col("row.doc_id").cast("long").eqNullSafe(F.col("id")))
     # rows that share doc_id and text (a hash of these, in rare cases) are left here, and already lie together
     one = with_words.withColumn("n", F.row_number().over(Window.partitionBy("at", "class").orderBy("row.text"))).filter("n = 1")
-    return one.select("row.*").union(rows.filter(~worded).select("row.*"))
+    return one.select("row.*").union(told.filter("NOT dealt").select("row.*"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -12,6 +12,8 @@ from .batches import joined
 #: Odd constants, one for each place of a word; the last is for texts of fewer words than a shingle.
 PLACES = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63, 0xD6E8FEB86659FD93], dtype=np.uint64)
 TOO_FEW = np.uint64(0xA0761D6478BD642F)
+#: Bits of a sketch, at most (8 KB).
+SKETCH_BITS = 1 << 16
 
 
 def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -70,6 +72,33 @@ def set_digest(keys: np.ndarray) -> tuple[int, int]:
     return digest & (1 << 63) - 1, (digest >> 64) - (1 << 63)
 
 
+def sketch(keys: np.ndarray) -> bytes:
+    """Parities of a set's distinct keys, dealt by their lowest bits to as many places as the power of two from its size on (64 to SKETCH_BITS).
+
+    Sets that differ in d keys have sketches that differ in d bits at most; a sketch's halves, combined by exclusive or, are that of half the places.
+    """
+    places = min(SKETCH_BITS, max(64, 1 << (len(keys) - 1).bit_length()))
+    return np.packbits(np.bincount((keys & np.uint64(places - 1)).astype(np.int64), minlength=places) & 1 == 1).tobytes()
+
+
+def sketches_allow(left: list[bytes], right: list[bytes], n: np.ndarray, m: np.ndarray, percent: int) -> np.ndarray:
+    """Whether sets of n and m keys with these sketches may be similar: false only where more bits differ than keys of similar sets can."""
+    widths = np.array([[len(a), len(b)] for a, b in zip(left, right)], dtype=np.int64).reshape(-1, 2)
+    most, differ = n + m - 2 * least_overlap(n, m, percent), np.zeros(len(widths), dtype=np.int64)
+    for pair in np.unique(widths, axis=0):
+        at = np.flatnonzero((widths == pair).all(axis=1))
+        # so many at once as fill 16 MB
+        step = max(1, (16 << 20) // int(pair.sum()))
+        for part in (at[a : a + step] for a in range(0, len(at), step)):
+            x, y = (np.frombuffer(b"".join([side[k] for k in part.tolist()]), dtype=np.uint8).reshape(len(part), -1) for side in (left, right))
+            while x.shape[1] != y.shape[1]:
+                x, y = sorted((x, y), key=lambda side: side.shape[1])
+                half = y.shape[1] // 2
+                y = y[:, :half] ^ y[:, half:]
+            differ[part] = np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64)
+    return differ <= most
+
+
 def least_overlap(n: int | np.ndarray, m: int | np.ndarray, percent: int) -> int | np.ndarray:
     """Smallest intersection of sets of n and m with 100 * intersection >= percent * union."""
     return -(-percent * (n + m) // (100 + percent))
